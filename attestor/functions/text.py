@@ -269,3 +269,17 @@ def matches_with_offsets(text: Column, pattern: str) -> Column:
         return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
 
     return F.transform(hits, one)
+
+
+def aligned_words(text: Column, script: str, drop_honorifics: bool = False) -> Column:
+    """struct(norm, orig): normal words and their original spellings, one to one."""
+    norm, ps = words(text, script), pieces(text)
+    orig = F.transform(_kept_pieces(text, script), lambda i: F.element_at(ps, i))
+    if not drop_honorifics or script != "arabic":
+        return F.struct(norm.alias("norm"), orig.alias("orig"))
+    return F.transform(
+        F.array(F.struct(norm.alias("n"), orig.alias("o"), kept_positions(norm).alias("k"))),
+        lambda x: F.struct(
+            F.transform(x["k"], lambda i: F.element_at(x["n"], i)).alias("norm"), F.transform(x["k"], lambda i: F.element_at(x["o"], i)).alias("orig")
+        ),
+    )[0]
