@@ -29,23 +29,22 @@ def long_line_pieces(line: Column, limit: int = MAX_SEGMENT) -> Column:
     """Pieces of a line of at most ``limit`` characters: cut after the last sentence end beyond a third of the
     limit, else at the last blank, else at the limit. Each piece is one match of the pattern, so any length works.
     """
-    third = limit // 3
-    sentence = rf".{{{third},{limit - 3}}}[.؟!](?= )"
+    sentence = rf".{{{limit // 3 + 1},{limit - 2}}}[.؟!](?= )"
     blank = rf".{{1,{limit - 1}}}(?= )"
-    pattern = rf"(?s)(?:.{{1,{limit}}}$|{sentence}|{blank}|.{{{limit}}})"
-    found = F.regexp_extract_all(line, F.lit(rf" *({pattern[4:]})"), F.lit(1)) if False else F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    trimmed = F.transform(found, lambda p: F.trim(p))
+    pattern = rf"(?s)[\s\p{{Z}}]*+(.{{1,{limit}}}\z|{sentence}|{blank}|.{{{limit}}})"
+    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+    trimmed = F.transform(found, lambda p: strip(p))
     return F.when(F.length(line) <= limit, F.array(line)).otherwise(F.filter(trimmed, lambda p: p != ""))
 
 
 def segments_from_text(docs: DataFrame, limit: int = MAX_SEGMENT) -> DataFrame:
     """(doc_id, seg_id, text): lines of the text, long ones cut. One narrow pass."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace(X.clean_pasted(F.col("text")), "\r\n", "\n"), "\n"), lambda x: X_strip(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(X.clean_pasted(F.col("text")), "\r\n", "\n"), "\n"), lambda x: strip(x)), lambda x: x != "")
     pieces = F.flatten(F.transform(lines, lambda x: long_line_pieces(x, limit)))
     return docs.select("doc_id", F.posexplode(pieces).alias("seg_id", "text"))
 
 
-def X_strip(c: Column) -> Column:
+def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
@@ -66,8 +65,8 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     beyond half of it. The pieces are successive matches of one pattern; offsets are their running length.
     """
     half = size // 2
-    cut = rf"(?:.{{{half + 1},{size - 1}}}(?:\n|\.(?= )|؟))"
-    pattern = rf"(?s)(?:.{{1,{size}}}$|{cut}|.{{{size}}})"
+    cut = rf".{{{size - 1}}}[\n؟]|.{{{half + 1},{size - 2}}}(?:[\n؟]|\.(?= ))"
+    pattern = rf"(?s)(?:.{{1,{size}}}\z|{cut}|.{{{size}}})"
     parts = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
     p = F.when(F.length("text") <= size, F.array("text")).otherwise(parts)
     rows = G.once(docs.select("doc_id", "text"), "p", p).select("doc_id", "p", F.posexplode("p").alias("chunk_no", "chunk"))
@@ -82,7 +81,7 @@ def strip_noise(docs: DataFrame) -> DataFrame:
     def one(raw: Column, i: Column) -> Column:
         emoji = F.array_join(F.regexp_extract_all(raw, F.lit(V.EMOJI), F.lit(0)), "")
         line = F.regexp_replace(F.regexp_replace(raw, V.EMOJI, " "), V.REPEATED_MARK, "$1")
-        line = X_strip(F.regexp_replace(line, r"[ \t]{2,}", " "))
+        line = strip(F.regexp_replace(line, r"[ \t]{2,}", " "))
         return F.struct(i.alias("i"), raw.alias("raw"), emoji.alias("emoji"), line.alias("line"))
 
     rows = G.once(docs.select("doc_id", "text"), "l", F.transform(lines, one))
@@ -92,7 +91,7 @@ def strip_noise(docs: DataFrame) -> DataFrame:
         footer = (plain != "") & (F.size(F.split(plain, " ")) <= 10) & plain.rlike("|".join(f"(?:{p})" for p in V.FOOTERS))
         decoration = x["line"].rlike(V.DECORATION_LINE) & ~x["line"].contains("[?]")
         drop = (x["line"] != "") & (footer | x["line"].rlike(V.CLOCK_LINE) | decoration)
-        gone = F.when(drop, X_strip(x["raw"])).when(x["emoji"] != "", x["emoji"])
+        gone = F.when(drop, strip(x["raw"])).when(x["emoji"] != "", x["emoji"])
         # an empty line is kept once between paragraphs, not where only symbols stood
         keep = F.when(drop, F.lit(None)).when((x["line"] == "") & (x["emoji"] != ""), F.lit(None)).otherwise(x["line"])
         return F.struct(keep.alias("keep"), gone.alias("gone"))
@@ -126,7 +125,7 @@ def page_text(pages: DataFrame, min_chars: int = 80, max_chars: int = MAX_TEXT)
     body = F.regexp_replace(F.regexp_replace(body, BLOCK_ENDS, "\n"), r"(?s)<[^>]*>", " ")
     body = F.regexp_replace(F.regexp_replace(_entities(body), r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
     title = X.squeeze(_entities(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    out = pages.select(F.col("page_id").alias("doc_id"), "url", title.alias("title"), X_strip(body).alias("text"))
+    out = pages.select(F.col("page_id").alias("doc_id"), "url", title.alias("title"), strip(body).alias("text"))
     return out.filter(F.length("text") >= min_chars).withColumn("text", X.clean_pasted(F.substr("text", F.lit(1), F.lit(max_chars))))
 
 
@@ -152,7 +151,7 @@ def caption_segments(files: DataFrame, schema) -> DataFrame:
     ev = ev.filter((F.coalesce("e.aAppend", F.lit(0)) == 0) & F.col("e.segs").isNotNull())
     joined = F.array_join(F.transform("e.segs", lambda s: F.coalesce(s["utf8"], F.lit(""))), "")
     start = F.coalesce("e.tStartMs", F.lit(0)) / 1000.0
-    rows = ev.select("doc_id", "n", X_strip(F.regexp_replace(joined, "\n", " ")).alias("text"), start.alias("start_s"), (start + F.coalesce("e.dDurationMs", F.lit(0)) / 1000.0).alias("raw_end")).filter("text != ''")
+    rows = ev.select("doc_id", "n", strip(F.regexp_replace(joined, "\n", " ")).alias("text"), start.alias("start_s"), (start + F.coalesce("e.dDurationMs", F.lit(0)) / 1000.0).alias("raw_end")).filter("text != ''")
     w = W.partitionBy("doc_id").orderBy("n")
     return rows.select(
         "doc_id", (F.row_number().over(w) - 1).alias("seg_id"), "text", "start_s", F.coalesce(F.least("raw_end", F.lead("start_s").over(w)), F.col("raw_end")).alias("end_s")
