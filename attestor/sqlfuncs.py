@@ -1,0 +1,27 @@
+"""SQL surface: registered views over a scan, and a table function for one text at a time."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
+
+
+@udtf(returnType="start_w int, end_w int, words string")
+class ScanText:
+    """``scan_text(text, passage)``: the longest run of equal words (four or more) of a text and a passage.
+
+    A convenience for SQL users on single pairs; tables are scanned with ``flows.scan_canon``.
+    """
+
+    def eval(self, text: str, passage: str):
+        from difflib import SequenceMatcher
+
+        a, b = (text or "").lower().split(), (passage or "").lower().split()
+        m = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
+        if m.size >= 4:
+            yield m.a, m.a + m.size, " ".join(a[m.a : m.a + m.size])
+
+
+def register(spark: SparkSession, verdicts: DataFrame | None = None) -> None:
+    spark.udtf.register("scan_text", ScanText)
+    if verdicts is not None:
+        verdicts.createOrReplaceTempView("verdicts")
