@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,11 @@ _BREAK = f"[{V.WORD_BREAKS}]"
 _PIECE = f"[^{V.WORD_BREAKS}]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda would compute an outer expression once per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 
@@ -100,14 +106,15 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECE), F.lit(0))
 
 
+def _has_word(p: Column, script: str) -> Column:
+    if script == "arabic":
+        return F.regexp_replace(F.translate(strip_marks(p), V.ARABIC_FROM, V.ARABIC_TO), r"[^ء-ي]", "") != ""
+    return p.rlike(r"[\p{L}\p{N}_]")
+
+
 def _kept_pieces(text: Column, script: str) -> Column:
     """1-based numbers of the pieces that carry a word."""
-    if script == "arabic":
-        has_word = lambda p: F.regexp_replace(F.translate(strip_marks(p), V.ARABIC_FROM, V.ARABIC_TO), r"[^ء-ي]", "") != ""
-    else:
-        has_word = lambda p: p.rlike(r"[\p{L}\p{N}_]")
-    ps = pieces(text)
-    flagged = F.transform(ps, lambda p, i: F.when(has_word(p), i + 1))
+    flagged = F.transform(pieces(text), lambda p, i: F.when(_has_word(p, script), i + 1))
     return F.filter(flagged, lambda i: i.isNotNull())
 
 
@@ -129,20 +136,18 @@ def word_span_offsets(text: Column, first: Column, last: Column, script: str) ->
     return F.struct(before(p1, F.lit(1)).alias("start"), before(p2, F.lit(0)).alias("end"))
 
 
-def words_with_offsets(text: Column, script: str) -> Column:
-    """array<struct<start,end,original,norm>> of every word, offsets by a running total over the pieces."""
-    ps = pieces(text)
-    gaps = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{_BREAK}+"), F.lit(0))
-    lead = F.when(text.rlike(f"^{_BREAK}"), 1).otherwise(0)
-    lengths = F.transform(ps, lambda p: F.length(p))
-    gap_lengths = F.transform(gaps, lambda g: F.length(g))
-
-    def one(p: Column, i: Column) -> Column:
-        upto = lambda arr, k: F.aggregate(F.slice(arr, F.lit(1), F.greatest(k, F.lit(0))), F.lit(0), lambda a, x: a + x)
-        start = upto(lengths, i) + upto(gap_lengths, i + lead)
-        return F.struct(start.alias("start"), (start + F.length(p)).alias("end"), p.alias("original"), _piece_norm(p, script).alias("norm"))
+def words_with_offsets(docs: DataFrame, script: str) -> DataFrame:
+    """(doc_id, k, start, end, original, norm): every word with its character offsets.
 
-    return F.filter(F.transform(ps, one), lambda w: w["norm"] != "")
+    Pieces and the gaps before them are laid side by side; the offset is their running length in the document.
+    """
+    gaps = F.regexp_extract_all(F.col("text"), F.lit(f"{_BREAK}+"), F.lit(0))
+    before = F.when(F.col("text").rlike(f"^{_BREAK}"), gaps).otherwise(F.concat(F.array(F.lit("")), gaps))
+    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(pieces(F.col("text")).alias("p"), before.alias("g"))).alias("k", "z")).filter("z.p is not null")
+    n, g = F.length("z.p"), F.length("z.g")
+    end = F.sum(n + g).over(W.partitionBy("doc_id").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
+    at = rows.select("doc_id", "k", (end - n).alias("start"), end.alias("end"), F.col("z.p").alias("original"))
+    return at.withColumn("norm", _piece_norm(F.col("original"), script)).filter("norm != ''")
 
 
 def kept_positions(ws: Column) -> Column:
@@ -151,17 +156,24 @@ def kept_positions(ws: Column) -> Column:
     The remaining text must be a subsequence of the words; where a formula cut into a word it is not, and all stay.
     """
     left = F.filter(F.split(normalize_arabic(F.array_join(ws, " "), drop_honorifics=True), " "), lambda w: w != "")
-    walk = F.aggregate(
-        F.transform(ws, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i"))),
-        F.array().cast("array<int>"),
-        lambda kept, x: F.when(F.get(left, F.size(kept)) == x["w"], F.concat(kept, F.array(x["i"]))).otherwise(kept),
-    )
-    everything = F.transform(ws, lambda w, i: i + 1)
-    return F.when(F.size(walk) == F.size(left), walk).otherwise(everything)
+
+    def walk(x: Column) -> Column:
+        kept = F.aggregate(
+            F.transform(x["ws"], lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i"))),
+            F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("kept")),
+            lambda a, y: F.when(
+                F.get(x["left"], a["n"]) == y["w"], F.struct((a["n"] + 1).alias("n"), F.concat(a["kept"], F.array(y["i"])).alias("kept"))
+            ).otherwise(a),
+        )
+        everything = F.transform(x["ws"], lambda w, i: i + 1)
+        short = F.size(x["left"]) == F.size(x["ws"])
+        return F.when(short, everything).otherwise(let(kept, lambda k: F.when(k["n"] == F.size(x["left"]), k["kept"]).otherwise(everything)))
+
+    return let(F.struct(ws.alias("ws"), left.alias("left")), walk)
 
 
 def without_honorifics(ws: Column) -> Column:
-    return F.transform(kept_positions(ws), lambda i: F.element_at(ws, i))
+    return let(ws, lambda x: F.transform(kept_positions(x), lambda i: F.element_at(x, i)))
 
 
 # --------------------------------------------------------------------------- vocabulary
@@ -261,25 +273,25 @@ def original_offset(text: Column, folded_offset: Column) -> Column:
 def matches_with_offsets(text: Column, pattern: str) -> Column:
     """array<struct<start,end,hit>> of every match of ``pattern``, left to right (offsets 0-based, end exclusive)."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    parts = F.struct(hits.alias("hits"), F.split(text, pattern, -1).alias("between"))
+
+    def all_of(x: Column) -> Column:
+        upto = lambda arr, k: F.aggregate(F.slice(arr, F.lit(1), k), F.lit(0), lambda a, y: a + F.length(y))
+
+        def one(hit: Column, i: Column) -> Column:
+            start = upto(x["between"], i + 1) + upto(x["hits"], i)
+            return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
 
-    def one(hit: Column, i: Column) -> Column:
-        upto = lambda arr, k: F.aggregate(F.slice(arr, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
-        start = upto(between, i + 1) + upto(hits, i)
-        return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
+        return F.transform(x["hits"], one)
 
-    return F.transform(hits, one)
+    return let(parts, all_of)
 
 
 def aligned_words(text: Column, script: str, drop_honorifics: bool = False) -> Column:
     """struct(norm, orig): normal words and their original spellings, one to one."""
-    norm, ps = words(text, script), pieces(text)
-    orig = F.transform(_kept_pieces(text, script), lambda i: F.element_at(ps, i))
+    norm, orig = words(text, script), F.filter(pieces(text), lambda p: _has_word(p, script))
     if not drop_honorifics or script != "arabic":
         return F.struct(norm.alias("norm"), orig.alias("orig"))
-    return F.transform(
-        F.array(F.struct(norm.alias("n"), orig.alias("o"), kept_positions(norm).alias("k"))),
-        lambda x: F.struct(
-            F.transform(x["k"], lambda i: F.element_at(x["n"], i)).alias("norm"), F.transform(x["k"], lambda i: F.element_at(x["o"], i)).alias("orig")
-        ),
-    )[0]
+    pick = lambda ws, k: F.transform(k, lambda i: F.element_at(ws, i))
+    both = F.struct(norm.alias("n"), orig.alias("o"))
+    return let(both, lambda x: let(kept_positions(x["n"]), lambda k: F.struct(pick(x["n"], k).alias("norm"), pick(x["o"], k).alias("orig"))))

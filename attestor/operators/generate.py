@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
+from . import grams as G
 
 SEED = 1448
 
@@ -40,11 +41,11 @@ def replace_one(units: DataFrame, floor: float = 0.86) -> DataFrame:
     n = F.size("words")
     r = units.withColumn("other", other).filter(n >= 5)
     donor = F.filter("other", lambda d: (F.length(d) >= 4) & ~F.array_contains("words", d))
-    r = r.withColumn("donor", F.get(donor, F.lit(0))).filter("donor is not null")
+    r = G.once(r, "donor", F.get(donor, F.lit(0))).filter("donor is not null")
     pos = (pick_hash(F.col("key")) % (n - 4) + 2).cast("int")
-    r = r.withColumn("pos", pos)
+    r = G.once(r, "pos", pos)
     altered = F.transform("words", lambda x, i: F.when(i == F.col("pos"), F.col("donor")).otherwise(x))
-    r = r.withColumn("altered", altered).withColumn("similarity", A.similarity(F.array_join("altered", " "), F.array_join("words", " ")))
+    r = G.once(r, "altered", altered).withColumn("similarity", A.similarity(F.array_join("altered", " "), F.array_join("words", " ")))
     return r.filter(F.col("similarity") >= floor).select("key", "pos", "donor", "altered", "similarity")
 
 
@@ -54,21 +55,21 @@ def replace_quarter(units: DataFrame, low: float = 0.62, high: float = 0.83) ->
     n = F.size("words")
     r = units.withColumn("other", F.coalesce(F.lead("words").over(w), F.first("words").over(w))).filter(n >= 5)
     donors = F.filter(F.array_distinct("other"), lambda d: (F.length(d) >= 4) & ~F.array_contains("words", d))
-    r = r.withColumn("donors", donors).filter(F.size("donors") > 0)
+    r = G.once(r, "donors", donors).filter(F.size("donors") > 0)
     k = F.greatest(F.lit(3), F.floor(n / 4)).cast("int")
     order = F.array_sort(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(pick_hash(F.col("key").cast("string"), i.cast("string")).alias("h"), i.alias("i"))))
-    r = r.withColumn("positions", F.transform(F.slice(order, F.lit(1), k), lambda x: x["i"]))
+    r = G.once(r, "positions", F.transform(F.slice(order, F.lit(1), k), lambda x: x["i"]))
     altered = F.transform(
         "words",
         lambda x, i: F.when(F.array_contains("positions", i), F.element_at("donors", (F.array_position("positions", i) - 1).cast("int") % F.size("donors") + 1)).otherwise(x),
     )
-    r = r.withColumn("altered", altered).withColumn("similarity", A.similarity(F.array_join("altered", " "), F.array_join("words", " ")))
+    r = G.once(r, "altered", altered).withColumn("similarity", A.similarity(F.array_join("altered", " "), F.array_join("words", " ")))
     return r.filter(F.col("similarity").between(low, high)).select("key", "positions", "altered", "similarity")
 
 
 def drop_sevenths(units: DataFrame, low: float = 0.82, high: float = 0.93) -> DataFrame:
     kept = F.filter("words", lambda x, i: (i + 1) % 7 != 0)
-    r = units.withColumn("altered", kept).withColumn("similarity", A.similarity(F.array_join("altered", " "), F.array_join("words", " ")))
+    r = G.once(units, "altered", kept).withColumn("similarity", A.similarity(F.array_join("altered", " "), F.array_join("words", " ")))
     return r.filter(F.col("similarity").between(low, high)).select("key", "altered", "similarity")
 
 

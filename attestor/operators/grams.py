@@ -108,20 +108,13 @@ def hashed(grams: DataFrame) -> DataFrame:
 
 def position_grams(words: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), key: str = "doc_id") -> DataFrame:
     """(key, n, i, gram): position-keyed grams of every text, as text, for inspection and small lookups."""
-    parts = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    F.size("words") >= n,
-                    F.transform(
-                        F.sequence(F.lit(0), F.size("words") - n),
-                        lambda i, n=n: F.struct(F.lit(n).alias("n"), i.alias("i"), F.array_join(F.slice("words", i + 1, n), " ").alias("gram")),
-                    ),
-                ).otherwise(F.array().cast("array<struct<n:int,i:int,gram:string>>"))
-                for n in sizes
-            ]
-        )
-    )
+
+    def of_size(n: int) -> Column:
+        gram = lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.array_join(F.slice("words", i + 1, n), " ").alias("gram"))
+        grams = F.transform(F.sequence(F.lit(0), F.size("words") - n), gram)
+        return F.when(F.size("words") >= n, grams).otherwise(F.array().cast("array<struct<n:int,i:int,gram:string>>"))
+
+    parts = F.flatten(F.array(*[of_size(n) for n in sizes]))
     return words.select(key, F.explode(parts).alias("g")).select(key, "g.n", "g.i", "g.gram")
 
 
