@@ -169,7 +169,7 @@ def locate_proposals(proposals: DataFrame, docs: DataFrame, script: str, floor:
     direct = at.filter("at is not null").select(*proposals.columns, "at.start", "at.end", "at.how")
     rest = at.filter("at is null and length(trim(quote)) > 0")
     spanned = G.once(G.once(rest, "q", X.words(F.col("quote"), script)), "s", X.words(F.col("text"), script))
-    spanned = G.once(spanned, "span", A.best_span(F.col("q"), F.col("s"))).filter(F.col("span.score") >= floor)
+    spanned = A.with_best_span(spanned, "q", "s").filter(F.col("span.score") >= floor)
     off = G.once(spanned, "o", X.word_span_offsets(F.col("text"), F.col("span.start"), F.col("span.end") - 1, script))
     return direct.unionByName(off.select(*proposals.columns, F.col("o.start").alias("start"), F.col("o.end").alias("end"), F.lit("aligned").alias("how")))
 

@@ -104,7 +104,7 @@ def fuzzy_spans(claims_w: DataFrame, tokens: DataFrame, positions: DataFrame | N
     cut = pieces.join(maybe_broadcast(blocks, small), "blk").select("claim_id", "q", "seed_rank", "votes", "lo", "blk", F.transform(part, lambda x: x["word"]).alias("w"))
     texts = cut.groupBy("claim_id", "seed_rank", "votes", "lo").agg(F.any_value("q").alias("q"), F.array_sort(F.collect_list(F.struct("blk", "w"))).alias("parts"))
     texts = texts.withColumn("s", F.flatten(F.transform("parts", lambda x: x["w"])))
-    found = G.once(texts, "span", A.best_span(F.col("q"), F.col("s"))).filter("span is not null")
+    found = A.with_best_span(texts, "q", "s")
     return found.select(
         "claim_id", (F.col("lo") + F.col("span.start")).alias("p"), (F.col("span.end") - F.col("span.start")).alias("n_words"), F.col("span.score").alias("score"), "seed_rank"
     )

@@ -97,7 +97,7 @@ def claim_words(claims: DataFrame, script: str) -> DataFrame:
 def align(cands: DataFrame, claims_w: DataFrame, records_w: DataFrame, with_diff: bool = False) -> DataFrame:
     """Adds similarity, span, matched words and coverage to (claim_id, key, ...) candidates."""
     joined = cands.join(records_w, "key").join(claims_w, "claim_id")
-    spanned = G.once(joined, "span", A.best_span(F.col("q"), F.col("words"))).filter("span is not null")
+    spanned = A.with_best_span(joined, "q", "words")
     a, n = F.col("span.start"), F.col("span.end") - F.col("span.start")
     out = spanned.withColumns(
         {

@@ -136,7 +136,7 @@ def _(spark, sf):
     runs = S.canon_scan(G.doc_words(documents(spark, sf), SCRIPT), c.tokens, c.idf, c.small)
     claims = runs.select(F.concat_ws("-", "doc_id", "start_w").alias("claim_id"), "p", (F.col("end_w") - F.col("start_w")).alias("n_words"))
     groups = c.units.select("group_no", F.concat(F.lit("Group "), "group_no").alias("name")).distinct()
-    return S.reference_strings(S.covered_units(claims, c.units, c.positions), groups, "canon")
+    return S.reference_strings(S.covered_units(claims, c.units, c.positions), groups, "canon").drop("name")
 
 
 @R(
@@ -320,7 +320,7 @@ def _(spark, sf):
     "win_5_best_per_place",
     f"""WITH {CANON}, {IDF}, {ALTERED}, {SEEDS}, {_FUZZY}, {span_sql('wp', 'claim_id,seed_rank')}, r AS (SELECT claim_id, lo + a AS p, round(score, 4) AS similarity FROM sp JOIN wn USING (claim_id, seed_rank)),
     u AS (SELECT claim_id, p, similarity, group_no, unit_no AS unit_start FROM r JOIN ct ON ct.pos = r.p), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY claim_id, group_no, unit_start ORDER BY similarity DESC, p) = 1)
-    SELECT claim_id, group_no, unit_start, similarity, CAST(row_number() OVER z AS INT) AS rank FROM b QUALIFY row_number() OVER z <= 5 WINDOW z AS (PARTITION BY claim_id ORDER BY similarity DESC, group_no, unit_start)""",
+    SELECT claim_id, group_no, unit_start, similarity, CAST(row_number() OVER z AS INT) AS rank FROM b WINDOW z AS (PARTITION BY claim_id ORDER BY similarity DESC, group_no, unit_start) QUALIFY row_number() OVER z <= 5""",
 )
 def _(spark, sf):
     c = canon(spark, sf)
@@ -387,15 +387,15 @@ def aligned(spark, sf, pool=40):
     return RT.align(RT.bm25(RT.query_claims(cl, SCRIPT), rw, pool), cw, rw)
 
 
-@R("aln_2_best_span", f"WITH {_ALIGNED} SELECT claim_id, key, CAST(a AS INT) AS span_start, CAST(b AS INT) AS span_end, round(score, 4) AS similarity, round((b - a) / greatest(1, len(s)), 6) AS coverage FROM sp JOIN pairs USING (claim_id, key)")
+@R("aln_2_best_span", f"WITH {_ALIGNED} SELECT claim_id, key, CAST(a AS INT) AS span_start, CAST(b AS INT) AS span_end, round(sp.score, 4) AS similarity, round((b - a) / greatest(1, len(s)), 6) AS coverage FROM sp JOIN pairs USING (claim_id, key)")
 def _(spark, sf):
     return aligned(spark, sf).select("claim_id", "key", "span_start", "span_end", "similarity", F.round("coverage", 6).alias("coverage"))
 
 
 @R(
     "win_4_candidate_order",
-    f"""WITH {_ALIGNED}, o AS (SELECT sp.claim_id, sp.key, round(score, 4) AS similarity, lexical_rank FROM sp JOIN rk USING (claim_id, key))
-    SELECT claim_id, key, similarity, CAST(row_number() OVER z AS INT) AS rank FROM o QUALIFY row_number() OVER z <= 10 WINDOW z AS (PARTITION BY claim_id ORDER BY similarity DESC, lexical_rank, key)""",
+    f"""WITH {_ALIGNED}, o AS (SELECT sp.claim_id, sp.key, round(sp.score, 4) AS similarity, lexical_rank FROM sp JOIN rk USING (claim_id, key))
+    SELECT claim_id, key, similarity, CAST(row_number() OVER z AS INT) AS rank FROM o WINDOW z AS (PARTITION BY claim_id ORDER BY similarity DESC, lexical_rank, key) QUALIFY row_number() OVER z <= 10""",
 )
 def _(spark, sf):
     return RT.rank_candidates(RT.union_corpora(("graded", aligned(spark, sf))), 10).select("claim_id", "key", "similarity", "rank")
@@ -403,7 +403,7 @@ def _(spark, sf):
 
 @R(
     "win_6_primary_source",
-    f"""WITH {_ALIGNED}, o AS (SELECT sp.claim_id, sp.key, round(score, 4) AS similarity, lexical_rank, CASE WHEN g.lang = 'en' THEN 'graded' ELSE 'books' END AS corpus, attribution, g.lang = 'fr' AS trusted FROM sp JOIN rk USING (claim_id, key) JOIN graded g USING (key)),
+    f"""WITH {_ALIGNED}, o AS (SELECT sp.claim_id, sp.key, round(sp.score, 4) AS similarity, lexical_rank, CASE WHEN g.lang = 'en' THEN 'graded' ELSE 'books' END AS corpus, attribution, g.lang = 'fr' AS trusted FROM sp JOIN rk USING (claim_id, key) JOIN graded g USING (key)),
     r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY similarity DESC, CASE WHEN corpus = 'graded' THEN 0 ELSE 1 END, lexical_rank, key) AS rank, max(similarity) OVER (PARTITION BY claim_id) AS top FROM o)
     SELECT claim_id, key, corpus, similarity FROM r WHERE similarity >= top - 0.03 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY CASE WHEN corpus = 'graded' THEN 0 WHEN trusted THEN 1 ELSE 2 END,
       CASE WHEN corpus = 'graded' THEN CASE WHEN length(attribution) > 40 THEN 1 ELSE 0 END END, CASE WHEN corpus = 'graded' THEN -similarity END, CASE WHEN corpus = 'graded' THEN length(attribution) END, rank) = 1""",
@@ -416,8 +416,8 @@ def _(spark, sf):
 
 @R(
     "win_7_one_per_book",
-    f"""WITH {_ALIGNED}, o AS (SELECT sp.claim_id, sp.key, g.lang AS book, row_number() OVER (PARTITION BY sp.claim_id ORDER BY round(score, 4) DESC, lexical_rank, key) AS rank FROM sp JOIN rk USING (claim_id, key) JOIN graded g USING (key)),
-    f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY claim_id, book ORDER BY rank) = 1) SELECT claim_id, key, book, CAST(row_number() OVER z AS INT) AS place FROM f QUALIFY row_number() OVER z <= 3 WINDOW z AS (PARTITION BY claim_id ORDER BY rank)""",
+    f"""WITH {_ALIGNED}, o AS (SELECT sp.claim_id, sp.key, g.lang AS book, row_number() OVER (PARTITION BY sp.claim_id ORDER BY round(sp.score, 4) DESC, lexical_rank, sp.key) AS rank FROM sp JOIN rk USING (claim_id, key) JOIN graded g USING (key)),
+    f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY claim_id, book ORDER BY rank) = 1) SELECT claim_id, key, book, CAST(row_number() OVER z AS INT) AS place FROM f WINDOW z AS (PARTITION BY claim_id ORDER BY rank) QUALIFY row_number() OVER z <= 3""",
 )
 def _(spark, sf):
     g = graded(spark, sf).select("key", F.col("lang").alias("book"))
