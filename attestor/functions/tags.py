@@ -82,12 +82,13 @@ def tag_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 # A catalogue of Latin-script tags for the driver's tables, same mechanism.
+_ALONE = r"(?i)(?:^|[\s.,])(?:{})(?:[\s.,]|$)"
 LATIN_TAGS = {
-    "asks": r"(?i)\b(?:what|how|why|who|was|wie|warum|que|qui|comment)\b",
-    "negates": r"(?i)\b(?:not|no|nicht|pas|non)\b",
-    "names_license": r"(?i)\blicen[sc]e|copyright",
-    "has_contact": r"[\w.]+@[\w.]+",
-    "reports_speech": r"(?i)\b(?:that|dass|que)\b",
+    "asks": _ALONE.format("what|how|why|who|was|wie|warum|que|qui|comment"),
+    "negates": _ALONE.format("not|no|nicht|pas|non"),
+    "names_license": r"(?i)licen[sc]e|copyright",
+    "has_contact": r"[a-z.]+@[a-z.]+",
+    "reports_speech": _ALONE.format("that|dass|que"),
 }
 
 

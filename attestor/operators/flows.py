@@ -12,7 +12,7 @@ from ..functions import fixed_values as V
 from ..functions import grades as GR
 from ..functions import tags as T
 from ..functions import text as X
-from ..session import fits_broadcast
+from ..session import cut_lineage, fits_broadcast
 from . import claims as C
 from . import grams as G
 from . import lookup as L
@@ -233,17 +233,18 @@ def scan_claims(docs: DataFrame, canon: Canon, records: DataFrame, script: str)
 
 def all_claims(docs: DataFrame, canon: Canon, records: DataFrame, script: str, markers: list[C.Marker] = C.MARKERS, limit: int = 60) -> DataFrame:
     """Prioritised union: scans, then delimited marker quotations, then the other marker claims; noise dropped, capped."""
-    marked = C.extract_by_markers(docs, markers).drop("rule")
-    scanned = C.prefer_sayings(scan_claims(docs, canon, records, script), marked.filter("type = 'attributed_quote'"))
-    quick = C.absorb_closed(scanned, marked.filter(F.col("closed") & F.col("type").isin(*C.QUOTED)), docs, script).drop("rematch")
+    # every stage reads its inputs several times, so each is written once to the shared checkpoint folder
+    marked = cut_lineage(C.extract_by_markers(docs, markers).drop("rule"))
+    scanned = cut_lineage(C.prefer_sayings(scan_claims(docs, canon, records, script), marked.filter("type = 'attributed_quote'")))
+    quick = cut_lineage(C.absorb_closed(scanned, marked.filter(F.col("closed") & F.col("type").isin(*C.QUOTED)), docs, script).drop("rematch"))
     rest = marked.filter(~F.col("closed") | (F.col("type") == "attributed_quote"))
-    return C.cap_claims(C.drop_noise(C.merge_claims(quick, rest)), limit)
+    return C.cap_claims(C.drop_noise(cut_lineage(C.merge_claims(quick, rest))), limit)
 
 
 def verify_documents(docs: DataFrame, canon: Canon, graded: DataFrame, script: str, markers: list[C.Marker] = C.MARKERS, pages: DataFrame | None = None) -> DataFrame:
     """Flat verdicts of every claim of every document. ``graded``: (key BIGINT, text, attribution, grade, intro)."""
     claims = all_claims(docs, canon, graded.select(F.col("key").alias("src"), "text"), script, markers)
-    claims = claims.withColumn("branch", RU.dispatch_branch(F.col("type"), F.col("level"), F.col("is_question"))).withColumn("transcribed", F.lit(False))
+    claims = cut_lineage(claims).withColumn("branch", RU.dispatch_branch(F.col("type"), F.col("level"), F.col("is_question"))).withColumn("transcribed", F.lit(False))
     part = lambda b: claims.filter(F.col("branch") == b)
     keep = ["claim_id", "doc_id", "type", "quote", "start", "end", "level", "is_question", "state", "rule_id", "referral"]
     shown = keep + ["similarity", "source_key"]
