@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from .intervals import length, near_pairs, shared
 
 
 @dataclass(frozen=True)
@@ -243,8 +244,6 @@ def invariant_violations(verdicts: DataFrame) -> DataFrame:
 
 def overlapping_verdicts(verdicts: DataFrame) -> DataFrame:
     """Pairs of verdicts of one document that share more than half of the shorter one (must be empty)."""
-    a = verdicts.select("doc_id", F.col("claim_id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    b = verdicts.select("doc_id", F.col("claim_id").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    shared = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
-    shorter = F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start"))
-    return a.join(b, "doc_id").filter((F.col("a_id") < F.col("b_id")) & (shared > 0.5 * shorter))
+    v = verdicts.select("doc_id", "start", "end", F.col("claim_id").alias("id"))
+    pairs = near_pairs(v, v).filter(F.col("a_id") < F.col("b_id"))
+    return pairs.filter(shared() > 0.5 * F.least(length("a_"), length("b_")))
