@@ -96,13 +96,13 @@ def refine_open_quotes(claims: DataFrame, tries: DataFrame, scores: DataFrame, v
     return out.withColumn("end", F.col("start") + F.length("quote")) if "start" in claims.columns else out
 
 
-def graded_candidates(claims: DataFrame, corpora: dict[str, DataFrame], script: str, pool: int = 40, k: int = 40, with_diff: bool = False) -> DataFrame:
+def graded_candidates(claims: DataFrame, corpora: dict[str, DataFrame], script: str, pool: int = 40, k: int = 40) -> DataFrame:
     """Ranked, aligned candidates of every corpus. Each corpus: (key, text) and record columns."""
     cw, queries = R.claim_words(claims, script), R.query_claims(claims, script)
     parts = []
     for name, records in corpora.items():
         rw = R.record_words(records, script)
-        parts.append((name, R.align(R.bm25(queries, rw, pool), cw, rw, with_diff)))
+        parts.append((name, R.align(R.bm25(queries, rw, pool), cw, rw)))
     return R.rank_candidates(R.union_corpora(*parts), k)
 
 
@@ -111,16 +111,18 @@ def verify_graded(claims: DataFrame, graded: DataFrame, script: str, books: Data
     ``grade_rows``: optional further gradings (key, text, narrator, scholar, book, grade, url).
     """
     corpora = {"graded": graded} | ({"books": books} if books is not None else {})
-    cands = graded_candidates(claims, corpora, script, with_diff=True)
+    cands = graded_candidates(claims, corpora, script)
     about = graded.select(F.lit("graded").alias("corpus"), "key", "attribution", "grade", F.lit(None).cast("string").alias("book"), GR.in_trusted_collection(F.col("attribution")).alias("trusted"))
     if books is not None:
         about = about.unionByName(books.select(F.lit("books").alias("corpus"), "key", F.lit(None).cast("string").alias("attribution"), F.lit(None).cast("string").alias("grade"), "book", "trusted"))
     cw = R.claim_words(claims, script)
     counted = cw.select("claim_id", F.least(F.size("q"), X.content_words(F.col("q")) + 1).alias("quoted_words"))
     full = cands.join(about, ["corpus", "key"]).join(counted, "claim_id").withColumn("strong", F.col("similarity") >= RU.DEFAULT.required(F.col("quoted_words")))
+    full = cut_lineage(full)  # read four times below; the alignment behind it is the costly step
     # records of the graded corpus do not count as a trusted book when the primary is chosen
     strong = full.filter("strong").withColumn("any_trusted", F.max("trusted").over(W.partitionBy("claim_id"))).withColumn("trusted", F.col("trusted") & (F.col("corpus") == "books"))
-    primary = R.pick_primary(strong).select("claim_id", "corpus", "key", F.col("similarity").alias("p_sim"), F.col("diff").alias("p_diff"), "any_trusted")
+    primary = R.pick_primary(strong).select("claim_id", "corpus", "key", "span_start", "span_end", F.col("similarity").alias("p_sim"), "any_trusted")
+    primary = with_diff(primary, corpora, cw, script).drop("span_start", "span_end")
     classes = full.filter("strong and grade is not null").select("claim_id", GR.classify_grade(F.col("grade")).alias("g"))
     extra_best = None
     if grade_rows is not None:
@@ -146,6 +148,16 @@ def verify_graded(claims: DataFrame, graded: DataFrame, script: str, books: Data
     )
 
 
+def with_diff(chosen: DataFrame, corpora: dict[str, DataFrame], claims_w: DataFrame, script: str) -> DataFrame:
+    """Adds p_diff, the word differences of the chosen span: one row per claim, never per candidate."""
+    texts = union_texts(corpora).join(chosen.select("corpus", "key").distinct(), ["corpus", "key"], "left_semi")
+    w = G.once(texts, "s", X.aligned_words(F.col("text"), script, True)).select("corpus", "key", F.col("s.norm").alias("words"), F.col("s.orig").alias("orig"))
+    rows = chosen.join(w, ["corpus", "key"]).join(claims_w, "claim_id")
+    n = F.col("span_end") - F.col("span_start")
+    cut = lambda c: F.slice(c, F.col("span_start") + 1, n)
+    return rows.withColumn("p_diff", A.word_diff("q_orig", "q", cut("orig"), cut("words"))).drop("words", "orig", "q", "q_orig")
+
+
 def union_texts(corpora: dict[str, DataFrame]) -> DataFrame:
     parts = [df.select(F.lit(name).alias("corpus"), "key", "text") for name, df in corpora.items()]
     out = parts[0]

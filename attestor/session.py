@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,18 @@ def local_session(cores: str = "8", app: str = "attestor") -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
+    """Writes ``df`` once to the shared folder the session names in ``spark.checkpoint.dir`` and reads it back.
 
-    Only where no folder is configured (tests on one machine) is a temporary one set.
+    Unlike ``checkpoint()`` the plan runs once. Only where no folder is configured (tests on one machine) is a
+    temporary one used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attestor-ckpt-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="attestor-tables-")
+    path = f"{folder.rstrip('/')}/attestor-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, text: Column | None = None) -> bool:
