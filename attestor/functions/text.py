@@ -262,12 +262,16 @@ def fold_for_markers(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, V.FOLD_DIACRITICS, ""), V.MARKER_FROM, V.MARKER_TO)
 
 
-def original_offset(text: Column, folded_offset: Column) -> Column:
-    """Offset in ``text`` of the character that stands at ``folded_offset`` in its folded copy."""
+def original_offset(text: Column, folded_offset: Column, has_marks: Column | None = None) -> Column:
+    """Offset in ``text`` of the character that stands at ``folded_offset`` in its folded copy.
+
+    ``has_marks``: whether the text has marks at all, where the caller knows it once per text.
+    """
+    has_marks = text.rlike(V.FOLD_DIACRITICS) if has_marks is None else has_marks
     unmarked = F.filter(
         F.transform(F.split(text, ""), lambda c, i: F.when(~c.rlike(V.FOLD_DIACRITICS), i)), lambda i: i.isNotNull()
     )
-    return F.when(~text.rlike(V.FOLD_DIACRITICS), folded_offset).otherwise(F.coalesce(F.get(unmarked, folded_offset), F.length(text)))
+    return F.when(~has_marks, folded_offset).otherwise(F.coalesce(F.get(unmarked, folded_offset), F.length(text)))
 
 
 def matches_with_offsets(text: Column, pattern: str) -> Column:

@@ -77,6 +77,7 @@ def quote_after(plain: Column, pos: Column) -> Column:
 def extract_by_markers(docs: DataFrame, markers: list[Marker] = MARKERS) -> DataFrame:
     """Claims introduced by a marker: one narrow pass over the documents, one output row per hit."""
     base = G.once(docs.select("doc_id", "text"), "plain", X.fold_for_markers(F.col("text")))
+    base = G.once(base, "has_marks", F.col("text").rlike(V.FOLD_DIACRITICS))
     out = None
     for m in markers:
         rows = _marker_claims(base, m)
@@ -90,7 +91,7 @@ def extract_by_markers(docs: DataFrame, markers: list[Marker] = MARKERS) -> Data
 def _marker_claims(base: DataFrame, m: Marker) -> DataFrame:
     rows = base.filter(F.length("text") <= QUESTION_MAX_CHARS) if m.question else base
     rows = rows.filter(F.col("plain").rlike(m.pattern))
-    hit = rows.select("doc_id", "text", "plain", F.explode(X.matches_with_offsets(F.col("plain"), m.pattern)).alias("m"))
+    hit = rows.select("doc_id", "text", "plain", "has_marks", F.explode(X.matches_with_offsets(F.col("plain"), m.pattern)).alias("m"))
     if m.take == "after":
         span = quote_after(F.col("plain"), F.col("m.end"))
     elif m.take == "group":
@@ -109,12 +110,12 @@ def _marker_claims(base: DataFrame, m: Marker) -> DataFrame:
         reports_view = group.rlike(V.SCHOLAR_GROUP) & F.rtrim(F.col("m.hit")).endswith("ان")
         other = head.rlike("^" + V.NARRATION_MARKER.replace("(?i)", "(?i:", 1) + ")") | head.rlike("^" + V.CANON_MARKER.replace("(?i)", "(?i:", 1) + ")")
         at = F.col("m.start") + F.instr(F.col("m.hit"), group) - 1
-        a, b = X.original_offset(F.col("text"), at), X.original_offset(F.col("text"), at + F.length(group))
+        a, b = X.original_offset(F.col("text"), at, F.col("has_marks")), X.original_offset(F.col("text"), at + F.length(group), F.col("has_marks"))
         hit = hit.filter(~reports_view & ~other)
         named = F.trim(F.substr("text", a + 1, b - a))
     if m.question:
         hit = hit.filter(T.asked_of_the_tool(F.col("m.hit")))
-    a, b = X.original_offset(F.col("text"), F.col("s.start")), X.original_offset(F.col("text"), F.col("s.end"))
+    a, b = X.original_offset(F.col("text"), F.col("s.start"), F.col("has_marks")), X.original_offset(F.col("text"), F.col("s.end"), F.col("has_marks"))
     hit = hit.select("doc_id", "text", "s.closed", a.cast("int").alias("a"), b.cast("int").alias("b"), named.alias("attributed_to"))
     raw = F.substr("text", F.col("a") + 1, F.col("b") - F.col("a"))
     hit = hit.withColumn("lead", F.length(F.regexp_extract(raw, r"^[\s\p{Z}]*", 0))).withColumn("quote", F.regexp_replace(raw, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
