@@ -18,7 +18,7 @@ from ..operators import scan as S
 from .claim_queries import MARKERS, marked, MARKED
 from .common import *  # noqa: F403
 from .common import Registry
-from .scan_queries import ALTERED, SEEDS, TITLES, _ALIGNED, _FUZZY, aligned, altered_claims, canon, span_sql, title_pages
+from .scan_queries import ALTERED, CANON_SCAN, SEEDS, TITLES, _ALIGNED, _FUZZY, aligned, altered_claims, canon, span_sql, title_pages
 
 R = Registry()
 
@@ -388,7 +388,11 @@ def _(spark, sf):
     return b.select("item_id", win["before"].alias("before"), win["after"].alias("after"), A.has_unquoted(F.col("d")).alias("unquoted"))
 
 
-@R("str_1_documents_to_verdicts", None)
+@R("str_1_scan_verdicts", f"WITH RECURSIVE {CANON_SCAN} SELECT doc_id, CAST(i AS INT) AS start_w, CAST(i + len AS INT) AS end_w, 'supported' AS state, 'ayah.exact' AS rule_id, 'adopt' AS action FROM gr")
 def _(spark, sf):
-    v = FL.verify_documents(documents(spark, sf), canon(spark, sf), graded(spark, sf), SCRIPT, MARKERS[:1])
-    return v.select("claim_id", "doc_id", "type", "start", "end", "state", "rule_id", "action", "similarity")
+    """The certain verdicts, as the first of the two streams emits them for a batch of documents."""
+    c = canon(spark, sf)
+    runs = S.canon_scan(G.doc_words(documents(spark, sf), SCRIPT), c.tokens, c.idf, c.small)
+    yes, no = F.lit(True), F.lit(False)
+    d = RU.decide_canon(yes, yes, F.lit(1.0), F.col("end_w") - F.col("start_w"), no, no)
+    return runs.withColumn("d", d).select("doc_id", "start_w", "end_w", "d.state", "d.rule_id", RU.state_action(F.col("d.state")).alias("action"))
