@@ -1,6 +1,7 @@
 """Session helpers: settings that matter here, the shared checkpoint folder, size-checked broadcast."""
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -24,25 +25,28 @@ def local_session(cores: str = "8", app: str = "attestor") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="attestor-tables-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared folder the session names in ``spark.checkpoint.dir`` and reads it back.
-
-    Unlike ``checkpoint()`` the plan runs once. Only where no folder is configured (tests on one machine) is a
-    temporary one used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Only a session that is one machine's own may do without it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="attestor-tables-")
-    path = f"{folder.rstrip('/')}/attestor-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), f"attestor-tables-{spark.sparkContext.applicationId}")
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back. Unlike ``checkpoint()`` the plan runs once."""
+    path = f"{shared_folder(df.sparkSession)}/attestor-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, text: Column | None = None) -> bool:
