@@ -3,7 +3,8 @@
 Two texts link when their sets of word shingles have a Jaccard similarity of ``num / den`` or more (0.8).
 
 1. One pass over the texts gives every set a node id, its size and a bitmap signature (a bit per slot, flipped by
-   every shingle hashed there). Equal sets are one node from here on. The pass also notes which shingles are
+   every shingle hashed there; two to four slots for each shingle, so a bitmap's width follows from its size
+   band, and the wider of two is folded onto the other). Equal sets are one node from here on. The pass also notes which shingles are
    frequent; the list is cut at ``HINTS`` entries and only steers an order, never a result.
 2. Two similar sets of n and m >= n shingles share one of the first ``n - ceil(0.8 n) + 1`` of each in any common
    order. With frequent shingles last, a shared passage or line brings nobody together; what is shared by
@@ -11,7 +12,7 @@ Two texts link when their sets of word shingles have a Jaccard similarity of ``n
 3. Stars: in each tile, the node with the fewest rare shingles meets all others whose size fits. Pairs whose bit
    counts already rule them out go: the slots in which two bitmaps differ are at most the shingles in which
    the sets differ, so ``overlap <= (n + m - differing bits) / 2``. The rest is intersected exactly.
-4. Tiles whose nodes are not all connected by then are cut into units by size band and, when large, by hash, and
+4. Tiles whose other nodes are not all connected by then are cut into units by size band and, when large, by hash, and
    every unit compares the bitmaps of its pairs that are not connected yet. What the bound lets through is
    intersected exactly. So no link that could join two components is missed, and pairs inside a component,
    whose number may grow with the square of a group, are never formed.
@@ -40,7 +41,7 @@ from .components import connected
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # similarity as a fraction
-BITS = 1024
+LEAST_BITS = 64
 HINTS = 100_000  # most frequent shingles that the order knows; bounds what is broadcast
 HINT_LEAST = 32
 UNIT = 512  # nodes of one size band in a unit
@@ -77,22 +78,23 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, num: int = NUM, den: int = D
 
     about = sets.filter("shingle IS NULL AND n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     about = cut_lineage(about.join(tiles.select("node").distinct(), "node", "left_semi"))
-    texts = _texts_of(docs, about, size)
 
     star = tiles.filter(_sizes_fit(F.col("pivot_n"), F.col("n"), num, den) & (F.col("pivot") != F.col("node")))
     star = star.select(F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v")).distinct()
     a = about.select(F.col("node").alias("u"), F.col("n").alias("un"), F.col("bits").alias("ub"))
     b = about.select(F.col("node").alias("v"), F.col("n").alias("vn"), F.col("bits").alias("vb"))
     star = star.join(a, "u").join(b, "v").mapInArrow(_bound_pass(num, den), "u long, v long")
-    first = cut_lineage(_verified(star, texts, num, den, size))
+    first = cut_lineage(_verified(docs, star, num, den, size))
 
     labels = cut_lineage(connected(first))
-    rest = tiles.select("tile", "node", "n").join(labels, "node", "left").select("tile", "node", "n", F.coalesce("root", "node").alias("label"))
+    rest = tiles.filter("pivot <> node").select("tile", "node", "n").join(labels, "node", "left").select("tile", "node", "n", F.coalesce("root", "node").alias("label"))
     mixed = rest.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("cnt")).filter("lo <> hi")
-    units = _units(rest.join(mixed.select("tile", "cnt"), "tile"), num, den).join(about.select("node", "bits"), "node")
+    units = _units(rest.join(mixed.select("tile", "cnt"), "tile"), num, den)
+    open_ = units.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    units = units.join(open_.select("unit"), "unit", "left_semi").join(about.select("node", "bits"), "node")
     units = units.repartition("unit").sortWithinPartitions("unit", "side", "node")
     pairs = units.mapInArrow(_unit_pass(num, den), "u long, v long").distinct()
-    second = _verified(pairs, texts, num, den, size)
+    second = _verified(docs, pairs, num, den, size)
     return first.unionByName(second)
 
 
@@ -115,6 +117,15 @@ def _set_blocks(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndar
         yield a, b, *B.distinct_sorted(h, row, b - a)
 
 
+def _bitmaps(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    n = np.diff(at)
+    width = np.left_shift(1, np.ceil(np.log2(np.maximum(2 * n, LEAST_BITS))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(width)])
+    slot = np.repeat(first[:-1], n) + (h & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(slot, minlength=first[-1]) & 1).astype(bool))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((first // 8).astype(np.int32)), pa.py_buffer(packed)])
+
+
 def _sets_pass(size: int):
     """Per row its node, size and bitmap; besides, shingles that are repeated within a task, with their counts."""
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("cnt", pa.int64())])
@@ -130,10 +141,9 @@ def _sets_pass(size: int):
         for batch in batches:
             for a, b, h, at in _set_blocks(batch.column("text"), size):
                 rows = b - a
-                slot = np.repeat(np.arange(rows), np.diff(at)) * BITS + (h & B.U(BITS - 1)).astype(np.int64)
-                bits = np.packbits((np.bincount(slot, minlength=rows * BITS) & 1).astype(bool).reshape(rows, BITS), axis=1)
+                bits = _bitmaps(h, at)
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(a, rows), _node_ids(h, at).view(np.int64), np.diff(at), pa.array([x.tobytes() for x in bits], pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
+                    [batch.column("doc_id").slice(a, rows), _node_ids(h, at).view(np.int64), np.diff(at), bits, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
                     schema=schema,
                 )
                 seen.append(h)
@@ -225,10 +235,10 @@ def _tile_pass(batches):
         held = (tile[-1], pivot[-1], pivot_n[-1], node[-1], bool(many[-1]) if len(at) else given)
 
 
-def _texts_of(docs: DataFrame, about: DataFrame, size: int) -> DataFrame:
-    """(node, text), one text per node of ``about``: a bit table of fixed size keeps other texts out of the shuffle."""
+def _texts_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, text), one text per node of ``wanted``: a bit table of fixed size keeps other texts out of the shuffle."""
     slot = F.shiftrightunsigned("node", 64 - BLOOM_BITS)
-    words = about.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - BLOOM_BITS}) & 63 AS int))")).alias("b")).toArrow()
+    words = wanted.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - BLOOM_BITS}) & 63 AS int))")).alias("b")).toArrow()
     table = np.zeros(2 ** (BLOOM_BITS - 6), np.uint64)
     table[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     bloom = docs.sparkSession.sparkContext.broadcast(table)
@@ -251,7 +261,7 @@ def _texts_of(docs: DataFrame, about: DataFrame, size: int) -> DataFrame:
                     yield pa.record_batch([node[at_rows].view(np.int64), column.slice(a, b - a).take(pa.array(at_rows)).cast(pa.string())], names=["node", "text"])
 
     found = docs.select("text").mapInArrow(run, "node long, text string")
-    return cut_lineage(found.groupBy("node").agg(F.first("text").alias("text")).join(about.select("node"), "node", "left_semi"))
+    return cut_lineage(found.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi"))
 
 
 # --------------------------------------------------------------------------- bounds and exact test
@@ -262,22 +272,38 @@ def _bound(n: np.ndarray, m: np.ndarray, differing: np.ndarray, num: int, den: i
     return ((n + m - differing) // 2) * (num + den) >= num * (n + m)
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+def _folded(items: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of ``width`` bytes; a wider one is halved by laying one half over the other."""
+    out = np.empty((len(items), width // 8), np.uint64)
+    for k, x in enumerate(items):
+        v = np.frombuffer(x, np.uint64)
+        while len(v) > width // 8:
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        out[k] = v
+    return out
 
 
 def _bound_pass(num: int, den: int):
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                differing = np.bitwise_count(_bits(batch.column("ub")) ^ _bits(batch.column("vb"))).sum(1, dtype=np.int64)
-                keep = _bound(batch.column("un").to_numpy(), batch.column("vn").to_numpy(), differing, num, den)
-                yield batch.select(["u", "v"]).filter(pa.array(keep))
+            ub, vb = batch.column("ub").to_pylist(), batch.column("vb").to_pylist()
+            width = np.array([min(len(x), len(y)) for x, y in zip(ub, vb)], np.int64)
+            differing = np.zeros(len(width), np.int64)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                for part in np.array_split(at, -(-len(at) * w // 4_000_000)):
+                    x, y = (_folded([side[k] for k in part], w) for side in (ub, vb))
+                    differing[part] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            keep = _bound(batch.column("un").to_numpy(), batch.column("vn").to_numpy(), differing, num, den)
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, size: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, size: int) -> DataFrame:
+    """The pairs whose sets, made again from the texts, reach the similarity."""
+    pairs = cut_lineage(pairs)
+    texts = _texts_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), size)
     a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("ut")), texts.select(F.col("node").alias("v"), F.col("text").alias("vt"))
 
     def run(batches):
@@ -332,15 +358,16 @@ def _unit_pass(num: int, den: int):
         left = np.arange(len(node)) if own else np.flatnonzero(side == 0)
         right = left if own else np.flatnonzero(side == 1)
         step = max(1, 65_536 // max(1, len(right)))
+        few = max(1, 4_000_000 // (8 * bits.shape[1]))  # pairs at a time
         for s in range(0, len(left), step):
             i = left[s : s + step, None]
             j = right[None, :]
             open_ = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
             if own:
                 open_ &= i < j
-            x, y = np.nonzero(open_)
-            if len(x):
-                x, y = left[s + x], right[y]
+            xs, ys = np.nonzero(open_)
+            for k in range(0, len(xs), few):
+                x, y = left[s + xs[k : k + few]], right[ys[k : k + few]]
                 ok = _bound(n[x], n[y], np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64), num, den)
                 if ok.any():
                     a, b = node[x[ok]], node[y[ok]]
@@ -363,10 +390,10 @@ def _unit_pass(num: int, den: int):
         if not table.num_rows:
             return
         unit, side, own, node, n, label = (table.column(c).to_numpy() for c in ("unit", "side", "own", "node", "n", "label"))
-        bits = _bits(table.column("bits"))
+        bits = table.column("bits").to_pylist()
         edge = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if b - a > 1:
-                yield from pairs(node[a:b], n[a:b], label[a:b], side[a:b], bool(own[a]), bits[a:b])
+                yield from pairs(node[a:b], n[a:b], label[a:b], side[a:b], bool(own[a]), _folded(bits[a:b], min(map(len, bits[a:b]))))
 
     return run

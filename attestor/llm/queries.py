@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ngram_jaccard
+from . import decontaminate, language, ngram_jaccard
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,3 +28,37 @@ def table(spark, sf: str, name: str) -> DataFrame:
 def op1(spark, sf: str) -> DataFrame:
     out = ngram_jaccard.jaccard_components(table(spark, sf, "documents"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, w, len(w) AS n FROM (SELECT doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, w, len(w) AS n FROM (SELECT item_id,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+win AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT *, least(n, 10) AS k, unnest(range(1, greatest(n - 9, 1) + 1)) AS i FROM b WHERE n > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+dg AS (SELECT rid, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT d.*, k, unnest(range(1, n - k + 2)) AS i FROM d, sizes WHERE n >= k)),
+hit AS (SELECT rid, i, dg.k, item_id FROM dg JOIN win USING (k, g)),
+words AS (SELECT rid, count(DISTINCT i + o) AS n_hit FROM (SELECT rid, i, unnest(range(0, k)) AS o FROM (SELECT DISTINCT rid, i, k FROM hit)) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS h FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+""".replace("\\\\", "\\")
+
+
+@query("op2_benchmark_decontamination", OP2_SQL)
+def op2(spark, sf: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return out.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op10_language_id")
+def op10(spark, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(language.learned(docs)))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (~language.learned(docs)).alias("held_out"), "lang_pred", "score")
