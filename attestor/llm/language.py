@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 SAMPLE = 20_000  # rows that the filter is fitted on, at most
-TOP = 3_000  # n-grams of each language
+TOP = 500  # n-grams of each language; few enough to tell languages with common ones apart
 SLOTS = 2**17
 HASHES = 3
 UND = "und"

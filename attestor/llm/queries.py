@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, ngram_jaccard
+from . import decontaminate, fingerprints, language, ngram_jaccard
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -62,3 +62,8 @@ def op10(spark, sf: str) -> DataFrame:
     model = language.fit(docs.filter(language.learned(docs)))
     out = language.identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (~language.learned(docs)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_document_fingerprints")
+def op9(spark, sf: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf, "documents"))
