@@ -63,13 +63,17 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
 
 @dataclass
 class Words:
-    """Words of a block in order: byte range, row, hash; ``first[r]`` is the number of words before row r."""
+    """Words of a block in order: byte range, row, hash; ``first[r]`` is the number of words before row r.
+
+    ``total`` holds running sums of which ``span_hash`` makes the hash of any stretch of bytes.
+    """
 
     start: np.ndarray
     end: np.ndarray
     row: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    total: np.ndarray
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
@@ -88,9 +92,14 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(LOWER_CODES[data] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start])
     first = np.searchsorted(start, offsets)
-    return Words(start, end, np.repeat(np.arange(rows), np.diff(first)), h, first)
+    h = mix((total[end] - total[start]) * down[start])
+    return Words(start, end, np.repeat(np.arange(rows), np.diff(first)), h, first, total)
+
+
+def span_hash(w: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the lower-cased bytes a to b; a word's hash for a word's range."""
+    return mix((w.total[b] - w.total[a]) * powers(len(w.total))[1][a])
 
 
 def runs(h: np.ndarray, size: int) -> np.ndarray:

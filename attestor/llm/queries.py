@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, ngram_jaccard
+from . import decontaminate, fingerprints, language, ngram_jaccard, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -67,3 +67,11 @@ def op10(spark, sf: str) -> DataFrame:
 @query("op9_document_fingerprints")
 def op9(spark, sf: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf, "documents"))
+
+
+@query("op3_toxicity")
+def op3(spark, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    net = toxicity.fit(docs, labels.filter(toxicity.learned(labels)))
+    out = toxicity.scored(docs, net)
+    return out.select("doc_id", (~toxicity.learned(out)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
