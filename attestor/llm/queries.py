@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, ngram_jaccard, toxicity
+from . import decontaminate, fingerprints, language, mixing, ngram_jaccard, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -75,3 +75,9 @@ def op3(spark, sf: str) -> DataFrame:
     net = toxicity.fit(docs, labels.filter(toxicity.learned(labels)))
     out = toxicity.scored(docs, net)
     return out.select("doc_id", (~toxicity.learned(out)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_pfair_mixing")
+def op4(spark, sf: str) -> DataFrame:
+    """Square-root weights of the sources' sizes: small sources come more often than their share, the hot one less."""
+    return mixing.mixed(table(spark, sf, "documents").select("doc_id", "source"))
