@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, mixing, ngram_jaccard, toxicity
+from . import decontaminate, fingerprints, language, mixing, ngram_jaccard, pseudonyms, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -81,3 +81,8 @@ def op3(spark, sf: str) -> DataFrame:
 def op4(spark, sf: str) -> DataFrame:
     """Square-root weights of the sources' sizes: small sources come more often than their share, the hot one less."""
     return mixing.mixed(table(spark, sf, "documents").select("doc_id", "source"))
+
+
+@query("op5_pii_pseudonyms")
+def op5(spark, sf: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf, "documents").select("doc_id", "text"), count="n_replaced")
