@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, mixing, ngram_jaccard, pseudonyms, toxicity
+from . import decontaminate, fingerprints, language, mixing, ngram_jaccard, page_text, pseudonyms, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -86,3 +86,9 @@ def op4(spark, sf: str) -> DataFrame:
 @query("op5_pii_pseudonyms")
 def op5(spark, sf: str) -> DataFrame:
     return pseudonyms.pseudonymised(table(spark, sf, "documents").select("doc_id", "text"), count="n_replaced")
+
+
+@query("op7_html_main_text")
+def op7(spark, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return page_text.extracted(pages, page_text.fit(pages))
