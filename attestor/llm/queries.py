@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, mixing, ngram_jaccard, page_text, pseudonyms, toxicity
+from . import decontaminate, fingerprints, language, licenses, mixing, ngram_jaccard, page_text, pseudonyms, quality, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -92,3 +92,18 @@ def op5(spark, sf: str) -> DataFrame:
 def op7(spark, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     return page_text.extracted(pages, page_text.fit(pages))
+
+
+@query("op6_quality_cotraining")
+def op6(spark, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.fit(docs, labels.filter(quality.learned(labels)))
+    out = quality.scored(docs, model)
+    return out.select("doc_id", (~quality.learned(out)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_license_scan")
+def op8(spark, sf: str) -> DataFrame:
+    out = licenses.scanned(table(spark, sf, "documents"))
+    best = F.array_max(F.transform("matches", lambda m: m["coverage"]))
+    return out.select("doc_id", F.size("matches").alias("n_matches"), F.array_join(F.array_distinct(F.transform("matches", lambda m: m["license"])), ",").alias("licenses"), best.alias("coverage"), "matches")
