@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import blocks as B
 
@@ -224,7 +223,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with their own columns only."""
-    own = T.StructType(docs.schema.fields).fieldNames()
-    marked = with_matches(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "text"), benchmark, window)
-    return marked.filter(F.size("matches") == 0).select("row.*")
+    """The rows of ``docs`` that hold no window of the benchmark."""
+
+    def clean(shared):
+        def run(batches):
+            test = TestSuffixes(shared.value, window)
+            for batch in batches:
+                hit = [np.zeros(0, bool)]
+                for a, b, data, offsets in B.text_blocks(batch.column("text")):
+                    row, *_ = longest_matches(B.words(data, offsets, B.IS_ALNUM), test)
+                    hit.append(np.bincount(row, minlength=b - a) > 0)
+                yield batch.filter(pa.array(~np.concatenate(hit)))
+
+        return run
+
+    out = docs
+    for piece in test_pieces(benchmark, window):
+        out = out.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(piece)), docs.schema)
+    return out

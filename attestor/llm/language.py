@@ -119,38 +119,29 @@ def _has_letter(column: pa.Array) -> np.ndarray:
     return pc.fill_null(plain, False).to_numpy(zero_copy_only=False)
 
 
-def _scored(shared):
-    def run(batches):
-        model = shared.value
-        names = pa.array([*model.languages, UND], pa.string())
-        k = len(model.languages)
-        for batch in batches:
-            best, score = [], []
-            for a, b, data, offsets in B.text_blocks(batch.column("text")):
-                code, at = _grams(data, offsets)
-                mask = np.full(len(code), ~B.U(0), np.uint64)
-                for slot in _slots(code):
-                    mask &= model.masks[slot]
-                n = np.diff(at)
-                hits = np.zeros((b - a, max(k, 1)))
-                for lang in range(k):
-                    bits = ((mask >> B.U(lang)) & B.U(1)).astype(np.int64)
-                    raw = np.diff(np.concatenate([[0], np.cumsum(bits)])[at])
-                    rate = model.false_rate[lang]
-                    hits[:, lang] = np.maximum((raw - n * rate) / (1 - rate), 0)
-                top = hits.argmax(1)
-                share = np.minimum(hits.max(1) / np.maximum(n, 1), 1.0)
-                top[share == 0] = model.common
-                best.append(top)
-                score.append(share)
-            if not best:
-                continue
-            letter = _has_letter(batch.column("text")) & (k > 0)
-            pick = np.where(letter, np.concatenate(best), k)
-            values = {"lang_pred": names.take(pa.array(pick)), "score": pa.array(np.where(letter, np.concatenate(score), 0.0))}
-            yield pa.record_batch([values.get(c, batch.column(c) if c in batch.schema.names else None) for c in [*batch.schema.names, "lang_pred", "score"]], names=[*batch.schema.names, "lang_pred", "score"])
-
-    return run
+def predictions(model: Filter, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the language, score) of every text; the index after the last language stands for ``und``."""
+    k = len(model.languages)
+    best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for a, b, data, offsets in B.text_blocks(column):
+        code, at = _grams(data, offsets)
+        mask = np.full(len(code), ~B.U(0), np.uint64)
+        for slot in _slots(code):
+            mask &= model.masks[slot]
+        n = np.diff(at)
+        hits = np.zeros((b - a, max(k, 1)))
+        for lang in range(k):
+            bits = ((mask >> B.U(lang)) & B.U(1)).astype(np.int64)
+            raw = np.diff(np.concatenate([[0], np.cumsum(bits)])[at])
+            rate = model.false_rate[lang]
+            hits[:, lang] = np.maximum((raw - n * rate) / (1 - rate), 0)
+        top = hits.argmax(1)
+        share = np.minimum(hits.max(1) / np.maximum(n, 1), 1.0)
+        top[share == 0] = model.common
+        best.append(top)
+        score.append(share)
+    letter = _has_letter(column) & (k > 0)
+    return np.where(letter, np.concatenate(best), k), np.where(letter, np.concatenate(score), 0.0)
 
 
 def identify(docs: DataFrame, model: Filter) -> DataFrame:
@@ -158,12 +149,24 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     base = docs.select(*[f"`{c}`" for c in own])
-    schema = base.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return base.mapInArrow(_scored(shared), schema)
+
+    def run(batches):
+        names = pa.array([*shared.value.languages, UND], pa.string())
+        for batch in batches:
+            pick, score = predictions(shared.value, batch.column("text"))
+            yield pa.record_batch([*(batch.column(c) for c in own), names.take(pa.array(pick)), pa.array(score)], names=[*own, "lang_pred", "score"])
+
+    return base.mapInArrow(run, base.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
 
 
 def recognised(docs: DataFrame, model: Filter, least: float = LEAST_SHARE) -> DataFrame:
     """The rows of ``docs`` that are text of a learned language: not ``und``, and enough of their n-grams known."""
-    own = docs.columns
-    marked = identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "text"), model)
-    return marked.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        und = len(shared.value.languages)
+        for batch in batches:
+            pick, score = predictions(shared.value, batch.column("text"))
+            yield batch.filter(pa.array((pick != und) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

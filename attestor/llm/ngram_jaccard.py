@@ -51,17 +51,45 @@ BLOOM_BITS = 23
 
 def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, node) for every row of ``docs`` (doc_id, text)."""
+    rows, known = _components(docs, num, den, size)
+    out = rows.join(known, "node", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
+
+
+def deduplicated(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document with the smallest id stays.
+
+    Of repeated rows of that document one stays, and so do all documents without words.
+    """
+    _, known = _components(docs, num, den, size)
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("m")
+    keep = known.groupBy("root").agg(first).select(F.col("m.node").alias("__node"), F.col("m.first_id").alias("__first"))
+    schema = docs.withColumns({"__node": F.lit(0).cast("long"), "__words": F.lit(True)}).schema
+
+    def marked(batches):
+        for batch in batches:
+            for a, b, h, at in _set_blocks(batch.column("text"), size):
+                part = batch.slice(a, b - a)
+                yield pa.record_batch([*part.columns, pa.array(_node_ids(h, at).view(np.int64)), pa.array(np.diff(at) > 0)], names=schema.names)
+
+    stays = ~F.col("__words") | F.col("__first").eqNullSafe(F.col("doc_id").cast("long")) & F.col("__kept")
+    rows = docs.mapInArrow(marked, schema).join(keep.withColumn("__kept", F.lit(True)), "__node", "left").filter(stays)
+    # wordless rows are never repeats of each other
+    rows = rows.withColumn("__one", F.when(F.col("__words"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["__node", "doc_id", "__one"]).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _components(docs: DataFrame, num: int, den: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n) of every row, and (node, first_id, root, component_id) of every node with words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = cut_lineage(docs.mapInArrow(_sets_pass(size), "doc_id long, node long, n long, bits binary, shingle long, cnt long"))
     rows = sets.filter("shingle IS NULL").select("doc_id", "node", "n")
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    links = jaccard_links(docs, sets, num, den, size)
-    parts = cut_lineage(connected(links))
+    parts = cut_lineage(connected(jaccard_links(docs, sets, num, den, size)))
     smallest = parts.join(nodes, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    joined = nodes.join(parts.join(smallest, "root").select("node", "component_id"), "node", "left")
-    known = joined.select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = rows.join(known, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    joined = nodes.join(parts.join(smallest, "root"), "node", "left")
+    return rows, joined.select("node", "first_id", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
 
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN, size: int = SHINGLE) -> DataFrame:
