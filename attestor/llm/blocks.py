@@ -11,8 +11,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 2_000_000
+pa.set_memory_pool(pa.system_memory_pool())  # workers live on between tasks; this pool gives freed memory back
+
+BLOCK_BYTES = 1_000_000
+BATCH_ROWS = 2_000
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20_240_229))
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
@@ -39,6 +43,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``: whole texts are larger than usual rows."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

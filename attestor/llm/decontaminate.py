@@ -36,6 +36,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     A match is longest when neither the word before nor the word after it agrees; it holds at least one window.
     Windows of an item that is cut into pieces overlap, so that a match over a cut is reported by both pieces.
     """
+    B.small_batches(docs)
     names = [c for c in docs.columns if c not in ("n_words", "matches")]
     out = docs.select(*names, F.lit(0).alias("n_words"), F.array().cast(MATCH).alias("matches"))
     for piece in test_pieces(benchmark, window):
@@ -237,7 +238,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
         return run
 
-    out = docs
+    out = B.small_batches(docs)
     for piece in test_pieces(benchmark, window):
         out = out.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(piece)), docs.schema)
     return out

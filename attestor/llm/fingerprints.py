@@ -126,7 +126,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), hexed(signatures(batch.column("text")))], names=["doc_id", "fingerprint"])
 
-    base = docs.select("doc_id", "text")
+    base = B.small_batches(docs).select("doc_id", "text")
     return base.mapInArrow(run, base.select("doc_id", F.lit("").alias("fingerprint")).schema)
 
 
@@ -171,7 +171,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     text has the last quarter (rounded down, in code points) replaced by as many first code points of the
     successor's text, or all of it when it is shorter.
     """
-    tidy = by_ranges(docs.select("doc_id", "text")).repartition("part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    tidy = by_ranges(B.small_batches(docs).select("doc_id", "text")).repartition("part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = docs.select("doc_id").schema.add("n_chars", "long")
     for c in names[2:5]:

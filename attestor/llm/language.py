@@ -51,7 +51,7 @@ def learned(docs: DataFrame) -> Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Filter:
     """Learns from the rows of ``docs`` (doc_id, text, lang) that have both text and language."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    rows = B.small_batches(docs).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     # the share of ids that makes a sample of about this size is cut by hash, then exactly
     n = max(rows.count(), 1)
     share = int(min(1.0, 1.2 * sample / n + 1e-3) * 2**32)
@@ -147,6 +147,7 @@ def predictions(model: Filter, column: pa.Array) -> tuple[np.ndarray, np.ndarray
 def identify(docs: DataFrame, model: Filter) -> DataFrame:
     """``docs`` with lang_pred and score (columns of these names are replaced). Narrow: no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    B.small_batches(docs)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     base = docs.select(*[f"`{c}`" for c in own])
 
@@ -169,4 +170,4 @@ def recognised(docs: DataFrame, model: Filter, least: float = LEAST_SHARE) -> Da
             pick, score = predictions(shared.value, batch.column("text"))
             yield batch.filter(pa.array((pick != und) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return B.small_batches(docs).mapInArrow(run, docs.schema)

@@ -135,5 +135,5 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float
                     found[r] = [dict(zip(kind.names, m)) for m in matches_in(w.hash[w.first[r] : w.first[r + 1]], known, least)]
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(found, pa.list_(kind))], names=["doc_id", "matches"])
 
-    base = docs.select("doc_id", "text")
+    base = B.small_batches(docs).select("doc_id", "text")
     return base.mapInArrow(run, base.select("doc_id", F.array().cast(MATCHES).alias("matches")).schema)

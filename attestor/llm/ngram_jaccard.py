@@ -42,8 +42,8 @@ from .components import connected
 SHINGLE = 5
 NUM, DEN = 4, 5  # similarity as a fraction
 LEAST_BITS = 64
-HINTS = 100_000  # most frequent shingles that the order knows; bounds what is broadcast
-HINT_LEAST = 32
+HINTS = 500_000  # most frequent shingles that the order knows; bounds what is broadcast
+HINT_LEAST = 6
 UNIT = 512  # nodes of one size band in a unit
 FLUSH = 4_000_000
 BLOOM_BITS = 23
@@ -82,7 +82,7 @@ def deduplicated(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SH
 
 def _components(docs: DataFrame, num: int, den: int, size: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) of every row, and (node, first_id, root, component_id) of every node with words."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = B.small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     sets = cut_lineage(docs.mapInArrow(_sets_pass(size), "doc_id long, node long, n long, bits binary, shingle long, cnt long"))
     rows = sets.filter("shingle IS NULL").select("doc_id", "node", "n")
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
@@ -100,9 +100,9 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, num: int = NUM, den: int = D
         .orderBy(F.desc("cnt"), "shingle").limit(HINTS).select("shingle").toArrow()
     )
     order = spark.sparkContext.broadcast(hints.column("shingle").to_numpy().astype(np.uint64)[::-1].copy())
-    front = docs.select("text").mapInArrow(_front_pass(order, num, den, size), "tile long, rare float, node long, n long")
+    front = docs.select("text").mapInArrow(_front_pass(order, num, den, size), "tile long, rare float, node long, n long, place int")
     by_tile = front.repartition("tile").sortWithinPartitions("tile", "rare", "n", "node")
-    tiles = cut_lineage(by_tile.mapInArrow(_tile_pass, "tile long, pivot long, pivot_n long, node long, n long"))
+    tiles = cut_lineage(by_tile.mapInArrow(_tile_pass, "tile long, pivot long, pivot_n long, node long, n long, place long"))
 
     about = sets.filter("shingle IS NULL AND n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     about = cut_lineage(about.join(tiles.select("node").distinct(), "node", "left_semi"))
@@ -115,13 +115,14 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, num: int = NUM, den: int = D
     first = cut_lineage(_verified(docs, star, num, den, size))
 
     labels = cut_lineage(connected(first))
-    rest = tiles.filter("pivot <> node").select("tile", "node", "n").join(labels, "node", "left").select("tile", "node", "n", F.coalesce("root", "node").alias("label"))
+    rest = tiles.filter("pivot <> node").select("tile", "node", "n", "place").join(labels, "node", "left").select("tile", "node", "n", "place", F.coalesce("root", "node").alias("label"))
     mixed = rest.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("cnt")).filter("lo <> hi")
     units = _units(rest.join(mixed.select("tile", "cnt"), "tile"), num, den)
     open_ = units.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    units = units.join(open_.select("unit"), "unit", "left_semi").join(about.select("node", "bits"), "node")
+    units = units.join(open_.select("unit"), "unit", "left_semi").repartition("unit").sortWithinPartitions("unit", "side", "node")
+    units = units.mapInArrow(_unit_pass(num, den, False), units.schema).join(about.select("node", "bits"), "node")
     units = units.repartition("unit").sortWithinPartitions("unit", "side", "node")
-    pairs = units.mapInArrow(_unit_pass(num, den), "u long, v long").distinct()
+    pairs = units.mapInArrow(_unit_pass(num, den, True), "u long, v long").distinct()
     second = _verified(docs, pairs, num, den, size)
     return first.unionByName(second)
 
@@ -160,7 +161,7 @@ def _sets_pass(size: int):
 
     def frequent(parts: list[np.ndarray]) -> pa.RecordBatch:
         value, cnt = np.unique(np.concatenate(parts), return_counts=True)
-        keep = cnt >= 3
+        keep = cnt >= 2
         k = int(keep.sum())
         return pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), value[keep].view(np.int64), cnt[keep]], schema=schema)
 
@@ -217,10 +218,11 @@ def _front_pass(order, num: int, den: int, size: int):
                 take[n == 0] = 0
                 row = np.repeat(np.arange(rows), n)
                 front = (np.arange(len(h)) - at2[row]) < take[row]
+                place = (np.arange(len(h)) - at2[row])[front].astype(np.int32)
                 row = row[front]
                 yield pa.record_batch(
-                    [h[front].view(np.int64), rare[row].astype(np.float32), node[row].view(np.int64), n[row]],
-                    names=["tile", "rare", "node", "n"],
+                    [h[front].view(np.int64), rare[row].astype(np.float32), node[row].view(np.int64), n[row], place],
+                    names=["tile", "rare", "node", "n", "place"],
                 )
 
     return run
@@ -229,9 +231,9 @@ def _front_pass(order, num: int, den: int, size: int):
 def _tile_pass(batches):
     """Rows sorted by tile; those of tiles with two nodes or more, each with its tile's first node."""
     held = None  # the open tile so far: tile, pivot, pivot_n, last node, whether the pivot was given out
-    names = ["tile", "pivot", "pivot_n", "node", "n"]
+    names = ["tile", "pivot", "pivot_n", "node", "n", "place"]
     for batch in batches:
-        tile, node, n = (batch.column(c).to_numpy() for c in ("tile", "node", "n"))
+        tile, node, n, place = (batch.column(c).to_numpy() for c in ("tile", "node", "n", "place"))
         if not len(tile):
             continue
         new = np.ones(len(tile), bool)
@@ -249,18 +251,18 @@ def _tile_pass(batches):
         member = ~new & ~same & (node != pivot)
         given = held is not None and held[4]
         if held is not None and not given and (member & (group < 0)).any():
-            lead.append((held[0], held[1], held[2], held[1], held[2]))
+            lead.append((held[0], held[1], held[2], held[1], held[2], held[5]))
             given = True
         many = np.bincount(group[member & (group >= 0)], minlength=len(at)) > 0 if len(at) else np.zeros(0, bool)
         starts = at[many]
         keep = member.copy()
         keep[starts] = True
-        out = [tile[keep], pivot[keep], pivot_n[keep], node[keep], n[keep]]
+        out = [tile[keep], pivot[keep], pivot_n[keep], node[keep], n[keep], place[keep]]
         if lead:
             out = [np.concatenate([[x], y]) for x, y in zip(lead[0], out)]
         if len(out[0]):
             yield pa.record_batch([x.astype(np.int64) for x in out], names=names)
-        held = (tile[-1], pivot[-1], pivot_n[-1], node[-1], bool(many[-1]) if len(at) else given)
+        held = (tile[-1], pivot[-1], pivot_n[-1], node[-1], bool(many[-1]) if len(at) else given, place[at[-1]] if len(at) else held[5])
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -371,35 +373,31 @@ def _units(rows: DataFrame, num: int, den: int) -> DataFrame:
     salts = F.ceil(F.col("cnt") / UNIT).cast("int")
     rows = rows.withColumn("band", band).withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    within = other.select("tile", "node", "n", "label", F.col("band").alias("b"), F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), F.lit(0).alias("kind"), F.when(F.col("salt") <= F.col("other"), 0).otherwise(1).alias("side"))
-    lower = other.select("tile", "node", "n", "label", F.col("band").alias("b"), F.col("salt").alias("s1"), F.col("other").alias("s2"), F.lit(1).alias("kind"), F.lit(0).alias("side"))
-    upper = other.select("tile", "node", "n", "label", (F.col("band") - 1).alias("b"), F.col("other").alias("s1"), F.col("salt").alias("s2"), F.lit(1).alias("kind"), F.lit(1).alias("side"))
+    within = other.select("tile", "node", "n", "place", "label", F.col("band").alias("b"), F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), F.lit(0).alias("kind"), F.when(F.col("salt") <= F.col("other"), 0).otherwise(1).alias("side"))
+    lower = other.select("tile", "node", "n", "place", "label", F.col("band").alias("b"), F.col("salt").alias("s1"), F.col("other").alias("s2"), F.lit(1).alias("kind"), F.lit(0).alias("side"))
+    upper = other.select("tile", "node", "n", "place", "label", (F.col("band") - 1).alias("b"), F.col("other").alias("s1"), F.col("salt").alias("s2"), F.lit(1).alias("kind"), F.lit(1).alias("side"))
     unit = F.xxhash64("tile", "b", "kind", "s1", "s2").alias("unit")
     own = ((F.col("kind") == 0) & (F.col("s1") == F.col("s2"))).cast("int").alias("own")
-    return within.unionByName(lower).unionByName(upper).select(unit, "side", own, "node", "n", "label")
+    return within.unionByName(lower).unionByName(upper).select(unit, "side", own, "node", "n", "place", "label")
 
 
-def _unit_pass(num: int, den: int):
-    """Rows sorted by unit; the pairs of a unit that have different labels, fitting sizes and bitmaps that allow a link."""
+def _unit_pass(num: int, den: int, with_bits: bool):
+    """Rows sorted by unit. Without bitmaps: the rows that have a partner; with them: the pairs (u, v) that may link.
 
-    def pairs(node, n, label, side, own, bits):
-        left = np.arange(len(node)) if own else np.flatnonzero(side == 0)
+    Partners have different labels and fitting sizes, and their places leave room for the overlap: when the
+    unit's shingle is the first that two sets share, at most the shingles from there on can be shared. When it is
+    not, the tile of the first one brings the two together.
+    """
+
+    def partners(n, place, label, side, own):
+        left = np.arange(len(n)) if own else np.flatnonzero(side == 0)
         right = left if own else np.flatnonzero(side == 1)
         step = max(1, 65_536 // max(1, len(right)))
-        few = max(1, 4_000_000 // (8 * bits.shape[1]))  # pairs at a time
         for s in range(0, len(left), step):
-            i = left[s : s + step, None]
-            j = right[None, :]
-            open_ = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
-            if own:
-                open_ &= i < j
-            xs, ys = np.nonzero(open_)
-            for k in range(0, len(xs), few):
-                x, y = left[s + xs[k : k + few]], right[ys[k : k + few]]
-                ok = _bound(n[x], n[y], np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64), num, den)
-                if ok.any():
-                    a, b = node[x[ok]], node[y[ok]]
-                    yield pa.record_batch([np.minimum(a, b), np.maximum(a, b)], names=["u", "v"])
+            i, j = left[s : s + step, None], right[None, :]
+            room = np.minimum(n[i] - place[i], n[j] - place[j]) * (num + den) >= num * (n[i] + n[j])
+            x, y = np.nonzero(room & (label[i] != label[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & ((i < j) | (not own)))
+            yield left[s + x], right[y]
 
     def run(batches):
         rest = None
@@ -417,11 +415,29 @@ def _unit_pass(num: int, den: int):
     def units(table):
         if not table.num_rows:
             return
-        unit, side, own, node, n, label = (table.column(c).to_numpy() for c in ("unit", "side", "own", "node", "n", "label"))
-        bits = table.column("bits").to_pylist()
+        unit, side, own, node, n, place, label = (table.column(c).to_numpy() for c in ("unit", "side", "own", "node", "n", "place", "label"))
+        bits = table.column("bits").to_pylist() if with_bits else None
+        has = np.zeros(len(unit), bool)
         edge = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
+        us, vs = [], []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if b - a > 1:
-                yield from pairs(node[a:b], n[a:b], label[a:b], side[a:b], bool(own[a]), _folded(bits[a:b], min(map(len, bits[a:b]))))
+            if b - a < 2:
+                continue
+            maps = _folded(bits[a:b], min(map(len, bits[a:b]))) if with_bits else None
+            for x, y in partners(n[a:b], place[a:b], label[a:b], side[a:b], bool(own[a])):
+                if not with_bits:
+                    has[a + x] = has[a + y] = True
+                    continue
+                few = max(1, 4_000_000 // (8 * maps.shape[1]))  # pairs at a time
+                for k in range(0, len(x), few):
+                    p, q = a + x[k : k + few], a + y[k : k + few]
+                    ok = _bound(n[p], n[q], np.bitwise_count(maps[p - a] ^ maps[q - a]).sum(1, dtype=np.int64), num, den)
+                    us.append(node[p[ok]])
+                    vs.append(node[q[ok]])
+        if not with_bits:
+            yield table.filter(pa.array(has))
+        elif us:
+            u, v = np.concatenate(us), np.concatenate(vs)
+            yield pa.record_batch([np.minimum(u, v), np.maximum(u, v)], names=["u", "v"])
 
     return run

@@ -199,5 +199,5 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 score = combined(shared.value, content_view(part.column("text")), metadata_view(part))
                 yield pa.record_batch([part.column("doc_id"), pa.array(score.astype(float))], names=["doc_id", "score"])
 
-    base = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    base = B.small_batches(docs).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     return base.mapInArrow(run, base.select("doc_id", F.lit(0.0).alias("score")).schema)

@@ -355,5 +355,5 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
             score = 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -30, 30))) if model.trained else np.zeros(len(z))
             yield pa.record_batch([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
-    base = docs.select("doc_id", "text")
+    base = B.small_batches(docs).select("doc_id", "text")
     return base.mapInArrow(run, base.select("doc_id", F.lit(0.0).alias("score")).schema)
