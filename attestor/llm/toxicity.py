@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-SAMPLE = 2_000  # labelled texts of either class, at most
+SAMPLE = 800  # labelled texts of either class, at most
 STEPS, STRIDE = 32, 16
 WORDS, CHARS = 2**14, 2**15  # hash buckets
 WIDTH, HIDDEN, ATTENTION = 4, 8, 8
@@ -63,8 +63,8 @@ def inputs(data: np.ndarray, offsets: np.ndarray) -> Inputs:
     grams, owner = [], []
 
     def add(rows, lo, hi, kind):
-        grams.append(((B.span_hash(w, lo, hi) + B.U(kind * int(B.BASE) % 2**64)) * B.BASE >> B.U(49)).astype(np.int64))
-        owner.append(rows)
+        grams.append(((B.span_hash(w, lo, hi) + B.U(kind * int(B.BASE) % 2**64)) * B.BASE >> B.U(49)).astype(np.int32))
+        owner.append(rows.astype(np.int32))
 
     for k in range(3, 9):
         rows = np.flatnonzero(n >= k)
@@ -82,6 +82,16 @@ def inputs(data: np.ndarray, offsets: np.ndarray) -> Inputs:
     return Inputs(word, gram[order], owner[order], seq, w.first)
 
 
+def some(x: Inputs, words: np.ndarray) -> Inputs:
+    """The inputs of these words alone (ascending, the padding among them or not), with a padding of their own."""
+    real = words[words < len(x.word) - 1]
+    lo, hi = np.searchsorted(x.gram_of, real), np.searchsorted(x.gram_of, real, "right")
+    n = hi - lo
+    owner = np.repeat(np.arange(len(real)), n)
+    gram = x.gram[lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)]
+    return Inputs(np.append(x.word[real], 0), gram, owner, np.zeros(0, np.int64), np.zeros(1, np.int64))
+
+
 def windows(x: Inputs) -> tuple[np.ndarray, np.ndarray]:
     """(index of the words of every window, row of each window); a row without words has one empty window."""
     n = np.diff(x.first)
@@ -184,11 +194,8 @@ def _step(params: np.ndarray, grad: np.ndarray, memory: dict, name: str, rate: f
 
 def train_batch(net: Network, x: Inputs, index: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float) -> float:
     used, local = np.unique(index, return_inverse=True)
-    pad = len(x.word) - 1
-    if used[-1] != pad:
-        used = np.append(used, pad)
-    local = local.reshape(index.shape)
-    emb = embedded(net, x)[used]
+    x, local = some(x, used), local.reshape(index.shape)  # the padding, if there, is the last of both
+    emb = embedded(net, x)
     proj, c = projections(net, emb), {}
     logit = logits(net, proj, local, c)
     p = sigmoid(logit)
@@ -222,15 +229,10 @@ def train_batch(net: Network, x: Inputs, index: np.ndarray, label: np.ndarray, w
         demb += dproj @ net.inp[d].T
     for name, g in grads.items():
         _step(getattr(net, name), g.astype(f4), net.memory, name, rate)
-    real = used != pad
-    dword = np.zeros_like(net.word)
-    np.add.at(dword, x.word[used[real]], demb[real][:, :WIDTH])
+    dword, dchar = np.zeros_like(net.word), np.zeros_like(net.char)
+    np.add.at(dword, x.word[:-1], demb[:-1, :WIDTH])
     _step(net.word, dword, net.memory, "word", rate)
-    place = np.full(len(x.word), -1)
-    place[used[real]] = np.flatnonzero(real)
-    mine = place[x.gram_of] >= 0
-    dchar = np.zeros_like(net.char)
-    np.add.at(dchar, x.gram[mine], demb[place[x.gram_of[mine]]][:, WIDTH:] * f4(0.25))
+    np.add.at(dchar, x.gram, demb[x.gram_of, WIDTH:] * f4(0.25))
     _step(net.char, dchar, net.memory, "char", rate)
     return float(-(np.log(np.where(label > 0, p, 1 - p) + 1e-7) * weight).sum() / weight.sum())
 
