@@ -192,16 +192,17 @@ def content_words(ws: Column, stop: list[str] = V.RETRIEVAL_STOP) -> Column:
     return F.size(content_word_set(ws, stop))
 
 
-def query_terms(ws: Column, limit: int = 36, stop: list[str] = V.RETRIEVAL_STOP) -> Column:
+def query_terms(ws: Column, limit: int | None = None, stop: list[str] = V.RETRIEVAL_STOP) -> Column:
     """Distinct non-stop words of two letters or more in text order; all such words when fewer than two are left."""
     strict = content_word_set(ws, stop)
     loose = F.array_distinct(F.filter(ws, lambda w: F.length(w) >= 2))
-    return F.slice(F.when(F.size(strict) >= 2, strict).otherwise(loose), 1, limit)
+    terms = F.when(F.size(strict) >= 2, strict).otherwise(loose)
+    return terms if limit is None else F.slice(terms, 1, limit)
 
 
-def alternate_terms(text: Column, limit: int = 40) -> Column:
+def alternate_terms(text: Column, limit: int | None = None) -> Column:
     long = F.filter(tokens(text, "latin"), lambda w: F.length(w) > 2)
-    return F.when(F.size(long) >= 2, F.array_distinct(F.slice(long, 1, limit))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(long) >= 2, F.array_distinct(long if limit is None else F.slice(long, 1, limit))).otherwise(F.array().cast("array<string>"))
 
 
 def stems(text: Column, script: str = "arabic", titles: bool = False) -> Column:

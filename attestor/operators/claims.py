@@ -200,9 +200,10 @@ def long_enough(claims: DataFrame, script: str, min_words: int = 6, min_content:
     return ws.filter((F.size("ws") >= min_words) & (X.content_words(F.col("ws")) >= min_content)).drop("ws")
 
 
-def sentences(docs: DataFrame, limit: int = 200, script: str = "arabic", min_words: int = 6, min_content: int = 4) -> DataFrame:
-    """Candidate sentences with offsets: (doc_id, n, quote, start, end), the first ``limit`` pieces of a text."""
-    found = docs.select("doc_id", F.posexplode(X.matches_with_offsets(F.col("text"), "[^.؟!\\n؛]+")).alias("n", "m")).filter(F.col("n") < limit)
+def sentences(docs: DataFrame, limit: int | None = None, script: str = "arabic", min_words: int = 6, min_content: int = 4) -> DataFrame:
+    """Candidate sentences with offsets: (doc_id, n, quote, start, end), of the first ``limit`` pieces of a text if one is given."""
+    found = docs.select("doc_id", F.posexplode(X.matches_with_offsets(F.col("text"), "[^.؟!\\n؛]+")).alias("n", "m"))
+    found = found if limit is None else found.filter(F.col("n") < limit)
     lead = F.length(F.regexp_extract("m.hit", r"^[\s\p{Z}]*", 0))
     s = found.select("doc_id", "n", F.regexp_replace("m.hit", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("quote"), (F.col("m.start") + lead).alias("start"))
     s = s.withColumn("end", F.col("start") + F.length("quote")).filter(F.size(F.split("quote", r"\s+")) >= min_words)
@@ -479,10 +480,11 @@ def drop_noise(claims: DataFrame, shown: DataFrame | None = None, quotations: Da
     return claims.join(gone.distinct(), ["doc_id", "claim_id"], "left_anti")
 
 
-def cap_claims(claims: DataFrame, limit: int = 60) -> DataFrame:
-    """At most ``limit`` claims per document, scan results before the others, then in text order."""
+def cap_claims(claims: DataFrame, limit: int | None = None) -> DataFrame:
+    """Numbers the claims of a document, at most ``limit`` of them if one is given: scan results before the others, then in text order."""
     w = W.partitionBy("doc_id").orderBy(F.col("origin").endswith("_scan").cast("int").desc(), "start", "claim_id")
-    return claims.withColumn("index", F.row_number().over(w)).filter(F.col("index") <= limit)
+    numbered = claims.withColumn("index", F.row_number().over(w))
+    return numbered if limit is None else numbered.filter(F.col("index") <= limit)
 
 
 def new_claims(merged: DataFrame, announced: DataFrame) -> DataFrame:

@@ -243,7 +243,7 @@ def scan_claims(docs: DataFrame, canon: Canon, records: DataFrame, script: str)
     )
 
 
-def all_claims(docs: DataFrame, canon: Canon, records: DataFrame, script: str, markers: list[C.Marker] = C.MARKERS, limit: int = 60) -> DataFrame:
+def all_claims(docs: DataFrame, canon: Canon, records: DataFrame, script: str, markers: list[C.Marker] = C.MARKERS, limit: int | None = None) -> DataFrame:
     """Prioritised union: scans, then delimited marker quotations, then the other marker claims; noise dropped, capped."""
     # every stage reads its inputs several times, so each is written once to the shared checkpoint folder
     marked = cut_lineage(C.extract_by_markers(docs, markers).drop("rule"))

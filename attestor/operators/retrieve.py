@@ -70,7 +70,7 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("lexical_rank", F.row_number().over(w) - 1).filter(F.col("lexical_rank") < k)
 
 
-def query_claims(claims: DataFrame, script: str, limit: int = 36) -> DataFrame:
+def query_claims(claims: DataFrame, script: str, limit: int | None = None) -> DataFrame:
     """(claim_id, terms) from quoted texts."""
     ws = G.once(claims.select("claim_id", "quote"), "ws", X.aligned_words(F.col("quote"), script, True)["norm"])
     return ws.select("claim_id", X.query_terms(F.col("ws"), limit).alias("terms"))

@@ -127,7 +127,7 @@ def _(spark, sf):
 SENT = (
     r"se0 AS (SELECT doc_id, text, regexp_extract_all(text, '[^.؟!\n؛]+') AS hs, regexp_split_to_array(text, '[^.؟!\n؛]+') AS bs FROM documents), "
     "se1 AS (SELECT doc_id, hs[k] AS hit, k - 1 AS n, list_sum(list_transform(bs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hs[1:k - 1], lambda x: length(x))), 0) AS ms FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS k FROM se0)), "
-    r"se2 AS (SELECT doc_id, n, regexp_replace(hit, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS quote, ms + length(regexp_extract(hit, '^[\s\pZ]*')) AS start FROM se1 WHERE n < 200), "
+    r"se2 AS (SELECT doc_id, n, regexp_replace(hit, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS quote, ms + length(regexp_extract(hit, '^[\s\pZ]*')) AS start FROM se1), "
     rf"se AS (SELECT doc_id, n, quote, start, start + length(quote) AS e FROM se2 WHERE len(regexp_split_to_array(quote, '\s+')) >= 6 AND len(list_distinct(list_filter({tokens_sql('quote')}, lambda x: length(x) >= 2))) >= 4)"
 )
 
@@ -183,16 +183,13 @@ def _(spark, sf):
 @R(
     "joi_12_merge_claims",
     f"""WITH RECURSIVE {MARKED}, {SENT}, {SCL}, x AS (SELECT cid, doc_id, start, e, row_number() OVER (PARTITION BY doc_id ORDER BY start, e, type, cid) AS n FROM mk WHERE type = 'hadith'),
-    f(doc_id, n, cid, start, e, kept, acc) AS (SELECT doc_id, 0, NULL::VARCHAR, 0, 0, FALSE, list({{'s': start, 'e': e}}) FROM sc GROUP BY doc_id
+    f(doc_id, n, cid, start, e, kept, acc) AS (SELECT doc_id, 0, NULL::VARCHAR, 0, 0, FALSE, coalesce(list({{'s': start, 'e': e}}) FILTER (start IS NOT NULL), list_filter([{{'s': 0, 'e': 0}}], lambda p: FALSE)) FROM (SELECT doc_id, start, e FROM sc UNION ALL SELECT DISTINCT doc_id, NULL, NULL FROM x) GROUP BY doc_id
       UNION ALL SELECT doc_id, n, cid, start, e, keep, CASE WHEN keep THEN list_append(acc, {{'s': start, 'e': e}}) ELSE acc END FROM (
         SELECT x.*, f.acc, NOT (cov > 0 AND cov >= 0.6 * (x.e - x.start)) AS keep FROM f JOIN x ON x.doc_id = f.doc_id AND x.n = f.n + 1, LATERAL (SELECT coalesce(list_sum(list_transform(f.acc, lambda p: greatest(0, least(p.e, x.e) - greatest(p.s, x.start)))), 0) AS cov)))
-    SELECT cid AS claim_id FROM sc UNION ALL SELECT cid FROM f WHERE kept UNION ALL SELECT * FROM (SELECT cid FROM x WHERE doc_id NOT IN (SELECT doc_id FROM sc) AND n = 1)""",
+    SELECT cid AS claim_id FROM sc UNION ALL SELECT cid FROM f WHERE kept""",
 )
 def _(spark, sf):
-    m = marked(spark, sf, "hadith").join(sentence_claims(spark, sf).select("doc_id").distinct(), "doc_id", "left_semi")
-    first = marked(spark, sf, "hadith").join(sentence_claims(spark, sf).select("doc_id").distinct(), "doc_id", "left_anti")
-    alone = first.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("start", "end", "claim_id"))).filter("n = 1").select("claim_id")
-    return C.merge_claims(sentence_claims(spark, sf), m).select("claim_id").unionByName(alone)
+    return C.merge_claims(sentence_claims(spark, sf), marked(spark, sf, "hadith")).select("claim_id")
 
 
 @R(

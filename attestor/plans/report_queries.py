@@ -343,7 +343,10 @@ def _(spark, sf):
     return RP.spend_guard(calls(spark, sf), 500.0).select("call_id", F.round("spent_before", 4).alias("spent_before"), "guard_active")
 
 
-@R("str_4_reused_answers", "WITH e AS (SELECT event_type || '-' || user_id AS k, epoch_us(ts) / 1e6 AS s, event_id FROM events), f AS (SELECT k, min(s) AS t0 FROM e GROUP BY k), p AS (SELECT k, floor((s - t0) / 432000) AS period, event_id, s FROM e JOIN f USING (k)) SELECT k, CAST(period AS BIGINT) AS period, arg_min(event_id, s) AS v FROM p GROUP BY k, period")
+@R("str_4_reused_answers", """WITH RECURSIVE e AS (SELECT event_type || '-' || user_id AS k, epoch_us(ts) / 1e6 AS s, event_id, row_number() OVER (PARTITION BY event_type || '-' || user_id ORDER BY ts, event_id) AS n FROM events),
+    f AS (SELECT k, n, s AS last, event_id, TRUE AS counts FROM e WHERE n = 1
+      UNION ALL SELECT e.k, e.n, CASE WHEN e.s - f.last > 432000 THEN e.s ELSE f.last END, e.event_id, e.s - f.last > 432000 FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1)
+    SELECT k, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS period, event_id AS v FROM f WHERE counts""")
 def _(spark, sf):
     e = table(spark, sf, "events").select(F.concat_ws("-", "event_type", "user_id").alias("k"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("v"))
     return ST.reuse_answers(e, 5).select("k", "period", "v")

@@ -333,7 +333,7 @@ def _(spark, sf):
 
 TERMS = (
     "qu AS (SELECT claim_id, unnest(q) AS x, generate_subscripts(q, 1) AS k FROM qs), qf AS (SELECT claim_id, x, min(k) AS k FROM qu WHERE length(x) >= 2 GROUP BY ALL), "
-    "qterm AS (SELECT claim_id, x AS term FROM qf QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY k) <= 36)"
+    "qterm AS (SELECT claim_id, x AS term FROM qf)"
 )
 BM = (
     "sc AS (SELECT claim_id, key, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qterm JOIN po USING (term) JOIN df USING (term), st GROUP BY ALL), "
@@ -357,7 +357,7 @@ def _(spark, sf):
 
 _ALT = (
     f"{GRADED.replace('FROM documents JOIN labels USING (doc_id)', 'FROM documents JOIN labels USING (doc_id)')}, rec AS (SELECT key, {words_sql('text', False)} AS w FROM graded WHERE lang = 'en'), {STATS}, "
-    f"q0 AS (SELECT CAST(item_id AS VARCHAR) AS claim_id, list_filter({tokens_sql('text', False)}, lambda x: length(x) > 2)[1:40] AS q FROM benchmark), qterm AS (SELECT DISTINCT claim_id, unnest(q) AS term FROM q0 WHERE len(q) >= 2), {BM}"
+    f"q0 AS (SELECT CAST(item_id AS VARCHAR) AS claim_id, list_filter({tokens_sql('text', False)}, lambda x: length(x) > 2) AS q FROM benchmark), qterm AS (SELECT DISTINCT claim_id, unnest(q) AS term FROM q0 WHERE len(q) >= 2), {BM}"
 )
 
 

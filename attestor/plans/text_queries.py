@@ -78,11 +78,11 @@ def _(spark, sf):
     f AS (SELECT doc_id, x, min(k) AS k, NOT list_contains({STOP_SQL}, x) AS strict FROM u WHERE length(x) >= 2 GROUP BY ALL),
     c AS (SELECT doc_id, count(*) FILTER (strict) AS ns FROM f GROUP BY doc_id),
     r AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS rn FROM f JOIN c USING (doc_id) WHERE strict OR ns < 2)
-    SELECT t.doc_id, coalesce(string_agg(x, ' ' ORDER BY rn) FILTER (rn <= 36), '') AS terms FROM t LEFT JOIN r USING (doc_id) GROUP BY t.doc_id""",
+    SELECT t.doc_id, coalesce(string_agg(x, ' ' ORDER BY rn), '') AS terms FROM t LEFT JOIN r USING (doc_id) GROUP BY t.doc_id""",
 )
 def _(spark, sf):
     w = G.once(documents(spark, sf), "w", X.tokens(F.col("text"), SCRIPT))
-    return w.select("doc_id", F.array_join(X.query_terms(F.col("w"), 36, LATIN_STOP), " ").alias("terms"))
+    return w.select("doc_id", F.array_join(X.query_terms(F.col("w"), stop=LATIN_STOP), " ").alias("terms"))
 
 
 _STRIP = "CASE " + " ".join(f"WHEN starts_with(x, '{p}') AND length(x) - {len(p)} >= 3 THEN substr(x, {len(p) + 1})" for p in V.STEM_PREFIXES) + " ELSE x END"

@@ -117,13 +117,21 @@ def reuse_answers_stream(answers: DataFrame, max_age: str = "30 days") -> DataFr
 
 
 def reuse_answers(answers: DataFrame, max_age_days: int = 30) -> DataFrame:
-    """Batch form: answers of a key that are not within ``max_age_days`` of the first one that counts.
+    """Batch form: answers of a key that are more than ``max_age_days`` after the last one that counted.
 
-    Ages are counted in fixed periods from a key's first answer, so a key is reduced by aggregation only.
+    A pause of more than that always lets the next answer count, so a key's answers are cut at such pauses and each
+    stretch is folded by itself. ``period`` numbers the answers of a key that count, from 0.
     """
-    first = answers.groupBy("k").agg(F.min("ts").alias("t0"))
-    age = F.floor((F.col("ts").cast("double") - F.col("t0").cast("double")) / (max_age_days * 86400))
-    return answers.join(first, "k").withColumn("period", age).groupBy("k", "period").agg(F.min(F.struct("ts", "v")).alias("m")).select("k", "period", "m.ts", "m.v")
+    by_time = W.partitionBy("k").orderBy("ts", "v")
+    seconds = F.col("ts").cast("double")
+    rows = answers.select("k", "ts", "v", seconds.alias("s"))
+    rows = rows.withColumn("cut", F.coalesce(F.col("s") - F.lag("s").over(by_time) > max_age_days * 86400, F.lit(True)).cast("int"))
+    parts = rows.withColumn("part", F.sum("cut").over(by_time)).groupBy("k", "part").agg(F.array_sort(F.collect_list(F.struct("ts", "v", "s"))).alias("a"))
+    first = F.element_at("a", 1)
+    start = F.struct(first["s"].alias("last"), F.array(first).alias("kept"))
+    step = lambda acc, x: F.when(x["s"] - acc["last"] > max_age_days * 86400, F.struct(x["s"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    kept = parts.select("k", F.explode(F.aggregate("a", start, step, lambda acc: acc["kept"])).alias("m")).select("k", "m.ts", "m.v")
+    return kept.withColumn("period", (F.row_number().over(by_time) - 1).cast("long")).select("k", "period", "ts", "v")
 
 
 def activity(events: DataFrame, now: Column, days: int = 7, keep_days: int = 35) -> DataFrame:
