@@ -104,32 +104,30 @@ def extend_fragments(runs: DataFrame, words: DataFrame, breaks: DataFrame, unit_
     fragment's first word in ``unit_words`` (run_id, src); ``breaks``: (doc_id, gaps) flags per gap between words.
     """
     rows = runs.join(words, "doc_id").join(breaks, "doc_id").join(unit_words, "run_id")
-    n, m = F.size("words"), F.size("src")
-    tail_at = F.col("at") + F.col("end_w") - F.col("start_w")
-
-    def side(sign: int) -> Column:
-        room = F.least(F.lit(reach), F.col("at") if sign < 0 else m - tail_at)
-        q = lambda k: F.get("words", F.col("start_w") - k if sign < 0 else F.col("end_w") - 1 + k)
-        s = lambda k: F.get("src", F.col("at") - k if sign < 0 else tail_at - 1 + k)
-        gap = lambda k: F.get("gaps", F.col("start_w") - k if sign < 0 else F.col("end_w") - 2 + k)
-        taken = F.lit(0)
-        equal = F.lit(0)
-        open_ = F.lit(True)
-        for j in range(1, reach + 1):
-            k = F.lit(j)
-            here = (F.col("start_w") - k >= 0) if sign < 0 else (F.col("end_w") - 1 + k < n)
-            open_ = open_ & here & ~F.coalesce(gap(k), F.lit(True)) & (k <= room)
-            same = F.coalesce(q(k) == s(k), F.lit(False))
-            equal = equal + same.cast("int")
-            inner = same & (2 * equal >= j) & (equal < j)
-            grown = inner
-            if sign > 0 and j <= 2:
-                ends = (k == m - tail_at) & F.coalesce(F.get("gaps", F.col("end_w") - 1 + k), F.lit(True))
-                grown = inner | (ends & ~inner)
-            taken = F.when(open_ & grown, k).otherwise(taken)
-        return taken
-
-    return rows.select("run_id", "doc_id", (F.col("start_w") - side(-1)).alias("lo"), (F.col("end_w") + side(1)).alias("hi"))
+    last, tail = F.col("end_w") - 1, F.col("at") + F.col("end_w") - F.col("start_w") - 1  # the run's last word, here and in the unit
+    before = [("words", F.col("start_w"), -1), ("src", F.col("at"), -1), ("gaps", F.col("start_w"), -1)]
+    after = [("words", last, 1), ("src", tail, 1), ("gaps", last - 1, 1)]
+    unit_left = F.size("src") - 1 - tail
+
+    def width(places: list, at_end: bool) -> Column:
+        """How many neighbours are taken: the widest choice among those that one table of neighbours allows."""
+        word, unit, gap = (lambda k, c=c, base=base, sign=sign: F.when(base + sign * k >= 0, F.get(c, base + sign * k)) for c, base, sign in places)
+        table = F.transform(
+            F.sequence(F.lit(1), F.lit(reach)),
+            lambda k: F.struct(
+                k.alias("k"),
+                (word(k).isNull() | unit(k).isNull() | F.coalesce(gap(k), F.lit(True))).alias("closed"),
+                F.coalesce(word(k) == unit(k), F.lit(False)).alias("same"),
+            ),
+        )
+        room = F.coalesce(F.array_min(F.transform(F.filter(table, lambda x: x["closed"]), lambda x: x["k"])) - 1, F.lit(reach))
+        equal = lambda k: F.size(F.filter(F.slice(table, F.lit(1), k), lambda x: x["same"]))
+        fits = lambda x: x["same"] & (2 * equal(x["k"]) >= x["k"]) & (equal(x["k"]) < x["k"])
+        ends = lambda x: (x["k"] <= 2) & (x["k"] == unit_left) & F.coalesce(F.get("gaps", last + x["k"]), F.lit(True))
+        allowed = F.filter(table, lambda x: (x["k"] <= room) & ((fits(x) | ends(x)) if at_end else fits(x)))
+        return F.coalesce(F.array_max(F.transform(allowed, lambda x: x["k"])), F.lit(0))
+
+    return rows.select("run_id", "doc_id", (F.col("start_w") - width(before, False)).alias("lo"), (F.col("end_w") + width(after, True)).alias("hi"))
 
 
 def gap_breaks(docs: DataFrame, script: str) -> DataFrame:

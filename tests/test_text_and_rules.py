@@ -106,3 +106,42 @@ def test_noise_lines_are_returned(spark):
     df = spark.createDataFrame([(1, "نص مفيد!!!!\n😀😀\n12:30 م\nانشرها توجر\n*****\nنهاية")], "doc_id long, text string")
     r = SEG.strip_noise(df).first()
     assert r.kept == "نص مفيد!\nنهاية" and r.removed == ["😀😀", "12:30 م", "انشرها توجر", "*****"]
+
+
+def test_collation_marks_replaced_words_without_a_cell_limit(spark):
+    step = "struct<op:string,quoted:string,source:string>"
+    long = " ".join(f"word{k}x{k * k}" for k in range(900))
+    rows = [
+        # two words replaced by near spellings: both are marked
+        ("near", "q", [("equal", "", "alpha beta"), ("replace", "", "gammas deltas"), ("equal", "", "epsilon")], "zero alpha beta gamma delta epsilon end"),
+        # a replaced word without counterpart marks what lies between its neighbours
+        ("none", "q", [("equal", "", "alpha beta"), ("replace", "", "qqqq"), ("equal", "", "epsilon zeta")], "alpha beta gamma delta epsilon zeta"),
+        ("few", "q", [("equal", "", "one two three four alpha")], "alpha beta gamma"),
+        ("long", long, None, "first " + long + " last"),
+        ("empty", "", None, "alpha"),
+        ("null", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, f"claim_id string, quote string, diff array<{step}>, source_text string")
+    got = {r.claim_id: r.collation for r in A.collate_verdicts(df, "latin").collect()}
+    near, none = got["near"], got["none"]
+    assert (near.span_start, near.span_end, near.marks) == (1, 6, [3, 4])
+    assert (none.span_start, none.span_end, none.marks) == (0, 6, [2, 3])
+    assert got["few"].span_start is None and got["few"].marks == []
+    assert (got["long"].span_start, got["long"].span_end, got["long"].marks) == (1, 901, [])
+    assert got["empty"].span_start is None and got["null"].span_start is None
+
+
+def test_heaviest_chain_is_the_best_of_all_chains():
+    from itertools import combinations
+
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        n, m = rng.randint(1, 5), rng.randint(1, 6)
+        cells = [{"k": k, "j": j, "sim": rng.choice([0.5, 0.75, 1.0])} for k in range(n) for j in range(m) if rng.random() < 0.4]
+        worth = lambda c: sum(2 * x["sim"] for x in c) - 0.4 * (c[-1]["j"] - c[0]["j"] + 1) if c else 0.0
+        rising = lambda c: all(a["k"] < b["k"] and a["j"] < b["j"] for a, b in zip(c, c[1:]))
+        best = max(worth(c) for r in range(min(n, m) + 1) for c in combinations(cells, r) if rising(c))
+        at = {(c["k"], c["j"]): c for c in cells}
+        assert abs(worth([at[p] for p in A._heaviest_chain(cells)]) - best) < 1e-6
