@@ -60,12 +60,17 @@ def unit_positions(units: DataFrame, script: str, text_col: str) -> DataFrame:
     The running total is hierarchical (block of units, blocks of a group, groups), so no single task sees the
     whole corpus: only counts travel, never text.
     """
-    sized = (
-        once(units.select("group_no", "unit_no", F.col(text_col).alias("t")), "words", X.words(F.col("t"), script))
-        .drop("t")
-        .withColumn("n", F.size("words").cast("long"))
-        .withColumn("block", F.floor(F.col("unit_no") / UNIT_BLOCK).cast("long"))
-    )
+    return _running_positions(once(units.select("group_no", "unit_no", F.col(text_col).alias("t")), "words", X.words(F.col("t"), script)).drop("t"))
+
+
+def record_positions(record_words: DataFrame) -> DataFrame:
+    """(src, words, pos0): records one after the other, in the order of ``src`` (``record_words``: src, words)."""
+    grouped = record_words.filter(F.size("words") > 0).select(F.floor(F.col("src") / (UNIT_BLOCK * UNIT_BLOCK)).alias("group_no"), F.col("src").alias("unit_no"), "words")
+    return _running_positions(grouped).select(F.col("unit_no").alias("src"), "words", "pos0")
+
+
+def _running_positions(unit_words: DataFrame) -> DataFrame:
+    sized = unit_words.withColumn("n", F.size("words").cast("long")).withColumn("block", F.floor(F.col("unit_no") / UNIT_BLOCK).cast("long"))
     blocks = sized.groupBy("group_no", "block").agg(F.sum("n").alias("bn"))
     groups = blocks.groupBy("group_no").agg(F.sum("bn").alias("gn"))
     before = lambda total, w: F.coalesce(F.sum(total).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))

@@ -1,8 +1,10 @@
 """Verbatim scans: shared n-grams -> runs of equal words -> left-to-right choice of quotations.
 
 The heavy step is one equi-join of document grams with corpus grams. A gram that is frequent in the corpus is
-never paired with all its places. What lies next to a rarer gram is recovered along that gram's diagonal, and
-runs made of frequent grams only are found by length (``frequent_runs``), each length matched to one place.
+never paired with all its places. What lies next to a rarer gram is recovered along that gram's diagonal. Runs
+made of frequent grams only lie inside stretches of such grams: of equal stretches the earliest stays
+(``first_stretches``), which makes most of their grams rare again; what is frequent even then is found by length
+(``frequent_runs``), each length matched to one place. No place is dropped on the way.
 """
 from __future__ import annotations
 
@@ -11,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import fits_broadcast, maybe_broadcast
+from ..session import cut_lineage, maybe_broadcast
 from . import grams as G
 
 GRAM = 4
@@ -86,6 +88,23 @@ def runs_only(pairs: DataFrame) -> DataFrame:
     )
 
 
+def first_stretches(src: DataFrame, cap: int) -> DataFrame:
+    """The grams of ``src`` with more than ``cap`` places, kept only where their stretch stands for the first time.
+
+    A stretch is a maximal row of neighbouring places whose grams are all frequent. Every run made of frequent
+    grams lies inside one, and its earliest place inside the earliest of the stretches that read alike.
+    """
+    frequent = src.groupBy(*KEYS).agg(F.count("*").alias("cnt")).filter(F.col("cnt") > cap).select(*KEYS)
+    hot = src.join(frequent, KEYS, "left_semi")
+    at = hot.join(_stretch_stops(hot.select(F.col("p").alias("pos"))).withColumnRenamed("pos", "p"), "p")
+    # a stretch is told by its grams in order: partial sums of hashes bound to their offset from the stretch's end
+    place = F.col("stop") - F.col("p")
+    tag = lambda salt: F.sum(F.xxhash64(F.lit(salt), place, *KEYS).cast("decimal(38,0)"))
+    texts = at.groupBy("stop").agg(F.min("p").alias("a"), tag(1).alias("t1"), tag(2).alias("t2"))
+    first = texts.groupBy((F.col("stop") - F.col("a")).alias("n"), "t1", "t2").agg(F.min("stop").alias("stop"))
+    return at.join(first.select("stop"), "stop", "left_semi").select("src", "p", *KEYS)
+
+
 def frequent_runs(words: DataFrame, stream: DataFrame, src: DataFrame, cap: int) -> DataFrame:
     """(doc_id, i, len, p): longest run at ``i`` made of frequent grams only, at its earliest place.
 
@@ -93,9 +112,11 @@ def frequent_runs(words: DataFrame, stream: DataFrame, src: DataFrame, cap: int)
     joins at most one row per length, however often the wording occurs. ``src``: hashed grams of ``stream``.
     """
     frequent = src.groupBy(*KEYS).agg(F.count("*").alias("cnt")).filter(F.col("cnt") > cap).select(*KEYS)
-    room = _stretch_room(src.join(frequent, KEYS, "left_semi").select(F.col("p").alias("pos")))
-    longest = int(room.agg(F.max("room")).first()[0]) + GRAM - 1
-    ahead = _words_ahead(stream, longest).join(room, "pos").select("pos", F.slice("ahead", F.lit(1), F.col("room") + GRAM - 1).alias("ahead"))
+    hot = _stretch_stops(src.join(frequent, KEYS, "left_semi").select(F.col("p").alias("pos")))
+    room = hot.select("pos", (F.col("stop") - F.col("pos")).cast("int").alias("room"))
+    longest = int(room.agg(F.coalesce(F.max("room"), F.lit(0))).first()[0]) + GRAM - 1
+    cover = hot.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + GRAM - 1)).alias("pos")).distinct()
+    ahead = _words_ahead(stream.join(cover, "pos", "left_semi"), longest).join(room, "pos").select("pos", F.slice("ahead", F.lit(1), F.col("room") + GRAM - 1).alias("ahead"))
     places = _lengths(ahead, ["pos"]).groupBy("len", *KEYS).agg(F.min("pos").alias("p"))
     at = (
         words.filter(F.size("words") >= GRAM)
@@ -114,8 +135,8 @@ def _lengths(ahead: DataFrame, keys: list[str]) -> DataFrame:
     return grown.select(*keys, "len", F.xxhash64(gram).alias("h"), F.hash(gram).alias("h2"))
 
 
-def _stretch_room(hot: DataFrame) -> DataFrame:
-    """(pos, room): how many consecutive positions of ``hot`` start at each of them.
+def _stretch_stops(hot: DataFrame) -> DataFrame:
+    """(pos, stop): the first position after ``pos`` that is not in ``hot``.
 
     Block-wise windows; only one row per block (the first break in it) crosses blocks.
     """
@@ -125,7 +146,7 @@ def _stretch_room(hot: DataFrame) -> DataFrame:
     blocks = marked.select("blk").distinct().join(first_stop, "blk", "left")
     later = blocks.select("blk", F.min("first_stop").over(W.orderBy("blk").rowsBetween(1, W.unboundedFollowing)).alias("later_stop"))
     near = F.min("stop").over(W.partitionBy("blk").orderBy("pos").rowsBetween(0, W.unboundedFollowing))
-    return marked.withColumn("near_stop", near).join(later, "blk").select("pos", (F.coalesce("near_stop", "later_stop") - F.col("pos")).cast("int").alias("room"))
+    return marked.withColumn("near_stop", near).join(later, "blk").select("pos", F.coalesce("near_stop", "later_stop").alias("stop"))
 
 
 def _words_ahead(stream: DataFrame, span: int) -> DataFrame:
@@ -169,11 +190,31 @@ UNKNOWN_IDF = 6.0
 def longest_at(words: DataFrame, tokens: DataFrame, small: bool, cap: int = HOT) -> DataFrame:
     """(doc_id, i, len, p): the longest run of four words or more at every document position that has one."""
     src = G.hashed(G.stream_grams(tokens, GRAM)).select(F.lit(0).cast("bigint").alias("src"), F.col("pos").alias("p"), *KEYS)
-    has_frequent = not src.groupBy(*KEYS).agg(F.count("*").alias("cnt")).filter(F.col("cnt") > cap).isEmpty()
-    pairs = gram_pairs(G.explode_grams(words, GRAM), src, cap, small, has_frequent)
-    runs = equal_runs(pairs).select("doc_id", "i", (F.col("run_end") - F.col("i")).alias("len"), "p")
-    if has_frequent:
-        runs = runs.unionByName(frequent_runs(words, tokens, src, cap))
+    return longest_runs(words, src, tokens, small, cap)
+
+
+def longest_runs(words: DataFrame, src: DataFrame, stream: DataFrame, small: bool, cap: int = HOT) -> DataFrame:
+    """(doc_id, i, len, p): longest run at every document position, at its earliest place.
+
+    ``src``: (src, p, h, h2), the grams of ``stream`` that count; a run goes on while the next place has one.
+    """
+
+    def has_frequent(grams: DataFrame) -> bool:
+        return not grams.groupBy(*KEYS).agg(F.count("*").alias("cnt")).filter(F.col("cnt") > cap).isEmpty()
+
+    def paired(grams: DataFrame, frequent: bool) -> DataFrame:
+        pairs = gram_pairs(doc_grams, grams, cap, small, frequent)
+        return equal_runs(pairs).select("doc_id", "i", (F.col("run_end") - F.col("i")).alias("len"), "p")
+
+    doc_grams = G.explode_grams(words, GRAM)
+    frequent = has_frequent(src)
+    runs = paired(src, frequent)
+    if frequent:
+        once = cut_lineage(first_stretches(src, cap))
+        still = has_frequent(once)
+        runs = runs.unionByName(paired(once, still))
+        if still:
+            runs = runs.unionByName(frequent_runs(words, stream, once, cap))
     best = runs.groupBy("doc_id", "i").agg(F.max(F.struct(F.col("len"), (-F.col("p")).alias("np"))).alias("m"))
     return best.select("doc_id", "i", "m.len", (-F.col("m.np")).alias("p"))
 
@@ -218,49 +259,22 @@ def canon_scan(
 
 # --------------------------------------------------------------------------- graded-corpus scan
 
-RECORD_CAP = 40
-
 
-def record_grams(record_words: DataFrame) -> DataFrame:
-    """(src, p, h, h2) of every record; ``record_words``: (src BIGINT, words)."""
-    return G.explode_grams(record_words, GRAM, "src").select("src", F.col("i").cast("bigint").alias("p"), *KEYS)
+def record_runs(words: DataFrame, record_words: DataFrame, small: bool, cap: int = HOT) -> DataFrame:
+    """Left-to-right choice of record runs: (doc_id, start_w, end_w, src, src_start, src_end).
 
-
-def record_runs(words: DataFrame, record_words: DataFrame, small: bool, cap: int = RECORD_CAP) -> DataFrame:
-    """Left-to-right choice of record runs: (doc_id, start_w, end_w, src, src_start, src_end)."""
-    runs = equal_runs(gram_pairs(G.explode_grams(words, GRAM), record_grams(record_words), cap, small))
-    seeds = runs.filter("seed").select("doc_id", "i", "src", "p", "run_start", "run_end")
-    # the search can stop only at a seed that has none just before it, or where some run ends
-    starts = seeds.select("doc_id", "i").distinct()
-    fresh = starts.join(starts.select("doc_id", (F.col("i") + 1).alias("i")), ["doc_id", "i"], "left_anti")
-    ends = seeds.select("doc_id", F.col("run_end").alias("i")).distinct().join(starts, ["doc_id", "i"], "left_semi")
-    landing = seeds.join(fresh.unionByName(ends).distinct(), ["doc_id", "i"], "left_semi")
-    per_start = landing.groupBy("doc_id", "i").agg(
-        F.collect_list(F.struct(F.col("src").cast("bigint").alias("src"), F.col("p").cast("bigint").alias("p"), F.col("run_start").cast("int").alias("s"), F.col("run_end").cast("int").alias("e"))).alias("c")
-    )
-    shape = "array<struct<start_w:int,end_w:int,src:bigint,src_start:bigint,src_end:bigint>>"
-
-    def step(a: Column, x: Column) -> Column:
-        ranked = F.array_max(
-            F.transform(
-                x["c"],
-                lambda c: F.struct(
-                    (c["e"] - F.greatest(c["s"], a["cursor"])).alias("len"), (-c["src"]).alias("ns"), (-c["p"]).alias("np"),
-                    F.greatest(c["s"], a["cursor"]).alias("s"), c["e"].alias("e"),
-                ),
-            )
-        )
-        pick = F.struct(
-            ranked["s"].alias("start_w"), ranked["e"].alias("end_w"), (-ranked["ns"]).alias("src"),
-            (-ranked["np"] - (x["i"] - ranked["s"])).cast("bigint").alias("src_start"), (-ranked["np"] + (ranked["e"] - x["i"])).cast("bigint").alias("src_end"),
-        )
-        taken = F.struct(ranked["e"].alias("cursor"), F.concat(a["picks"], F.array(pick)).cast(shape).alias("picks"))
-        return F.when(x["i"] >= a["cursor"], taken).otherwise(a)
-
-    acc = F.struct(F.lit(0).alias("cursor"), F.array().cast(shape).alias("picks"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "c")))
-    chosen = per_start.groupBy("doc_id").agg(F.aggregate(rows, acc, step)["picks"].alias("picks"))
-    return chosen.select("doc_id", F.inline("picks"))
+    ``record_words``: (src BIGINT, words). The records lie one after the other in a stream, in the order of
+    ``src``; grams never cross their borders, so neither do runs. ``cap`` steers the plan, never the result.
+    """
+    placed = G.record_positions(record_words)
+    grams = G.explode_grams(placed, GRAM, "pos0").select(F.lit(0).cast("bigint").alias("src"), (F.col("pos0") + F.col("i")).alias("p"), *KEYS)
+    tokens = placed.select("pos0", F.posexplode("words").alias("k", "word")).select((F.col("pos0") + F.col("k")).alias("pos"), "word")
+    picks = choose_left_to_right(longest_runs(words, grams, tokens, small, cap)).withColumn("blk", F.floor(F.col("p") / G.BLOCK))
+    spans = placed.select("src", "pos0", (F.col("pos0") + F.size("words")).alias("pos1")).filter("pos1 > pos0")
+    spans = spans.withColumn("blk", F.explode(F.sequence(F.floor(F.col("pos0") / G.BLOCK), F.floor((F.col("pos1") - 1) / G.BLOCK))))
+    at = picks.join(spans, "blk").filter((F.col("p") >= F.col("pos0")) & (F.col("p") < F.col("pos1")))
+    first = F.col("p") - F.col("pos0")
+    return at.select("doc_id", "start_w", "end_w", "src", first.alias("src_start"), (first + F.col("end_w") - F.col("start_w")).alias("src_end"))
 
 
 def merge_neighbours(runs: DataFrame, max_gap: int = 6) -> DataFrame:
@@ -275,7 +289,7 @@ def merge_neighbours(runs: DataFrame, max_gap: int = 6) -> DataFrame:
     return part.groupBy("doc_id", "src", "part").agg(F.min("start_w").alias("start_w"), F.max("end_w").alias("end_w")).drop("part")
 
 
-def record_scan(words: DataFrame, record_words: DataFrame, small: bool, min_words: int = 6, min_content: int = 4, cap: int = RECORD_CAP, script: str = "arabic") -> DataFrame:
+def record_scan(words: DataFrame, record_words: DataFrame, small: bool, min_words: int = 6, min_content: int = 4, cap: int = HOT, script: str = "arabic") -> DataFrame:
     """Verbatim record passages in documents: (doc_id, src, start_w, end_w)."""
     merged = merge_neighbours(record_runs(words, record_words, small, cap)).filter(F.col("end_w") - F.col("start_w") >= min_words)
     quoted = merged.join(words, "doc_id").withColumn("w", F.slice("words", F.col("start_w") + 1, F.col("end_w") - F.col("start_w")))

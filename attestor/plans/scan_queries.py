@@ -162,16 +162,16 @@ _RPAIRS = (
     f"{GRADED}, {REC}, {DOC_WORDS}, {DOC_TOKENS}, rk AS (SELECT key AS src, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM rec), "
     "dg AS (SELECT doc_id, i, word || ' ' || lead(word, 1) OVER z || ' ' || lead(word, 2) OVER z || ' ' || lead(word, 3) OVER z AS g FROM dt WINDOW z AS (PARTITION BY doc_id ORDER BY i)), "
     "rg AS (SELECT src, p, word || ' ' || lead(word, 1) OVER z || ' ' || lead(word, 2) OVER z || ' ' || lead(word, 3) OVER z AS g FROM rk WINDOW z AS (PARTITION BY src ORDER BY p)), "
-    "gc AS (SELECT g, count(*) AS cnt FROM rg WHERE g IS NOT NULL GROUP BY g), "
-    "pr AS (SELECT doc_id, src, i, p, cnt <= 40 AS seed FROM dg JOIN rg USING (g) JOIN gc USING (g)), "
+    "pr AS (SELECT doc_id, src, i, p FROM dg JOIN rg USING (g)), "
     "isl AS (SELECT *, p - i AS diag, i - row_number() OVER (PARTITION BY doc_id, src, p - i ORDER BY i) AS isle FROM pr), "
-    "rn AS (SELECT doc_id, src, i, p, seed, min(i) OVER (PARTITION BY doc_id, src, diag, isle) AS rs, max(i) OVER (PARTITION BY doc_id, src, diag, isle) + 4 AS re FROM isl), "
-    "sd AS (SELECT * FROM rn WHERE seed), "
-    "pk(doc_id, cur, s, e, src, ss, se) AS (SELECT doc_id, 0, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT doc_id FROM sd) UNION ALL "
-    "SELECT doc_id, re, greatest(rs, cur), re, src, p - (i - greatest(rs, cur)), p + (re - i) FROM (SELECT sd.*, cur, row_number() OVER (PARTITION BY sd.doc_id ORDER BY i, re - greatest(rs, cur) DESC, sd.src, p) AS k FROM pk JOIN sd ON sd.doc_id = pk.doc_id AND sd.i >= pk.cur) WHERE k = 1)"
+    "rn AS (SELECT doc_id, src, i, p, max(i) OVER (PARTITION BY doc_id, src, diag, isle) + 4 AS re FROM isl), "
+    "ca AS (SELECT * FROM rn QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY re DESC, src, p) = 1), "
+    "nx AS (SELECT a.*, (SELECT min(b.i) FROM ca b WHERE b.doc_id = a.doc_id AND b.i >= a.re) AS ni FROM ca a), "
+    "pk(doc_id, s, e, src, ss, se, ni) AS (SELECT doc_id, i, re, src, p, p + re - i, ni FROM nx QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1 "
+    "UNION ALL SELECT n.doc_id, n.i, n.re, n.src, n.p, n.p + n.re - n.i, n.ni FROM pk JOIN nx n ON n.doc_id = pk.doc_id AND n.i = pk.ni)"
 )
 _MERGED = (
-    "ch AS (SELECT * FROM pk WHERE s IS NOT NULL), nw AS (SELECT *, CASE WHEN lag(src) OVER z = src AND s - lag(e) OVER z <= 6 AND ss >= lag(se) OVER z - 2 THEN 0 ELSE 1 END AS b FROM ch WINDOW z AS (PARTITION BY doc_id ORDER BY s)), "
+    "nw AS (SELECT *, CASE WHEN lag(src) OVER z = src AND s - lag(e) OVER z <= 6 AND ss >= lag(se) OVER z - 2 THEN 0 ELSE 1 END AS b FROM pk WINDOW z AS (PARTITION BY doc_id ORDER BY s)), "
     "pt AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM nw), mg AS (SELECT doc_id, src, min(s) AS start_w, max(e) AS end_w FROM pt GROUP BY doc_id, src, part)"
 )
 

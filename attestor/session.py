@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only below these bounds; beyond them Spark shuffles it.
+# A side is broadcast only below these bounds; beyond them Spark shuffles it. Tables derived from a text have at most
+# one row of some forty bytes for every two characters, so the second bound holds for them too: 80 MB at most.
 BROADCAST_ROWS = 200_000
-BROADCAST_CHARS = 32_000_000
+BROADCAST_CHARS = 4_000_000
 
 
 def local_session(cores: str = "8", app: str = "attestor") -> SparkSession:

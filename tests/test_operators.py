@@ -51,6 +51,48 @@ def test_longest_runs_equal_brute_force_also_with_frequent_grams(spark):
         assert got == want, cap
 
 
+def brute_record_runs(doc, records):
+    out, i = [], 0
+    while i < len(doc):
+        best = None
+        for src, rec in records:
+            for p in range(len(rec)):
+                n = 0
+                while i + n < len(doc) and p + n < len(rec) and doc[i + n] == rec[p + n]:
+                    n += 1
+                if n >= 4 and (best is None or (n, -src, -p) > best):
+                    best = (n, -src, -p)
+        if best:
+            out.append((i, i + best[0], -best[1], -best[2], -best[2] + best[0]))
+            i += best[0]
+        else:
+            i += 1
+    return out
+
+
+def test_record_runs_equal_brute_force_at_every_cap(spark):
+    rnd = random.Random(11)
+    word = lambda k: [rnd.choice("abc") for _ in range(k)]
+    page = word(30)
+    records = [(7 * k + 3, word(5) + page[: rnd.randint(8, 30)] + word(4)) for k in range(12)] + [(900, word(3)), (901, []), (902, word(25)), (903, page), (2_500_000, page)]
+    docs = [word(20) + page[3:28] + word(10) + records[-3][1][4:20], page, word(3), []]
+    rec = spark.createDataFrame(records, "src long, words array<string>")
+    words = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "doc_id long, words array<string>")
+    want = sorted((k, *r) for k, d in enumerate(docs) for r in brute_record_runs(d, records))
+    for cap in (10_000, 5, 1):
+        rows = S.record_runs(words, rec, True, cap).select("doc_id", "start_w", "end_w", "src", "src_start", "src_end").collect()
+        assert sorted(map(tuple, rows)) == want, cap
+
+
+def test_copies_of_a_record_do_not_hide_it(spark):
+    text = [f"w{k}" for k in range(60)]
+    for copies in (41, 1000):
+        rec = spark.createDataFrame([(k, text[:40]) for k in range(copies)] + [(copies, text[20:])], "src long, words array<string>")
+        words = spark.createDataFrame([(1, ["x", *text[5:35], "y"]), (2, ["z", *text[10:60]])], "doc_id long, words array<string>")
+        got = sorted(map(tuple, S.record_scan(words, rec, True, script="latin").select("doc_id", "src", "start_w", "end_w").collect()))
+        assert got == [(1, 0, 1, 31), (2, 0, 1, 31), (2, copies, 31, 51)], copies
+
+
 def test_scan_finds_passages_over_unit_borders(spark):
     text = "so he said: Epsilon, zeta eta THETA iota and then one two three four five"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
