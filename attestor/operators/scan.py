@@ -8,6 +8,8 @@ made of frequent grams only lie inside stretches of such grams: of equal stretch
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,29 +110,48 @@ def first_stretches(src: DataFrame, cap: int) -> DataFrame:
 def frequent_runs(words: DataFrame, stream: DataFrame, src: DataFrame, cap: int) -> DataFrame:
     """(doc_id, i, len, p): longest run at ``i`` made of frequent grams only, at its earliest place.
 
-    Every length inside a frequent stretch of the stream is one key with one place, so a document position
-    joins at most one row per length, however often the wording occurs. ``src``: hashed grams of ``stream``.
+    Every length inside a frequent stretch of the stream is one key with one place, however often the wording
+    occurs. A document position looks lengths up in two steps, coarse and then fine (what matches at a length
+    matches at every shorter one), so it joins twice the square root of the longest stretch. ``src``: hashed
+    grams of ``stream``.
     """
     frequent = src.groupBy(*KEYS).agg(F.count("*").alias("cnt")).filter(F.col("cnt") > cap).select(*KEYS)
-    hot = _stretch_stops(src.join(frequent, KEYS, "left_semi").select(F.col("p").alias("pos")))
-    room = hot.select("pos", (F.col("stop") - F.col("pos")).cast("int").alias("room"))
-    longest = int(room.agg(F.coalesce(F.max("room"), F.lit(0))).first()[0]) + GRAM - 1
+    hot = src.join(frequent, KEYS, "left_semi").select(F.col("p").alias("pos"), *KEYS)
+    hot = hot.join(_stretch_stops(hot.select("pos")), "pos")
+    longest = int(hot.agg(F.coalesce(F.max(F.col("stop") - F.col("pos")), F.lit(0))).first()[0]) + GRAM - 1
     cover = hot.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + GRAM - 1)).alias("pos")).distinct()
+    room = _not_periodic(hot).select("pos", (F.col("stop") - F.col("pos")).cast("int").alias("room"))
     ahead = _words_ahead(stream.join(cover, "pos", "left_semi"), longest).join(room, "pos").select("pos", F.slice("ahead", F.lit(1), F.col("room") + GRAM - 1).alias("ahead"))
-    places = _lengths(ahead, ["pos"]).groupBy("len", *KEYS).agg(F.min("pos").alias("p"))
-    at = (
-        words.filter(F.size("words") >= GRAM)
-        .select("doc_id", "words", F.explode(G.gram_structs(F.col("words"), GRAM)).alias("g"))
-        .select("doc_id", "g.i", "g.h", "g.h2", F.slice("words", F.col("g.i") + 1, longest).alias("ahead"))
-        .join(frequent, KEYS, "left_semi")
-    )
-    found = _lengths(at.select("doc_id", "i", "ahead"), ["doc_id", "i"]).join(places, ["len", *KEYS])
-    best = found.groupBy("doc_id", "i").agg(F.max_by(F.struct("len", "p"), "len").alias("m"))
+    places = cut_lineage(_lengths(ahead, F.lit(GRAM), F.size("ahead"), 1, "pos").groupBy("len", *KEYS).agg(F.min("pos").alias("p")))
+    at = cut_lineage(_frequent_ahead(words, frequent, longest))
+    step = max(1, math.isqrt(longest))
+    coarse = _lengths(at, F.lit(GRAM), F.size("ahead"), step, "doc_id", "i").join(places, ["len", *KEYS]).groupBy("doc_id", "i").agg(F.max("len").alias("base"))
+    fine = _lengths(at.join(coarse, ["doc_id", "i"]), F.col("base"), F.least(F.size("ahead"), F.col("base") + step - 1), 1, "doc_id", "i")
+    best = fine.join(places, ["len", *KEYS]).groupBy("doc_id", "i").agg(F.max_by(F.struct("len", "p"), "len").alias("m"))
     return best.select("doc_id", "i", "m.len", "m.p")
 
 
-def _lengths(ahead: DataFrame, keys: list[str]) -> DataFrame:
-    grown = ahead.filter(F.size("ahead") >= GRAM).select(*keys, "ahead", F.explode(F.sequence(F.lit(GRAM), F.size("ahead"))).alias("len"))
+def _not_periodic(hot: DataFrame) -> DataFrame:
+    """Leaves out places from which a stretch only repeats itself at one distance: all that follows stands earlier too."""
+    back = F.col("pos") - F.lag("pos").over(W.partitionBy("stop", *KEYS).orderBy("pos"))
+    rest = W.partitionBy("stop").orderBy("pos").rowsBetween(0, W.unboundedFollowing)
+    back = hot.withColumn("back", F.coalesce(back, F.lit(0)))
+    ends = back.withColumn("least", F.min("back").over(rest)).withColumn("most", F.max("back").over(rest))
+    return ends.filter((F.col("least") == 0) | (F.col("least") != F.col("most"))).select("pos", "stop")
+
+
+def _frequent_ahead(words: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, i, ahead): the words from every frequent gram of a document to the end of its stretch."""
+    at = G.explode_grams(words, GRAM).join(frequent, KEYS, "left_semi").select("doc_id", "i")
+    at = at.withColumn("g", F.col("i") - F.row_number().over(W.partitionBy("doc_id").orderBy("i")))
+    room = F.max("i").over(W.partitionBy("doc_id", "g")) - F.col("i") + GRAM
+    per = at.withColumn("n", F.least(F.lit(longest), room)).groupBy("doc_id").agg(F.collect_list(F.struct("i", "n")).alias("at"))
+    rows = words.join(per, "doc_id").select("doc_id", "words", F.explode("at").alias("x"))
+    return rows.select("doc_id", "x.i", F.slice("words", F.col("x.i") + 1, F.col("x.n")).alias("ahead"))
+
+
+def _lengths(ahead: DataFrame, least: Column, most: Column, step: int, *keys: str) -> DataFrame:
+    grown = ahead.filter(least <= most).select(*keys, "ahead", F.explode(F.sequence(least, most, F.lit(step))).alias("len"))
     gram = F.slice("ahead", F.lit(1), F.col("len"))
     return grown.select(*keys, "len", F.xxhash64(gram).alias("h"), F.hash(gram).alias("h2"))
 
@@ -206,8 +227,11 @@ def longest_runs(words: DataFrame, src: DataFrame, stream: DataFrame, small: boo
         pairs = gram_pairs(doc_grams, grams, cap, small, frequent)
         return equal_runs(pairs).select("doc_id", "i", (F.col("run_end") - F.col("i")).alias("len"), "p")
 
-    doc_grams = G.explode_grams(words, GRAM)
+    src = cut_lineage(src)
     frequent = has_frequent(src)
+    if frequent:  # both sides are read several times below
+        words, stream = cut_lineage(words), cut_lineage(stream)
+    doc_grams = G.explode_grams(words, GRAM)
     runs = paired(src, frequent)
     if frequent:
         once = cut_lineage(first_stretches(src, cap))

@@ -75,7 +75,8 @@ def test_record_runs_equal_brute_force_at_every_cap(spark):
     word = lambda k: [rnd.choice("abc") for _ in range(k)]
     page = word(30)
     records = [(7 * k + 3, word(5) + page[: rnd.randint(8, 30)] + word(4)) for k in range(12)] + [(900, word(3)), (901, []), (902, word(25)), (903, page), (2_500_000, page)]
-    docs = [word(20) + page[3:28] + word(10) + records[-3][1][4:20], page, word(3), []]
+    records.append((950, ["a", "b", "c"] * 12 + ["a"] * 15))
+    docs = [word(20) + page[3:28] + word(10) + records[-4][1][4:20], page, word(3), [], ["b", "c", "a"] * 14 + ["a"] * 18]
     rec = spark.createDataFrame(records, "src long, words array<string>")
     words = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "doc_id long, words array<string>")
     want = sorted((k, *r) for k, d in enumerate(docs) for r in brute_record_runs(d, records))
