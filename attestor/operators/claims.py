@@ -45,26 +45,38 @@ MARKERS = [
     Marker("personal", V.PERSONAL, "ruling", "D", "whole", certainty="ijtihadi", attributed=False),
     Marker("question", V.QUESTION, "ruling", "B", "whole", certainty="ijtihadi", question=True, attributed=False),
 ]
-QUESTION_MAX_CHARS, QUOTE_MAX_CHARS, QUOTE_MAX_WORDS = 400, 1500, 60
 
 
-def quote_after(plain: Column, pos: Column) -> Column:
+@dataclass(frozen=True)
+class Limits:
+    """Optional limits of marker claims; none is set by default."""
+
+    quote_chars: int | None = None
+    quote_words: int | None = None
+    question_chars: int | None = None
+
+
+NO_LIMITS = Limits()
+
+
+def quote_after(plain: Column, pos: Column, limits: Limits = NO_LIMITS) -> Column:
     """struct(start, end, closed): the quotation that begins at ``pos``, delimited or up to the sentence end."""
+    within = lambda at, less: F.substr(plain, at) if limits.quote_chars is None else F.substr(plain, at, F.lit(limits.quote_chars - less))
     one = lambda value, body: F.transform(F.array(value), body)[0]
 
     def located(at: Column) -> Column:
         opener = F.substr(plain, at + 1, F.lit(1))
         closer = F.create_map(*[x for kv in V.OPENERS.items() for x in map(F.lit, kv)])[opener]
-        # the closing mark must stand within the character limit, after at least one character
-        close_at = F.instr(F.substr(plain, at + 2, F.lit(QUOTE_MAX_CHARS - 1)), closer) + at
+        # the closing mark must stand within the character limit, if any, after at least one character
+        close_at = F.instr(within(at + 2, 1), closer) + at
         is_closed = F.coalesce(close_at > at + 1, F.lit(False))
 
         def open_ended(p: Column) -> Column:
-            room = F.substr(plain, p + 1, F.lit(QUOTE_MAX_CHARS))
-            sentence = F.regexp_extract(room, r"^[^.؟!\n…]*", 0)
-            ws = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
-            cut = F.length(F.array_join(F.slice(ws, 1, QUOTE_MAX_WORDS), " "))
-            n = F.when(F.size(ws) > QUOTE_MAX_WORDS, cut).otherwise(F.length(sentence))
+            sentence = F.regexp_extract(within(p + 1, 0), r"^[^.؟!\n…]*", 0)
+            n = F.length(sentence)
+            if limits.quote_words is not None:
+                ws = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
+                n = F.when(F.size(ws) > limits.quote_words, F.length(F.array_join(F.slice(ws, 1, limits.quote_words), " "))).otherwise(n)
             return F.struct(p.cast("int").alias("start"), (p + n).cast("int").alias("end"), F.lit(False).alias("closed"))
 
         delimited = F.struct((at + 1).cast("int").alias("start"), close_at.cast("int").alias("end"), F.lit(True).alias("closed"))
@@ -74,13 +86,13 @@ def quote_after(plain: Column, pos: Column) -> Column:
     return one(pos + skipped, located)
 
 
-def extract_by_markers(docs: DataFrame, markers: list[Marker] = MARKERS) -> DataFrame:
+def extract_by_markers(docs: DataFrame, markers: list[Marker] = MARKERS, limits: Limits = NO_LIMITS) -> DataFrame:
     """Claims introduced by a marker: one narrow pass over the documents, one output row per hit."""
     base = G.once(docs.select("doc_id", "text"), "plain", X.fold_for_markers(F.col("text")))
     base = G.once(base, "has_marks", F.col("text").rlike(V.FOLD_DIACRITICS))
     out = None
     for m in markers:
-        rows = _marker_claims(base, m)
+        rows = _marker_claims(base, m, limits)
         out = rows if out is None else out.unionByName(rows)
     out = out.filter(F.size(F.filter(F.split(F.col("quote"), r"\s+"), lambda w: w != "")) >= 2)
     if any(m.question for m in markers):
@@ -88,12 +100,12 @@ def extract_by_markers(docs: DataFrame, markers: list[Marker] = MARKERS) -> Data
     return out.withColumn("claim_id", F.concat_ws("-", "doc_id", "origin", "rule", "start")).select(*COLUMNS, "rule")
 
 
-def _marker_claims(base: DataFrame, m: Marker) -> DataFrame:
-    rows = base.filter(F.length("text") <= QUESTION_MAX_CHARS) if m.question else base
+def _marker_claims(base: DataFrame, m: Marker, limits: Limits) -> DataFrame:
+    rows = base.filter(F.length("text") <= limits.question_chars) if m.question and limits.question_chars is not None else base
     rows = rows.filter(F.col("plain").rlike(m.pattern))
     hit = rows.select("doc_id", "text", "plain", "has_marks", F.explode(X.matches_with_offsets(F.col("plain"), m.pattern)).alias("m"))
     if m.take == "after":
-        span = quote_after(F.col("plain"), F.col("m.end"))
+        span = quote_after(F.col("plain"), F.col("m.end"), limits)
     elif m.take == "group":
         span = F.struct((F.col("m.start") + 1).alias("start"), (F.col("m.end") - 1).alias("end"), F.lit(True).alias("closed"))
     else:

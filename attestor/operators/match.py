@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import alignment as A
 from ..session import maybe_broadcast
 from . import grams as G
-from . import scan as S
+from . import retrieve as R
 
 MIN_EXACT = 3
 SEED_BUCKET, SEED_LIMIT, IDF_UNITS = 4, 40, 12
-BIGRAM_CAP, BIGRAM_RARE, WORD_CAP = 60, 10, 400
+BIGRAM_CAP, BIGRAM_RARE = 60, 10
 
 
 def exact_places(claims_w: DataFrame, tokens: DataFrame, small: bool) -> DataFrame:
@@ -65,7 +65,7 @@ def seed_buckets(claims_w: DataFrame, tokens: DataFrame, positions: DataFrame |
     """(claim_id, n, bucket, votes): the forty best-voted windows of each quotation.
 
     Shared word pairs vote for the place the quotation would begin (frequent pairs are skipped, rare ones count
-    twice); the twelve units with the most shared rare words get one vote each.
+    twice); the twelve units with the largest summed idf of shared words get one vote each.
     """
     stream2 = G.hashed(G.stream_grams(tokens, 2)).select(F.col("pos").alias("p"), "h", "h2")
     counted = G.capped(stream2, ["h", "h2"], BIGRAM_CAP)
@@ -74,13 +74,10 @@ def seed_buckets(claims_w: DataFrame, tokens: DataFrame, positions: DataFrame |
         "claim_id", F.floor((F.col("p") - F.col("i")) / SEED_BUCKET).alias("bucket"), F.when(F.col("cnt") < BIGRAM_RARE, 2).otherwise(1).alias("vote")
     )
     if positions is not None and idf is not None:
-        rare = idf.filter(F.col("df") <= WORD_CAP).select("word", "idf")
-        where = positions.select("pos0", F.explode(F.array_distinct("words")).alias("word")).join(rare, "word")
-        asked = claims_w.select("claim_id", F.explode(F.array_distinct("q")).alias("word"))
-        units = asked.join(maybe_broadcast(where, small), "word").groupBy("claim_id", "pos0").agg(F.sum("idf").alias("score"))
-        w = W.partitionBy("claim_id").orderBy(F.desc(F.round("score", 9)), "pos0")
-        best = units.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= IDF_UNITS)
-        hits = hits.unionByName(best.select("claim_id", F.floor(F.col("pos0") / SEED_BUCKET).alias("bucket"), F.lit(1).alias("vote")))
+        where = positions.select(F.col("pos0").alias("key"), F.explode(F.array_distinct("words")).alias("term"))
+        asked = claims_w.select("claim_id", F.explode(F.array_distinct("q")).alias("term")).join(idf.withColumnRenamed("word", "term"), "term")
+        best = R.top_k(R.idf_scores(asked, where, IDF_UNITS), IDF_UNITS)
+        hits = hits.unionByName(best.select("claim_id", F.floor(F.col("key") / SEED_BUCKET).alias("bucket"), F.lit(1).alias("vote")))
     votes = hits.groupBy("claim_id", "bucket").agg(F.sum("vote").alias("votes"))
     w = W.partitionBy("claim_id").orderBy(F.desc("votes"), "bucket")
     return votes.withColumn("seed_rank", F.row_number().over(w)).filter(F.col("seed_rank") <= SEED_LIMIT)

@@ -65,6 +65,14 @@ def _score_with_common(weighed: DataFrame, impact: DataFrame, k: int, common: in
     return exact.unionByName(rest)
 
 
+def idf_scores(weighed: DataFrame, where: DataFrame, k: int, common: int = COMMON_TERM) -> DataFrame:
+    """(claim_id, key, score): summed idf of shared terms, complete for the ``k`` best keys of each claim.
+
+    ``weighed``: (claim_id, term, df, idf); ``where``: (term, key), each pair once.
+    """
+    return _score_with_common(weighed, where.select("term", "key", F.lit(1.0).alias("tfn")), k, common)
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("claim_id").orderBy(F.desc(F.round("score", 9)), "key")
     return scores.withColumn("lexical_rank", F.row_number().over(w) - 1).filter(F.col("lexical_rank") < k)
@@ -304,7 +312,7 @@ def named_text(name: Column, text: Column, script: str) -> Column:
 # --------------------------------------------------------------------------- keyword baseline
 
 
-def keyword_baseline(rows: DataFrame, units: DataFrame, records: DataFrame, script: str, stop: list[str] | None = None, cap: int = 400) -> DataFrame:
+def keyword_baseline(rows: DataFrame, units: DataFrame, records: DataFrame, script: str, stop: list[str] | None = None, common: int = COMMON_TERM) -> DataFrame:
     """Containment baseline: top five canon units by summed idf and top five records by BM25; at 0.6 or more it "supports".
 
     ``rows``: (id, input_text); ``units``: (ref, text_match); ``records``: (key, text).
@@ -313,10 +321,10 @@ def keyword_baseline(rows: DataFrame, units: DataFrame, records: DataFrame, scri
     content = lambda c: X.content_word_set(X.tokens(F.col(c), script), stop)
     q = G.once(rows.select(F.col("id").alias("claim_id"), "input_text"), "q", content("input_text")).filter(F.size("q") > 0)
     uw = G.once(units.select("ref", "text_match"), "words", X.words(F.col("text_match"), script))
-    idf = G.word_idf(uw.select("words")).filter(F.col("df") <= cap)
-    where = uw.select("ref", F.explode(F.array_distinct("words")).alias("word"))
-    hits = q.select("claim_id", F.explode("q").alias("word")).join(idf, "word").join(where, "word").groupBy("claim_id", "ref").agg(F.sum("idf").alias("score"))
-    top_units = hits.withColumn("rn", F.row_number().over(W.partitionBy("claim_id").orderBy(F.desc(F.round("score", 9)), "ref"))).filter("rn <= 5")
+    idf = G.word_idf(uw.select("words")).withColumnRenamed("word", "term")
+    where = uw.select(F.col("ref").alias("key"), F.explode(F.array_distinct("words")).alias("term"))
+    hits = idf_scores(q.select("claim_id", F.explode("q").alias("term")).join(idf, "term"), where, 5, common)
+    top_units = top_k(hits, 5).select("claim_id", F.col("key").alias("ref"), (F.col("lexical_rank") + 1).alias("rn"))
     shared = lambda text: F.size(F.array_intersect("q", content(text))) / F.size("q")
     from_units = top_units.join(q, "claim_id").join(units.select("ref", "text_match"), "ref").select("claim_id", "ref", shared("text_match").alias("containment"), "rn")
     qs = rows.select(F.col("id").alias("claim_id"), F.col("input_text").alias("quote"))

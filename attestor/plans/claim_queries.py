@@ -35,16 +35,16 @@ def _hits(pattern: str, name: str) -> str:
 
 
 def _after(name: str) -> str:
-    """Sentence after the marker, without the marks that may open it (no opener closes within these tables' limits)."""
+    """Sentence after the marker, without the marks that may open it (an opener that closes delimits the quotation)."""
     skip = rf"length(regexp_extract(substr(text, CAST(ms + length(hit) + 1 AS BIGINT)), '^[ \t:،,]*'))"
     return (
         f"{name}1 AS (SELECT doc_id, text, ms + length(hit) + {skip} AS p FROM {name}), "
         f"{name}2 AS (SELECT doc_id, text, p, substr(text, CAST(p + 1 AS BIGINT), 1) AS o FROM {name}1), "
         "".rstrip()
         + f"{name}3 AS (SELECT *, CASE o WHEN '(' THEN ')' WHEN '\"' THEN '\"' WHEN chr(39) THEN chr(39) WHEN '[' THEN ']' WHEN '{{' THEN '}}' END AS c FROM {name}2), "
-        f"{name}4 AS (SELECT *, CASE WHEN c IS NULL THEN 0 ELSE strpos(substr(text, CAST(p + 2 AS BIGINT), 1499), c) END AS x FROM {name}3), "
+        f"{name}4 AS (SELECT *, CASE WHEN c IS NULL THEN 0 ELSE strpos(substr(text, CAST(p + 2 AS BIGINT)), c) END AS x FROM {name}3), "
         f"{name}5 AS (SELECT *, CASE WHEN c IS NOT NULL AND NOT x > 1 THEN p + 1 ELSE p END AS q FROM {name}4), "
-        rf"{name}6 AS (SELECT doc_id, text, CASE WHEN x > 1 THEN p + 1 ELSE q END AS s, CASE WHEN x > 1 THEN p + x ELSE q + (SELECT CASE WHEN len(ws) > 60 THEN length(array_to_string(ws[1:60], ' ')) ELSE length(sen) END FROM (SELECT sen, list_filter(regexp_split_to_array(sen, '\s+'), lambda w: w <> '') AS ws FROM (SELECT regexp_extract(substr(text, CAST(q + 1 AS BIGINT), 1500), '^[^.؟!\n…]*') AS sen))) END AS e, x > 1 AS closed FROM {name}5)"
+        rf"{name}6 AS (SELECT doc_id, text, CASE WHEN x > 1 THEN p + 1 ELSE q END AS s, CASE WHEN x > 1 THEN p + x ELSE q + length(regexp_extract(substr(text, CAST(q + 1 AS BIGINT)), '^[^.؟!\n…]*')) END AS e, x > 1 AS closed FROM {name}5)"
     )
 
 

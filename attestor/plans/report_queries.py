@@ -215,7 +215,7 @@ def _(spark, sf):
 @R(
     "joi_27_keyword_baseline",
     f"""WITH {RETRIEVAL}, {CANON}, {IDF}, ks AS (SELECT claim_id, list_distinct(list_filter({tokens_sql('quote')}, lambda x: length(x) >= 2 AND NOT list_contains({STOP_SQL}, x))) AS k FROM qs), kw AS (SELECT claim_id, unnest(k) AS word FROM ks),
-    uu AS (SELECT DISTINCT 'canon:' || group_no || ':' || unit_no AS ref, word FROM ct), us AS (SELECT claim_id, ref, sum(idf) AS s FROM kw JOIN idf USING (word) JOIN uu USING (word) WHERE df <= 400 GROUP BY ALL),
+    uu AS (SELECT DISTINCT 'canon:' || group_no || ':' || unit_no AS ref, word FROM ct), us AS (SELECT claim_id, ref, sum(idf) AS s FROM kw JOIN idf USING (word) JOIN uu USING (word) GROUP BY ALL),
     u5 AS (SELECT claim_id, ref, row_number() OVER (PARTITION BY claim_id ORDER BY round(s, 9) DESC, ref) AS rn FROM us QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY round(s, 9) DESC, ref) <= 5),
     cc AS (SELECT claim_id, ref, rn, len(list_intersect(k, {tokens_sql('text')})) / len(k) AS c FROM u5 JOIN ks USING (claim_id) JOIN cu ON 'canon:' || group_no || ':' || unit_no = ref
       UNION ALL SELECT claim_id, 'record:' || key, lexical_rank + 11, len(list_intersect(k, {tokens_sql('text')})) / len(k) FROM rk JOIN ks USING (claim_id) JOIN graded USING (key) WHERE lexical_rank < 5),

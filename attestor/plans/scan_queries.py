@@ -260,7 +260,7 @@ SEEDS = (
     "c2 AS (SELECT pos, word || ' ' || lead(word) OVER (ORDER BY pos) AS g FROM ct), n2 AS (SELECT g, count(*) AS cnt FROM c2 WHERE g IS NOT NULL GROUP BY g HAVING count(*) <= 60), "
     "h2 AS (SELECT claim_id, CAST(floor((pos - i) / 4) AS BIGINT) AS bucket, CASE WHEN cnt < 10 THEN 2 ELSE 1 END AS vote FROM q2 JOIN c2 USING (g) JOIN n2 USING (g)), "
     "up AS (SELECT group_no, unit_no, min(pos) AS pos0 FROM ct GROUP BY ALL), uw AS (SELECT DISTINCT pos0, word FROM ct JOIN up USING (group_no, unit_no)), "
-    "us AS (SELECT claim_id, pos0, sum(idf) AS score FROM (SELECT DISTINCT claim_id, word FROM qb) JOIN uw USING (word) JOIN idf USING (word) WHERE df <= 400 GROUP BY ALL), "
+    "us AS (SELECT claim_id, pos0, sum(idf) AS score FROM (SELECT DISTINCT claim_id, word FROM qb) JOIN uw USING (word) JOIN idf USING (word) GROUP BY ALL), "
     "u12 AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 9) DESC, pos0) AS rn FROM us), "
     "vt AS (SELECT claim_id, bucket, sum(vote) AS votes FROM (SELECT * FROM h2 UNION ALL SELECT claim_id, CAST(floor(pos0 / 4) AS BIGINT), 1 FROM u12 WHERE rn <= 12) GROUP BY ALL), "
     "sb AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY votes DESC, bucket) AS seed_rank FROM vt QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY votes DESC, bucket) <= 40)"

@@ -99,7 +99,7 @@ def _page_sql() -> str:
     body = rf"regexp_replace(regexp_replace({ent(body)}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
     title = ent(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
     return rf"""WITH p AS (SELECT page_id AS doc_id, url, trim(regexp_replace({title}, '[\s\pZ]+', ' ', 'g')) AS title, regexp_replace({body}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS text FROM pages)
-    SELECT doc_id, url, title, substr(text, 1, 60000) AS text FROM p WHERE length(text) >= 80"""
+    SELECT doc_id, url, title, text FROM p WHERE length(text) >= 80"""
 
 
 @R("src_6_page_text", _page_sql())

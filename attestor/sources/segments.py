@@ -13,14 +13,16 @@ from ..functions import text as X
 from ..operators import grams as G
 from ..operators.intervals import near_pairs
 
-MAX_SEGMENT, MAX_TEXT, CHUNK = 900, 60_000, 7000
+MAX_SEGMENT, CHUNK = 900, 7000
 
 # --------------------------------------------------------------------------- plain text
 
 
-def refuse(docs: DataFrame, max_chars: int = MAX_TEXT) -> tuple[DataFrame, DataFrame]:
-    """(accepted, refused with an error code): empty and over-long inputs are refused."""
-    code = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty_input").when(F.length("text") > max_chars, "input_too_long")
+def refuse(docs: DataFrame, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused with an error code): empty inputs are refused, and over-long ones where a size is asked for."""
+    code = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty_input")
+    if max_chars is not None:
+        code = code.when(F.length("text") > max_chars, "input_too_long")
     marked = docs.withColumn("error", code)
     return marked.filter("error is null").drop("error"), marked.filter("error is not null")
 
@@ -116,7 +118,7 @@ def _entities(c: Column) -> Column:
     return c
 
 
-def page_text(pages: DataFrame, min_chars: int = 80, max_chars: int = MAX_TEXT) -> DataFrame:
+def page_text(pages: DataFrame, min_chars: int = 80, max_chars: int | None = None) -> DataFrame:
     """(doc_id, url, title, text) of pages with at least ``min_chars`` of text; the title is the <title> element."""
     body = F.regexp_replace("html", r"(?s)<!--.*?-->", " ")
     for tag in DROPPED_ELEMENTS:
@@ -126,7 +128,8 @@ def page_text(pages: DataFrame, min_chars: int = 80, max_chars: int = MAX_TEXT)
     body = F.regexp_replace(F.regexp_replace(_entities(body), r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
     title = X.squeeze(_entities(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)))
     out = pages.select(F.col("page_id").alias("doc_id"), "url", title.alias("title"), strip(body).alias("text"))
-    return out.filter(F.length("text") >= min_chars).withColumn("text", X.clean_pasted(F.substr("text", F.lit(1), F.lit(max_chars))))
+    kept = F.col("text") if max_chars is None else F.substr("text", F.lit(1), F.lit(max_chars))
+    return out.filter(F.length("text") >= min_chars).withColumn("text", X.clean_pasted(kept))
 
 
 # --------------------------------------------------------------------------- captions and timed lines
