@@ -24,7 +24,7 @@ from . import scan as S
 
 @dataclass
 class Canon:
-    """Canon tables derived once from its units and reused by every query on them."""
+    """Canon tables derived once from its units, stored in the shared folder and read by every step on them."""
 
     units: DataFrame
     script: str
@@ -36,9 +36,9 @@ class Canon:
 
     @classmethod
     def build(cls, units: DataFrame, script: str, two_spellings: bool = False) -> "Canon":
-        positions = G.unit_positions(units, script, "text_match")
-        display = G.stream_tokens(G.unit_positions(units, script, "text_display")) if two_spellings else None
-        return cls(units, script, positions, G.stream_tokens(positions), G.word_idf(positions.select("words")), fits_broadcast(units, F.col("text_match")), display)
+        positions = cut_lineage(G.unit_positions(units, script, "text_match"))
+        display = cut_lineage(G.stream_tokens(G.unit_positions(units, script, "text_display"))) if two_spellings else None
+        return cls(units, script, positions, cut_lineage(G.stream_tokens(positions)), cut_lineage(G.word_idf(positions.select("words"))), fits_broadcast(units, F.col("text_match")), display)
 
 
 def scan_canon(docs: DataFrame, canon: Canon, min_words: int = 4) -> DataFrame:

@@ -144,6 +144,25 @@ def test_marked_quotations_in_arabic(spark):
     assert {(r.type, r.quote) for r in rows if r.closed} >= {("ayah", "الحَمدُ للهِ ربِّ العالمين"), ("hadith", "إنّما الأعمال بالنيّات")}
 
 
+def test_documents_to_verdicts(spark):
+    record = "the scribe wrote forty letters before winter came to the northern valley and sealed each one"
+    graded = spark.createDataFrame([(1, record, "Great Collection", "صحيح", ""), (2, "a wholly different report about ships and harbours in summer", "Other", "ضعيف", "")], "key long, text string, attribution string, grade string, intro string")
+    texts = [
+        "As written: one two three four five six seven. Nothing else follows here.",
+        f"Someone told us {record} and we left.",
+        "Plain words that quote nobody at all.",
+        "",
+        None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = FL.verify_documents(docs, canon(spark), graded, "latin").collect()
+    got = {(r.doc_id, r.type): r for r in rows}
+    assert set(got) == {(0, "ayah"), (1, "hadith")} and len(rows) == 2
+    assert (got[0, "ayah"].state, got[0, "ayah"].quote, got[0, "ayah"].similarity) == ("supported", "one two three four five six seven", 1.0)
+    assert (got[1, "hadith"].state, got[1, "hadith"].source_key, got[1, "hadith"].quote) == ("supported", "graded:1", record)
+    assert all(texts[r.doc_id][r.start : r.end] == r.quote and r.action for r in rows)
+
+
 def test_repeated_quotation_is_one_claim(spark):
     same = "a b c d e f"
     rows = [(f"c{i}", 1, "hadith", same, i * 20, i * 20 + 11) for i in range(3)]
