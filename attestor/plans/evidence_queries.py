@@ -223,12 +223,6 @@ def _(spark, sf):
     return FL.all_claims(documents(spark, sf), canon(spark, sf), records, SCRIPT, MARKERS).select("claim_id", "doc_id", "type", "quote", "start", "end", "origin", "index")
 
 
-@R("flow_verify_documents", None)
-def _(spark, sf):
-    v = FL.verify_documents(documents(spark, sf), canon(spark, sf), corpus_records(spark, sf), SCRIPT, MARKERS)
-    return v.select("claim_id", "doc_id", "type", "quote", "start", "end", "state", "action", "rule_id", "similarity", "source_key")
-
-
 @R("rul_17_saying_flow", None)
 def _(spark, sf):
     s = passage_claims(spark, sf).withColumn("attributed_to", F.lit("ابن تيمية")).withColumn("level", F.lit("B"))
