@@ -1,20 +1,27 @@
-"""License scans by patience alignment.
+"""License scans by the longest alignment with each template.
 
-Each template has a *key*, the word of it that fewest templates share. Around every place of a key in a text, up to
-the key's places before and after it, the template is aligned with the text: words unique in both are paired, the
-longest increasing subsequence of the pairs anchors the alignment, and the gaps between anchors are aligned the
-same way; equal words at a gap's ends are taken along. Coverage is the share of the template's words that
-found a partner. One narrow pass over whole texts; what a text without any key costs is its words' hashes.
+An alignment pairs equal words of a template and of a stretch of at most ``SPAN`` times as many words, in order;
+coverage is the share of the template's words that found a partner. The longest alignment of every stretch is met
+(bit-parallel, one word operation a word), so it pairs at least what ``aligned``, patience alignment, does.
+
+An alignment with enough coverage leaves out at most u words of a template. Its *seeds* are the words at u + 1 of its
+places, those that fewest templates share: any such alignment holds one, whichever words were cut or reworded. Around
+the seeds' places, merged where they touch, stretches with too few of the template's words are passed over.
+One narrow pass over whole texts; what a text without any seed costs is its words' hashes.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.
 
-Defined cases: a null, empty or wordless text has no license; of matches of the same place the one with more
-matched words counts, ties go to the template's name; repeated rows and repeated notices are each reported;
-templates without words match nothing; further columns are ignored.
+Defined cases: a null, empty or wordless text has no license; of one template's overlapping matches those with the
+most matched words in all count, then the shortest; of matches of the same place the one with more matched words
+counts, ties go to the greater coverage, then the fewer words, then to the template's name; repeated rows and repeated notices are each
+reported; templates without words match nothing; further columns are ignored. A short notice of another name can
+reach the least coverage ("Released under the X License." covers 4 of the 5 words of ``mit``): the name is a word like others.
 """
 from __future__ import annotations
 
-from bisect import bisect_left
+import math
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +31,28 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 LEAST_COVERAGE = 0.8
+SPAN = 4  # words of a stretch for each word of a template, at most
 
 # Usual notices of public licenses.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-2-clause": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-clause": "Licensed under the BSD 3-Clause License.",
+    "bsd-line": "Released under the BSD License.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-nd-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
@@ -86,35 +107,92 @@ def aligned(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _templates(templates: dict[str, str]) -> list[tuple[str, list[int], int]]:
-    """(name, word hashes, place of the key) of every template that has words."""
+def _templates(templates: dict[str, str], least: float) -> list[tuple[str, list[int], int, np.ndarray]]:
+    """(name, word hashes, least number of pairs, hashes of the seeds) of every template that has words."""
     found = []
     for name in sorted(templates):
         (_, _, data, offsets), *_ = B.text_blocks(pa.array([templates[name]]))
-        h = B.words(data, offsets, B.IS_ALNUM).hash.tolist()
-        if h:
-            found.append((name, h))
-    owners: dict[int, int] = {}
-    for _, h in found:
-        for x in set(h):
-            owners[x] = owners.get(x, 0) + 1
-    # a key occurs once in its template; of those the one that fewest templates have, then the longest-lived place
-    return [(name, h, min(range(len(h)), key=lambda k: (h.count(h[k]), owners[h[k]], -k))) for name, h in found]
-
-
-def matches_in(h: np.ndarray, templates: list, least: float) -> list[tuple[str, int, int, float]]:
-    """(license, first word, end word, coverage) of one text, in order, best of each place."""
+        w = B.words(data, offsets, B.IS_ALNUM)
+        if len(w.hash):
+            found.append((name, w.hash.tolist(), (w.end - w.start).tolist()))
+    owners = Counter(x for _, h, _ in found for x in set(h))
+    out = []
+    for name, h, size in found:
+        need = max(1, math.ceil(least * len(h) - 1e-9))
+        # any choice of places will do; words of few templates and long words are rare in texts
+        rare = sorted(range(len(h)), key=lambda k: (owners[h[k]], -size[k], k))[: len(h) - need + 1]
+        out.append((name, h, need, np.array(sorted({h[k] for k in rare}), np.uint64)))
+    return out
+
+
+def stretches(text: list[int], at: list[int], words: list[int], need: int) -> list[tuple[int, int, int]]:
+    """(pairs, first word, end word) of the stretches whose longest alignment has ``need`` pairs or more.
+
+    ``text`` are the template's words in a text and ``at`` their places. For each first word and number of pairs the
+    earliest end is given.
+    """
+    out, n = [], len(words)
+    bits: dict[int, int] = {}
+    for k, x in enumerate(words):
+        bits[x] = bits.get(x, 0) | 1 << k
+    size, have, common, b, full = Counter(words), Counter(), 0, 0, (1 << n) - 1
+    for a, s in enumerate(at):
+        while b < len(at) and at[b] < s + SPAN * n:
+            have[text[b]] += 1
+            common += have[text[b]] <= size[text[b]]
+            b += 1
+        if common >= need:  # words in common, whatever their order
+            v, best = full, 0
+            for q in range(a, b):
+                u = v & bits[text[q]]
+                v = ((v + u) | (v - u)) & full
+                pairs = n - v.bit_count()
+                if pairs > best:
+                    best = pairs
+                    if pairs >= need:
+                        out.append((pairs, s, at[q] + 1))
+        common -= have[text[a]] <= size[text[a]]
+        have[text[a]] -= 1
+    return out
+
+
+def most_pairs(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (pairs, first, end) those that do not overlap and have the most pairs in all, then the fewest words."""
+    found = sorted(found, key=lambda m: (m[2], m[1]))
+    ends = [m[2] for m in found]
+    best, take = [(0, 0)], []
+    for k, (pairs, first, end) in enumerate(found):
+        before = bisect_right(ends, first, 0, k)
+        mine = (best[before][0] + pairs, best[before][1] - (end - first))
+        take.append(before if mine > best[k] else -1)
+        best.append(max(mine, best[k]))
+    out, k = [], len(found)
+    while k:
+        if take[k - 1] >= 0:
+            out.append(found[k - 1])
+            k = take[k - 1]
+        else:
+            k -= 1
+    return out
+
+
+def matches_in(h: np.ndarray, templates: list, held: set[int]) -> list[tuple[str, int, int, float]]:
+    """(license, first word, end word, coverage) of one text, in order, best of each place; ``held``: the seeds in it."""
     out = []
-    for name, words, key in templates:
-        places = np.flatnonzero(h == B.U(words[key])).tolist()
-        for k, p in enumerate(places):
-            lo = max(0, p - 2 * len(words) if k == 0 else places[k - 1] + 1, p - 2 * len(words))
-            hi = min(len(h), p + 2 * len(words), places[k + 1] if k + 1 < len(places) else len(h))
-            pairs = aligned(h[lo:hi].tolist(), words)
-            if pairs and len(pairs) >= least * len(words):
-                out.append((len(pairs), name, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs) / len(words)))
+    for name, words, need, seeds in templates:
+        if held.isdisjoint(seeds.tolist()):
+            continue
+        places = np.flatnonzero(np.isin(h, seeds))
+        reach, own = SPAN * len(words), np.array(sorted(set(words)), np.uint64)
+        cuts = np.flatnonzero(np.diff(places) > 2 * reach) + 1
+        for group in np.split(places, cuts):  # the windows of a group touch
+            lo, hi = max(0, int(group[0]) - reach), min(len(h), int(group[-1]) + reach)
+            at = lo + np.flatnonzero(np.isin(h[lo:hi], own))
+            if len(at) >= need:
+                found = stretches(h[at].tolist(), at.tolist(), words, need)
+                out += [(pairs, name, first, end, pairs / len(words)) for pairs, first, end in most_pairs(found)]
     kept: list[tuple] = []
-    for m in sorted(out, key=lambda m: (-m[0], m[1], m[2])):
+    for m in sorted(out, key=lambda m: (-m[0], -m[4], m[3] - m[2], m[1], m[2])):
         if all(m[3] <= o[2] or m[2] >= o[3] for o in kept):
             kept.append(m)
     return [m[1:] for m in sorted(kept, key=lambda m: m[2])]
@@ -125,14 +203,17 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float
     kind = pa.struct([("license", pa.string()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("coverage", pa.float64())])
 
     def run(batches):
-        known = _templates(templates)
-        keys = np.unique(np.array([h[k] for _, h, k in known], np.uint64))
+        known = _templates(templates, least)
+        seeds = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for *_, x in known)]))
         for batch in batches:
             for a, b, data, offsets in B.text_blocks(batch.column("text")):
                 w = B.words(data, offsets, B.IS_ALNUM)
                 found: list[list] = [[] for _ in range(b - a)]
-                for r in np.unique(w.row[np.isin(w.hash, keys)]).tolist():
-                    found[r] = [dict(zip(kind.names, m)) for m in matches_in(w.hash[w.first[r] : w.first[r + 1]], known, least)]
+                held: dict[int, set[int]] = {}
+                for k in np.flatnonzero(np.isin(w.hash, seeds)).tolist():
+                    held.setdefault(int(w.row[k]), set()).add(int(w.hash[k]))
+                for r, mine in held.items():
+                    found[r] = [dict(zip(kind.names, m)) for m in matches_in(w.hash[w.first[r] : w.first[r + 1]], known, mine)]
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(found, pa.list_(kind))], names=["doc_id", "matches"])
 
     base = B.small_batches(docs).select("doc_id", "text")

@@ -315,6 +315,54 @@ def test_licenses(spark):
     assert all(got[k] == [] for k in (3, 4, 5, 7))
 
 
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_without_single_words(spark):
+    rows, want, around = [], {}, "some words before it"
+    for name, notice in licenses.TEMPLATES.items():
+        w = alnum(notice)
+        for k in range(len(w)):
+            want[len(rows)] = (name, w, (len(w) - 1) / len(w))
+            rows.append((len(rows), " ".join([around, *w[:k], *w[k + 1 :], around])))
+    gpl = licenses.TEMPLATES["gpl-3.0-header"].split(", or (at")[0]
+    rows += [(9000, gpl), (9001, "x Licensed under CC BY-NC 4.0. y"), (9002, "Licensed under CC BY 4.0."), (9003, "Released under the MIT. Under the MIT License.")]
+    got = {r["doc_id"]: r["matches"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, w, coverage) in want.items():
+        if coverage >= 0.8:  # another notice may cover the same place with as many words
+            assert any(m["license"] == name or m["coverage"] * len(alnum(licenses.TEMPLATES[m["license"]])) >= len(w) - 1 for m in got[k]), (k, name)
+    assert [(m["license"], round(m["coverage"], 2)) for m in got[9000]] == [("gpl-3.0-header", 0.83)]
+    assert [[m["license"] for m in got[k]] for k in (9001, 9002, 9003)] == [["cc-by-nc-4.0-line"], ["cc-by-4.0-line"], ["mit", "mit"]]
+
+
+def test_license_places_are_those_of_brute_force(spark):
+    rng = random.Random(8)
+    notices = {"a": "k1 k2 k3 k4 k5", "b": "k2 k6 k7 k2 k8 k9 k1 k3 k5 k4"}
+    rows = []
+    for k in range(150):
+        w = [x for name in rng.choices("ab", k=rng.randrange(1, 3)) for x in [*notices[name].split(), *["x"] * rng.randrange(6)] if rng.random() > 0.12]
+        for _ in range(rng.randrange(4)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["y", "k2", "k5", "k9"]))
+        rows.append((k, " ".join(w)))
+    for name, notice in notices.items():
+        n = notice.split()
+        got = {r["doc_id"]: r["matches"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), {name: notice}).collect()}
+        for k, t in rows:
+            w = t.split()
+            best = max((longest(w[s : s + 4 * len(n)], n) for s in range(len(w))), default=0)
+            assert bool(got[k]) == (best >= 0.8 * len(n)), (k, t)
+            for m in got[k]:
+                assert longest(w[m["start_word"] : m["end_word"]], n) == round(m["coverage"] * len(n)) >= 0.8 * len(n)
+                assert len(licenses.aligned(w[m["start_word"] : m["end_word"]], n)) <= round(m["coverage"] * len(n))
+
+
 def test_patience_alignment_is_increasing_and_equal():
     rng = random.Random(5)
     for _ in range(50):
