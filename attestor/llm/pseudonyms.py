@@ -1,7 +1,7 @@
 """PII: format-preserving Feistel pseudonyms, in DataFrame functions only.
 
 E-mail addresses, phone numbers, payment card numbers, social security numbers, IPv4 addresses and dates are found by
-one pattern and validated (Luhn check, octets up to 255, calendar dates, digit counts). Each is replaced by a keyed
+two patterns and validated (Luhn check, octets up to 255, calendar dates, digit counts). Each is replaced by a keyed
 permutation of its own format: letters stay letters of their case, digits digits, punctuation in place, a card
 number passes the Luhn check, a date is a date, an address is an address. The permutation is a Feistel network of
 ``ROUNDS`` rounds under ``key``, so equal values have equal pseudonyms in all documents, different ones have
@@ -9,12 +9,20 @@ different pseudonyms, and whoever has the key can undo it. Only an address may c
 
 Everything happens inside the row: no shuffle. Texts without a digit or an at sign are not looked at further.
 
+Card numbers are sought last, in the text that no other value has taken: of each run of digit groups with one space
+or hyphen between them, every stretch of whole groups with 13 to 19 digits is tried, so a number beside a card does not
+hide it. Of overlapping stretches that pass the Luhn check the leftmost, then longest counts; one in ten of other
+digit stretches passes too. A slash date is read as dd/mm/yyyy, and as mm/dd/yyyy where that is no day; either form has
+a permutation of its own. Of an ISO timestamp the date is replaced, the time stays.
+
 Defined cases: a null text stays null, an empty one empty; what fails its validation stays as it is; matches do not
 overlap, the leftmost longest kind in the order of ``PATTERNS`` wins; repeated rows are treated alike; further
 columns are kept.
 """
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +32,16 @@ KEY = "attestor"  # the query's; callers pass their own
 # The formats looked for. A start inside a longer token is refused, so each token is read once.
 EMAIL = r"(?<![A-Za-z0-9._%+\-@])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
 PHONE = r"(?<![A-Za-z0-9+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![A-Za-z0-9])"
-CARD = r"(?<![A-Za-z0-9.\-])\d(?:[ \-]?\d){12,18}(?![A-Za-z0-9])"
+DIGITS = r"(?<![A-Za-z0-9.\-])(?=\d(?:[ \-]?\d){12})\d++(?![A-Za-z0-9])(?:[ \-]\d++(?![A-Za-z0-9]))*+"  # groups that may hold card numbers
 SSN = r"(?<![A-Za-z0-9.\-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9\-])"
 IPV4 = r"(?<![A-Za-z0-9.\-])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9])(?!\.\d)"
-DATE = r"(?<![A-Za-z0-9.\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![A-Za-z0-9/])"
-PATTERNS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "date": DATE, "ip": IPV4, "card": CARD}
+DATE = r"(?<![A-Za-z0-9.\-/])(?:\d{4}-\d{2}-\d{2}(?=[Tt]\d{2})|\d{4}-\d{2}-\d{2}(?![A-Za-z0-9/])|(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![A-Za-z0-9/]))"
+PATTERNS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "date": DATE, "ip": IPV4}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1900-01-01", 17, 4297  # 17 * 4297 days: to 2099-12-31
+# days that only mm/dd names, of years without the 29th of February, and the years with one (49 = 7 * 7)
+MONTH_DAYS = [f"{m:02d}/{d:02d}" for m in range(1, 13) for d in range(13, calendar.monthrange(1900, m)[1] + 1)]
+LEAP_YEARS = [y for y in range(1900, 2100) if calendar.isleap(y)]
 
 
 def let(value: Column, body) -> Column:
@@ -114,8 +125,57 @@ def _date(m: Column, key: str) -> Column:
     return let(moved, lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy")))
 
 
+def _month_first(m: Column, key: str) -> Column:
+    """The replacement of an mm/dd/yyyy date whose day is above 12, by another such date; null for other matches."""
+    days, leaps, n = F.lit(MONTH_DAYS), F.lit(LEAP_YEARS), len(MONTH_DAYS)
+    month_day, year = F.substr(m, F.lit(1), F.lit(5)), F.substr(m, F.lit(7), F.lit(4)).try_cast("int")
+    at, leap = F.array_position(days, month_day) - 1, F.array_position(leaps, year) - 1
+    usual = let(permuted_number((year - 1900) * n + at, 200, n, key, "mm/dd"), lambda x: F.concat_ws("/", F.get(days, (x % n).cast("int")), (F.floor(x / n) + 1900).cast("string")))
+    extra = let(permuted_number(leap, 7, 7, key, "02/29"), lambda x: F.concat_ws("/", F.lit("02/29"), F.get(leaps, x.cast("int")).cast("string")))
+    return F.when(m.contains("/") & year.between(1900, 2099), F.when(at >= 0, usual).when((month_day == "02/29") & (leap >= 0), extra))
+
+
+def _cards(run: Column, key: str) -> Column:
+    """(text, at, n) of a run of digit groups: ``n`` card numbers replaced, ``at`` the group after the last of them."""
+    groups = F.regexp_extract_all(run, F.lit(r"[ \-]?\d+"), F.lit(0))
+    joined = lambda g, a, b: F.array_join(F.slice(g, a, b - a + 1), "")
+
+    def valid(g: Column, a: Column, b: Column) -> Column:
+        digits = F.regexp_replace(joined(g, a, b), r"\D", "")
+        return let(digits, lambda d: F.when(F.length(d).between(13, 19), luhn_sum(d) % 10 == 0).otherwise(False))
+
+    def found(g: Column) -> Column:
+        last = lambda a: F.sequence(F.least(F.size(g), a + 18), a, F.lit(-1))
+        each = lambda a: F.transform(F.filter(last(a), lambda b: valid(g, a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(g)), each))
+
+    def replaced(g: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            body = joined(g, c["a"], c["b"])
+            mark = F.regexp_extract(body, r"^[ \-]?", 0)
+            card = F.concat(mark, _card(F.substr(body, F.length(mark) + 1, F.length(body)), key))
+            taken = F.struct(F.concat(s["text"], joined(g, s["at"], c["a"] - 1), card).alias("text"), (c["b"] + 1).alias("at"), (s["n"] + 1).alias("n"))
+            return F.when(c["a"] >= s["at"], taken).otherwise(s)
+
+        start = F.struct(F.lit("").alias("text"), F.lit(1).alias("at"), F.lit(0).alias("n"))
+        rest = lambda s: F.struct(F.concat(s["text"], joined(g, s["at"], F.size(g))).alias("text"), s["n"].alias("n"))
+        return F.aggregate(found(g), start, step, rest)
+
+    return let(groups, replaced)
+
+
+def _without_cards(text: Column, key: str) -> Column:
+    """(text, n) of a stretch of text: card numbers replaced, and how many."""
+    new = F.transform(F.regexp_extract_all(text, F.lit(DIGITS), F.lit(0)), lambda m: _cards(m, key))
+    filled = lambda new: F.struct(
+        F.array_join(F.flatten(F.zip_with(F.split(text, DIGITS, -1), new, lambda p, m: F.array(p, F.coalesce(m["text"], F.lit(""))))), "").alias("text"),
+        F.aggregate(new, F.lit(0), lambda n, m: n + m["n"]).alias("n"),
+    )
+    return F.when(text.rlike(DIGITS), let(new, filled)).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
+
+
 def pseudonym(m: Column, key: str) -> Column:
-    """The replacement of one match; the match itself where it does not validate."""
+    """The replacement of one match; null where it does not validate."""
     digits = F.regexp_replace(m, r"\D", "")
     whole = lambda p: m.rlike("^(?:" + p + ")$")
     top = F.length(m) - F.locate(".", F.reverse(m)) + 1  # place of the last dot
@@ -126,26 +186,31 @@ def pseudonym(m: Column, key: str) -> Column:
     in_range = _day(m).between(F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit("2099-12-31")))
     return (
         F.when(m.contains("@"), email)
-        .when(whole(PHONE), F.when(F.length(digits).between(10, 15), phone).otherwise(m))
+        .when(whole(PHONE), F.when(F.length(digits).between(10, 15), phone))
         .when(whole(SSN), permuted_text(m, key, "ssn"))
-        .when(whole(DATE), F.when(in_range, _date(m, key)).otherwise(m))
-        .when(whole(IPV4), F.when(octets, _ip(m, key)).otherwise(m))
-        .otherwise(F.when(luhn_sum(digits) % 10 == 0, _card(m, key)).otherwise(m))
+        .when(whole(DATE), F.when(in_range, _date(m, key)).otherwise(_month_first(m, key)))
+        .when(whole(IPV4), F.when(octets, _ip(m, key)))
     )
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY, column: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the values in ``column`` replaced; ``count`` names a column for how many were."""
     text = F.col(f"`{column}`")
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    looked_at = text.rlike("[0-9@]")
+    found = F.when(looked_at, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     new = F.transform("__found", lambda m: pseudonym(m, key))
-    pieces = F.split(text, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(pieces, "__new", lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-    replaced = F.when(F.size("__found") > 0, joined).otherwise(text)
+    done = F.array_compact(F.transform("__new", lambda m, i: F.when(m.isNotNull(), i)))
+    # the text between replaced values; what did not validate is part of it
+    parts = F.slice(F.flatten(F.zip_with(F.split(text, ANY, -1), "__found", lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), F.lit(1), 2 * F.size("__found") + 1)
+    first = lambda k: F.coalesce(F.get("__done", k - 1) * 2 + 3, F.lit(1))
+    last = lambda k: F.coalesce(F.get("__done", k) * 2 + 1, 2 * F.size("__found") + 1)
+    between = let(parts, lambda x: F.transform(F.sequence(F.lit(0), F.size("__done")), lambda k: F.array_join(F.slice(x, first(k), last(k) - first(k) + 1), "")))
+    rest = F.transform(F.when(looked_at, between), lambda t: _without_cards(t, key))
+    joined = F.array_join(F.flatten(F.transform("__rest", lambda t, k: F.array(t["text"], F.coalesce(F.get("__new", F.get("__done", k)), F.lit(""))))), "")
     own = list(docs.columns)
-    out = docs.withColumn("__found", found).withColumn("__new", new)
-    cols = [replaced.alias(c) if c == column else F.col(f"`{c}`") for c in own if c != count]
+    out = docs.withColumn("__found", found).withColumn("__new", new).withColumn("__done", done).withColumn("__rest", rest)
+    cols = [F.coalesce(joined, text).alias(c) if c == column else F.col(f"`{c}`") for c in own if c != count]
     if count:
-        changed = F.size(F.filter(F.arrays_zip("__found", "__new"), lambda x: x["__found"] != x["__new"]))
+        changed = F.size("__done") + F.coalesce(F.aggregate("__rest", F.lit(0), lambda n, t: n + t["n"]), F.lit(0))
         cols.append(F.when(text.isNull(), 0).otherwise(changed).alias(count))
     return out.select(*cols)

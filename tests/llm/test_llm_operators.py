@@ -229,6 +229,31 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(df, "other").filter("n = 1").first()["text"] != by[1]
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    def luhn(t):
+        d = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(re.sub(r"\D", "", t)))]
+        return sum(x - 9 * (x > 9) for x in d) % 10 == 0
+
+    card, plain = r"(\d{4} \d{4} \d{4} \d{4})", r"(\d{16})"
+    cases = [
+        ("4111 1111 1111 1111 123", card + " 123"), ("4111111111111111 12/27", plain + " 12/27"), ("7 4111 1111 1111 1111", "7 " + card),
+        ("1235 4111 1111 1111 1111", "1235 " + card), ("4111 1111 1111 1111 12a", card + " 12a"), ("+1 4111 1111 1111 1111", r"\+1 " + card),
+        ("4111 1111 1111 1111 5500-0000-0000-0004", card + r" (\d{4}-\d{4}-\d{4}-\d{4})"), ("4111 1111 1111 1111 319-555-5132", card + r" (?!319-555-5132)\d{3}-\d{3}-\d{4}"),
+        ("77 123-45-6789 12", r"77 (?!123-45-6789)\d{3}-\d\d-\d{4} 12"), ("2024-03-05T10:00:00Z", r"(?!2024-03-05)\d{4}-\d\d-\d\dT10:00:00Z"),
+        ("on 12/31/2024.", r"on (?!12/31/2024)\d\d/\d\d/\d{4}\."), ("02/29/2024", r"02/29/\d{4}"), ("02/29/2023 13/32/2024 12/31/1850", "02/29/2023 13/32/2024 12/31/1850"), ("1 " * 5_000, r"[\d ]+"),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "n long, text string")
+    got = pseudonyms.pseudonymised(df, "k", count="hits").orderBy("n").collect()
+    for (was, form), r in zip(cases, got):
+        m = re.fullmatch(form, r["text"])
+        assert m and all(luhn(x) and x not in was for x in m.groups()), (was, r["text"])
+    assert [r["hits"] for r in got[:13]] == [1, 1, 1, 1, 1, 1, 2, 2, 1, 1, 1, 1, 0]
+    assert datetime.datetime.strptime(got[10]["text"], "on %m/%d/%Y.").day > 12
+    days = [f"{m:02d}/{d:02d}/{y}" for y in (1999, 2000) for m in range(1, 13) for d in range(13, 29)] + [f"02/29/{y}" for y in range(1904, 2100, 4)]
+    new = [r[0] for r in pseudonyms.pseudonymised(spark.createDataFrame([(d,) for d in days], "text string"), "k").collect()]
+    assert len(set(new)) == len(days) and all(datetime.datetime.strptime(x, "%m/%d/%Y").day > 12 for x in new)
+
+
 def test_permutations_are_permutations(spark):
     n = spark.range(17 * 30)
     moved = n.select(pseudonyms.permuted_number(F.col("id"), 17, 30, "k", "t").alias("x"))
