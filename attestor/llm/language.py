@@ -2,7 +2,7 @@
 
 Fit: n-grams (three bytes of lower-cased text) are counted per language on a bounded sample, the rows with the
 smallest hashes of their id; each language's ``TOP`` most frequent ones go into one Bloom filter whose slots are
-bitmasks, bit l standing for language l. One look-up of an n-gram, the AND of its ``HASHES`` slots, therefore
+bitmasks, bit l standing for language l, in as many 64-bit words as the languages need. One look-up of an n-gram, the AND of its ``HASHES`` slots, therefore
 returns all languages that contain it.
 
 Score: every n-gram of a whole text is looked up; the popcount of each language's bit over the text is corrected
@@ -39,7 +39,7 @@ LEAST_SHARE = 0.2  # below this share of known n-grams a text is no running text
 @dataclass
 class Filter:
     languages: list[str]
-    masks: np.ndarray  # a bitmask of languages per slot
+    masks: np.ndarray  # a bitmask of languages per slot, a row for each 64 languages
     false_rate: np.ndarray  # of each language
     common: int  # the most frequent language
 
@@ -75,14 +75,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Filter:
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("cnt"), "gram"))
     best = counts.select("lang", "gram", rank.alias("r"), total.alias("total")).filter(F.col("r") <= top).toArrow()
     names = sorted(set(best.column("lang").to_pylist()))
-    if len(names) > 64:
-        raise ValueError("a bitmask holds 64 languages")
-    masks = np.zeros(SLOTS, np.uint64)
+    masks = np.zeros((-(-len(names) // 64), SLOTS), np.uint64)
     lang, gram = best.column("lang").to_pylist(), best.column("gram").to_numpy().astype(np.uint32)
-    bit = np.array([names.index(x) for x in lang], np.uint64)
+    place = {x: k for k, x in enumerate(names)}
+    index = np.array([place[x] for x in lang], np.int64)
     for slot in _slots(gram):
-        np.bitwise_or.at(masks, slot, B.U(1) << bit)
-    filled = np.array([((masks >> B.U(k)) & B.U(1)).mean() for k in range(len(names))])
+        np.bitwise_or.at(masks, (index // 64, slot), B.U(1) << (index % 64).astype(np.uint64))
+    filled = np.array([((masks[k // 64] >> B.U(k % 64)) & B.U(1)).mean() for k in range(len(names))])
     totals = dict(zip(lang, best.column("total").to_pylist()))
     common = max(range(len(names)), key=lambda k: (totals[names[k]], -k), default=-1)
     return Filter(names, masks, filled**HASHES, common)
@@ -125,13 +124,15 @@ def predictions(model: Filter, column: pa.Array) -> tuple[np.ndarray, np.ndarray
     best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
     for a, b, data, offsets in B.text_blocks(column):
         code, at = _grams(data, offsets)
-        mask = np.full(len(code), ~B.U(0), np.uint64)
-        for slot in _slots(code):
-            mask &= model.masks[slot]
+        slots = _slots(code)
         n = np.diff(at)
         hits = np.zeros((b - a, max(k, 1)))
         for lang in range(k):
-            bits = ((mask >> B.U(lang)) & B.U(1)).astype(np.int64)
+            if lang % 64 == 0:
+                mask = np.full(len(code), ~B.U(0), np.uint64)
+                for slot in slots:
+                    mask &= model.masks[lang // 64][slot]
+            bits = ((mask >> B.U(lang % 64)) & B.U(1)).astype(np.int64)
             raw = np.diff(np.concatenate([[0], np.cumsum(bits)])[at])
             rate = model.false_rate[lang]
             hits[:, lang] = np.maximum((raw - n * rate) / (1 - rate), 0)

@@ -297,6 +297,29 @@ def test_mixing(spark):
     assert mixing.mixed(docs, weight, block_docs=4).select("doc_id", "position").exceptAll(got.select("doc_id", "position")).isEmpty()
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_mixing_many_sources(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+    rows = [(k, f"s{k % 137 if k % 3 else 0}") for k in range(3_000)]
+    weight = {f"s{k}": 1 + k % 7 for k in range(137)}
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), weight, block_docs=2).orderBy("position").collect()
+    counts = collections.Counter(s for _, s in rows)
+    want = brute_schedule({s: -(-n // 2) for s, n in counts.items()}, weight)
+    slots = sorted({(r["slot"], r["source"], r["block"]) for r in out})
+    assert len(out) == len(rows) and [(s, b) for _, s, b in slots] == want and [t for t, *_ in slots] == list(range(len(want)))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    names = [f"l{k:02d}" for k in range(70)]
+    letters = lambda k: [chr(0x4E00 + 40 * k + j) for j in range(5)]
+    rng = random.Random(1)
+    rows = [(k * 10 + j, "".join(rng.choice(letters(k)) for _ in range(60)), x) for k, x in enumerate(names) for j in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, language.fit(docs)).collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_pfair_lag_is_below_one_block():
     weight = {"a": 90, **{f"s{k}": 1 for k in range(10)}}
     have = collections.Counter()
