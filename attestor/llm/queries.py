@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, licenses, mixing, ngram_jaccard, page_text, pseudonyms, quality, toxicity
+from . import decontaminate, fingerprints, language, licenses, mixing, ngram_jaccard, page_text, pseudonyms, quality, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -107,3 +107,9 @@ def op8(spark, sf: str) -> DataFrame:
     out = licenses.scanned(table(spark, sf, "documents"))
     best = F.array_max(F.transform("matches", lambda m: m["coverage"]))
     return out.select("doc_id", F.size("matches").alias("n_matches"), F.array_join(F.array_distinct(F.transform("matches", lambda m: m["license"])), ",").alias("licenses"), best.alias("coverage"), "matches")
+
+
+@query("op12_simhash_near_duplicates")
+def op12(spark, sf: str) -> DataFrame:
+    out = simhash.components(table(spark, sf, "documents"))
+    return simhash.with_hex(out).select("doc_id", "fingerprint", "component_id")
