@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, licenses, mixing, ngram_jaccard, page_text, pseudonyms, quality, simhash, toxicity
+from . import decontaminate, fingerprints, language, licenses, mixing, negatives, ngram_jaccard, page_text, pseudonyms, quality, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -113,3 +113,23 @@ def op8(spark, sf: str) -> DataFrame:
 def op12(spark, sf: str) -> DataFrame:
     out = simhash.components(table(spark, sf, "documents"))
     return simhash.with_hex(out).select("doc_id", "fingerprint", "component_id")
+
+
+OP13_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+       list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+       WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.place ORDER BY s.score DESC, s.vec_id, s.b) AS rank,
+             s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(negatives.prepared(table(spark, sf, "embeddings"), moved), F.col("vec_id") % 100 == 0)
