@@ -38,6 +38,7 @@ from . import blocks as B
 LEAST_DOCS, TERM_RANKS = 3, 200
 PIECE = 1 << 16  # terms of one transducer
 ROUND = 64 << 20  # bytes of transducers that are broadcast at a time
+MERGE = 1 << 19  # counts that a task holds before it sends them on
 BLOCK = 2_000_000
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -223,7 +224,7 @@ def with_bases(pieces: DataFrame) -> DataFrame:
 
 
 def ordinal_counts(docs: DataFrame, pieces: DataFrame, limit: int = ROUND) -> DataFrame:
-    """(lang, source, ord, n): occurrences of each kept term in each group, by streaming all texts through the pieces."""
+    """(grp, ord, n): occurrences of each kept term in each group, by streaming all texts through the pieces."""
     listing = sorted(with_bases(pieces).collect(), key=lambda r: (r["lang"], r["base"]))  # a short row for each ``PIECE`` terms
     rounds: list[list] = []
     size = limit + 1
@@ -242,10 +243,10 @@ def ordinal_counts(docs: DataFrame, pieces: DataFrame, limit: int = ROUND) -> Da
         for r in sorted(mine.collect(), key=lambda r: bases[r["lang"], r["first"]]):
             held.setdefault(r["lang"], []).append((r["first"].encode(), bases[r["lang"], r["first"]], _loaded(r)))
         sent = spark.sparkContext.broadcast(held)
-        part = cut_lineage(_streamed(docs, sent).groupBy("lang", "source", "ord").agg(F.sum("n").alias("n")))
+        part = cut_lineage(_streamed(docs, sent).groupBy("grp", "ord").agg(F.sum("n").alias("n")))
         sent.destroy()
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "lang string, source string, ord long, n long")
+    return out if out is not None else spark.createDataFrame([], "grp string, ord long, n long")
 
 
 def _ordinals(pieces: list, terms: pa.Array) -> np.ndarray:
@@ -262,26 +263,59 @@ def _ordinals(pieces: list, terms: pa.Array) -> np.ndarray:
     return out
 
 
+def _group() -> Column:
+    """One string for a language and a source, which stands for no other pair."""
+    return F.concat(F.length("lang").cast("string"), F.lit(":"), F.col("lang"), F.col("source"))
+
+
 def _streamed(docs: DataFrame, sent) -> DataFrame:
+    """Counts of a task's blocks are summed in it until there are ``MERGE`` of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
+        known: dict[str, int] = {}  # the task's groups
+        held, n_held = [], 0
+
+        def summed():
+            g, ord_, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+            order = np.lexsort((ord_, g))
+            g, ord_, n = g[order], ord_[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (ord_[1:] != ord_[:-1])]))
+            return g[first], ord_[first], np.add.reduceat(n, first)
+
+        def sent_on(g, ord_, n):
+            names = pa.array(list(known), pa.string())
+            return pa.RecordBatch.from_arrays([names.take(pa.array(g)), pa.array(ord_), pa.array(n)], names=["grp", "ord", "n"])
+
         for batch in batches:
-            groups, group = _coded(batch, ["lang", "source"])
+            pairs, group = _coded(batch, ["lang", "grp"])
+            langs = np.array(pairs.column("lang").to_pylist(), object)
+            ids = np.array([known.setdefault(x, len(known)) for x in pairs.column("grp").to_pylist()], np.int64)
             for a, b, data, at in B.text_blocks(batch.column("text"), BLOCK):
                 terms, code, row = _terms(data, at)
-                pairs, n = np.unique(group[a + row] * len(terms) + code, return_counts=True)
-                g, code = pairs // max(1, len(terms)), pairs % max(1, len(terms))
-                names = np.array(groups.column("lang").to_pylist(), object)[g]
-                ord_ = np.full(len(pairs), -1, np.int64)
-                for lang in set(names.tolist()) & vocabulary.keys():
-                    here = np.flatnonzero(names == lang)
+                if not len(code):
+                    continue
+                both, n = np.unique(group[a + row] * len(terms) + code, return_counts=True)
+                g, code = both // len(terms), both % len(terms)
+                ord_ = np.full(len(both), -1, np.int64)
+                for lang in set(langs[g].tolist()) & vocabulary.keys():
+                    here = np.flatnonzero(langs[g] == lang)
                     asked, back = np.unique(code[here], return_inverse=True)
                     ord_[here] = _ordinals(vocabulary[lang], terms.take(pa.array(asked)))[back]
                 kept = np.flatnonzero(ord_ >= 0)
-                who = groups.take(pa.array(g[kept])).combine_chunks()
-                yield pa.RecordBatch.from_arrays([*(pa.chunked_array(who.column(c).chunks, pa.string()).combine_chunks() for c in ("lang", "source")), pa.array(ord_[kept]), pa.array(n[kept].astype(np.int64))], names=["lang", "source", "ord", "n"])
+                held.append((ids[g[kept]], ord_[kept], n[kept].astype(np.int64)))
+                n_held += len(kept)
+            if n_held > 2 * MERGE:
+                held = [summed()]
+                n_held = len(held[0][0])
+                if n_held > MERGE:
+                    yield sent_on(*held[0])
+                    held, n_held = [], 0
+                    known = {}
+        if n_held:
+            yield sent_on(*summed())
 
-    return docs.mapInArrow(run, "lang string, source string, ord long, n long")
+    return docs.select("text", "lang", _group().alias("grp")).mapInArrow(run, "grp string, ord long, n long")
 
 
 def spelled(pieces: DataFrame) -> DataFrame:
@@ -316,13 +350,13 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, term_ranks: int = TERM_
     counts = cut_lineage(ordinal_counts(docs, pieces, limit))
 
     sizes = pieces.groupBy("lang").agg(F.sum("n_terms").alias("v"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("seen"))
-    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "seen", "v"])
+    totals = counts.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("seen"))
+    groups = docs.select("lang", "source").distinct().withColumn("grp", _group()).join(totals, "grp", "left").join(sizes, "lang", "left").na.fill(0, ["total", "seen", "v"])
     groups = cut_lineage(groups.withColumn("z", F.when(F.col("v") > 0, _share("0L"))))  # z: the share of a count of zero
 
-    shares = counts.join(groups, ["lang", "source"]).withColumn("p", _share("n"))
+    shares = counts.join(groups, "grp").withColumn("p", _share("n"))
     whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
-    overall = counts.groupBy("lang", "ord").agg(F.sum("n").alias("n")).join(whole, "lang").select("lang", "ord", _share("n").alias("q"))
+    overall = shares.groupBy("lang", "ord").agg(F.sum("n").alias("n")).join(whole, "lang").select("lang", "ord", _share("n").alias("q"))
     over = shares.join(overall, ["lang", "ord"]).filter("p > q").select("lang", "source", "ord", F.expr(_apart("p", "q")).alias("value"))
     by_value = W.partitionBy("lang", "source").orderBy(F.desc("value"), "ord")
     top = over.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= term_ranks)
@@ -330,9 +364,17 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, term_ranks: int = TERM_
 
     a = shares.select("lang", "ord", F.col("source").alias("a"), F.col("p").alias("pa"), F.col("z").alias("za"))
     b = shares.select("lang", "ord", F.col("source").alias("b"), F.col("p").alias("pb"), F.col("z").alias("zb"))
-    met = a.join(b, ["lang", "ord"]).filter("a <> b")
-    beyond = f"{_apart('pa', 'pb')} - {_apart('pa', 'zb')} - {_apart('za', 'pb')} + {_apart('za', 'zb')}"
-    in_both = met.groupBy("lang", "a", "b").agg(F.sum(F.expr(beyond).cast("decimal(20,0)")).alias("value"))
+    met = a.join(b, ["lang", "ord"]).filter("a < b").select(
+        "lang", "a", "b",
+        F.expr(f"{_apart('pa', 'pb')} - {_apart('pa', 'zb')} - {_apart('za', 'pb')} + {_apart('za', 'zb')}").alias("there"),
+        F.expr(f"{_apart('pb', 'pa')} - {_apart('pb', 'za')} - {_apart('zb', 'pa')} + {_apart('zb', 'za')}").alias("back"),
+    )
+    # sums of the high and the low halves stay within 64 bits for 2**31 terms and are put together as decimals
+    halves = [f(c).alias(f"{c}_{k}") for c in ("there", "back") for k, f in (("high", lambda c: F.sum(F.shiftright(c, 32))), ("low", lambda c: F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))))]
+    total = lambda c: F.expr(f"CAST({c}_high AS DECIMAL(20,0)) * CAST(4294967296 AS DECIMAL(10,0)) + {c}_low")
+    both_ways = met.groupBy("lang", "a", "b").agg(*halves).select("lang", F.explode(F.array(
+        F.struct(F.col("a"), F.col("b"), total("there").alias("value")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), total("back").alias("value")))).alias("e"))
+    in_both = both_ways.select("lang", "e.a", "e.b", "e.value")
     ga = groups.select("lang", F.col("source").alias("a"), F.col("z").alias("za"), F.col("seen").alias("na"), "v")
     gb = groups.select("lang", F.col("source").alias("b"), F.col("z").alias("zb"), F.col("seen").alias("nb"))
     pairs = ga.join(gb, "lang").filter("a <> b")  # the pairs that are asked for
