@@ -9,7 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
+from ..session import cut_lineage
 from . import grams as G
+from . import retrieve as R
+from . import similar as SI
 
 SEED = 1448
 
@@ -95,19 +98,32 @@ def alternate_rows(graded: DataFrame, opening: str = 'The Prophet (peace be upon
     return graded.filter(F.length(t) > 0).select("key", F.concat(F.lit(opening), F.btrim(quoted, F.lit('"')), F.lit('"')).alias("input_text"))
 
 
-def rejected_everywhere(grade_rows: DataFrame, similar: DataFrame, corpus_best: DataFrame) -> DataFrame:
-    """Grade texts whose every near copy rejects them and whose words no sound corpus holds.
+def rejected_everywhere(grade_rows: DataFrame, corpus: DataFrame, script: str, shortest: int = 8, longest: int = 35, similar: tuple[int, int] = (4, 5), known: float = 0.6) -> DataFrame:
+    """Grade texts whose every near copy rejects them and whose words no sound corpus holds: (key, grade_class, copies, best).
 
-    ``grade_rows``: (key, grade_class); ``similar``: (key, other_key, similarity) at 0.8 or more, itself included;
-    ``corpus_best``: (key, similarity) best corpus candidate.
+    ``grade_rows``: (key, text, grade_class); ``corpus``: (key, text). Near copies share four fifths of the distinct
+    words of both (a join of all grade texts with themselves, each group of equal texts one row); ``copies`` is the number of
+    rows they are, the row itself included. ``best`` is the best aligned candidate of the corpus, 0 where there is none.
     """
-    o = grade_rows.select(F.col("key").alias("other_key"), F.col("grade_class").alias("other_class"))
-    c = similar.join(o, "other_key").groupBy("key").agg(F.collect_set("other_class").alias("classes"))
-    own = grade_rows.filter(F.col("grade_class").isin("weak", "fabricated")).join(c, "key")
+    words = R.record_words(grade_rows, script)
+    rows = cut_lineage(SI.word_sets(words).join(grade_rows.select("key", "grade_class"), "key"))
+    fit = words.filter(F.size("words").between(shortest, longest)).select("key")
+    rejects = F.col("grade_class").isin("weak", "fabricated")
+    own = rows.filter(rejects).join(fit, "key", "left_semi").select("key", "grade_class", "sid")
+    sets = rows.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("ws").alias("ws"), F.collect_set("grade_class").alias("classes"), F.count("*").alias("members"))
+    sets = cut_lineage(sets.join(own.select("sid").distinct().withColumn("wanted", F.lit(True)), "sid", "left").fillna(False, ["wanted"]))
+    near = SI.similar_sets(sets, *similar).select("sid", "other").unionByName(sets.filter("wanted").select("sid", F.col("sid").alias("other")))
+    around = near.join(sets.select(F.col("sid").alias("other"), "classes", "members"), "other").groupBy("sid").agg(
+        F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes"), F.sum("members").alias("copies")
+    )
     rejecting = F.forall("classes", lambda x: x.isin("weak", "fabricated", "unknown"))
     consistent = ~((F.col("grade_class") == "weak") & F.array_contains("classes", "fabricated"))
-    known = corpus_best.filter(F.col("similarity") >= 0.6).select("key")
-    return own.filter(rejecting & consistent).join(known, "key", "left_anti").select("key", "grade_class")
+    left = cut_lineage(own.join(around, "sid").filter(rejecting & consistent).select("key", "grade_class", "copies"))
+    asked = grade_rows.join(left.select("key"), "key", "left_semi").select(F.col("key").alias("claim_id"), F.col("text").alias("quote"))
+    cw, held = R.claim_words(asked, script), R.record_words(corpus, script)
+    best = R.align(R.bm25(R.query_claims(asked, script), held), cw, held).groupBy("claim_id").agg(F.max("similarity").alias("best"))
+    scored = left.join(best.withColumnRenamed("claim_id", "key"), "key", "left").fillna(0.0, ["best"])
+    return scored.filter(F.col("best") < known)
 
 
 def compose_documents(leads: DataFrame, supporting: DataFrame, opener: str, bridge: str, closer: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import retrieve as RT
 from ..streaming import streams as ST
 from .common import *  # noqa: F403
 from .common import Registry
-from .scan_queries import RETRIEVAL, SEEDS, _FUZZY, canon, span_sql
+from .scan_queries import BM, RETRIEVAL, SEEDS, STATS, TERMS, _FUZZY, canon, span_sql
 from .text_queries import LATIN_STOP, STOP_SQL
 
 R = Registry()
@@ -293,12 +293,25 @@ def _(spark, sf):
     return GN.alternate_rows(g)
 
 
-@R("gen_7_rejected_everywhere", f"WITH {GRADED}, s AS (SELECT a.key, list(DISTINCT b.grade_class) AS cl FROM graded a JOIN graded b ON b.key // 3 = a.key // 3 GROUP BY a.key) SELECT key, grade_class FROM graded JOIN s USING (key) WHERE grade_class IN ('weak', 'fabricated') AND NOT list_contains(cl, 'accepted') AND NOT list_contains(cl, 'mixed') AND NOT (grade_class = 'weak' AND list_contains(cl, 'fabricated')) AND key % 4 <> 0")
+_BEST = (
+    f"rec AS (SELECT item_id AS key, {words_sql('text')} AS w FROM benchmark), {STATS}, qs AS (SELECT key AS claim_id, w AS q FROM lf JOIN gw USING (key)), {TERMS}, {BM}, "
+    f"pairs AS (SELECT claim_id, key, q, w AS s FROM rk JOIN qs USING (claim_id) JOIN rec USING (key) WHERE lexical_rank < 40), {span_sql('pairs', 'claim_id,key')}"
+)
+
+
+@R(
+    "gen_7_rejected_everywhere",
+    f"""WITH {GRADED}, gw AS (SELECT key, grade_class, {words_sql('text')} AS w FROM graded), ws AS (SELECT key, grade_class, len(w) AS words, list_distinct(w) AS d FROM gw WHERE len(w) > 0),
+    tk AS (SELECT key, grade_class, words, len(d) AS n, unnest(d) AS t FROM ws), sh AS (SELECT a.key, b.key AS other, any_value(a.grade_class) AS own, any_value(b.grade_class) AS cl, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+      FROM tk a JOIN tk b USING (t) WHERE a.grade_class IN ('weak', 'fabricated') AND a.words >= 8 GROUP BY a.key, b.key), nr AS (SELECT * FROM sh WHERE 9 * c >= 4 * (n + m)),
+    lf AS (SELECT key, any_value(own) AS grade_class, count(*) AS copies FROM nr GROUP BY key HAVING bool_and(cl IN ('weak', 'fabricated', 'unknown')) AND NOT (any_value(own) = 'weak' AND bool_or(cl = 'fabricated'))),
+    {_BEST}, bs AS (SELECT claim_id AS key, max(round(score, 4)) AS best FROM sp GROUP BY claim_id)
+    SELECT key, grade_class, copies, coalesce(best, 0) AS best FROM lf LEFT JOIN bs USING (key) WHERE coalesce(best, 0) < 0.6""",
+)
 def _(spark, sf):
-    g = graded(spark, sf).select("key", "grade_class").withColumn("b", F.floor(F.col("key") / 3))
-    similar = g.select("key", "b").join(g.select("b", F.col("key").alias("other_key")), "b").select("key", "other_key", F.lit(1.0).alias("similarity"))
-    best = g.select("key", F.when(F.col("key") % 4 == 0, 0.9).otherwise(0.1).alias("similarity"))
-    return GN.rejected_everywhere(g.drop("b"), similar, best)
+    g = graded(spark, sf).select("key", "text", "grade_class")
+    corpus = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), "text")
+    return GN.rejected_everywhere(g, corpus, SCRIPT, longest=2**31 - 1)
 
 
 @R("gen_8_composite_documents", "WITH l AS (SELECT item_id + 1 AS n, item_id AS id, text FROM benchmark), s AS (SELECT page_id + 1 AS n, page_id AS id, url FROM pages), c AS (SELECT count(*) AS k FROM s) SELECT l.n AS doc_id, 'Opening.' || chr(10) || l.text || CASE WHEN s.id IS NULL THEN '' ELSE chr(10) || 'Then:' || chr(10) || s.url END || chr(10) || 'Closing.' AS text, CASE WHEN s.id IS NULL THEN 1 ELSE 2 END AS rows FROM l JOIN c ON TRUE LEFT JOIN s ON l.n % 2 = 0 AND s.n = (l.n // 2 - 1) % k + 1")
