@@ -62,7 +62,7 @@ def scan_records(docs: DataFrame, records: DataFrame, script: str, min_words: in
 def verify_canon(claims: DataFrame, canon: Canon) -> DataFrame:
     """Canon verdicts. ``claims`` needs claim_id, quote, explicit_attribution, transcribed."""
     cw = R.claim_words(claims, canon.script)
-    found = M.match_canon(cw.select("claim_id", "q"), canon.tokens, canon.positions, canon.idf, canon.small)
+    found = M.match_canon(cw.select("claim_id", "q"), canon.tokens, canon.positions, canon.small)
     counted = cw.select("claim_id", F.size("q").alias("quoted_words"))
     j = claims.join(counted, "claim_id").join(found, "claim_id", "left")
     has = F.col("kind").isNotNull()

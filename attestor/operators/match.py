@@ -6,13 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
-from ..session import maybe_broadcast
+from ..session import cut_lineage, maybe_broadcast
 from . import grams as G
-from . import retrieve as R
 
 MIN_EXACT = 3
-SEED_BUCKET, SEED_LIMIT, IDF_UNITS = 4, 40, 12
-BIGRAM_CAP, BIGRAM_RARE = 60, 10
+SEED_BUCKET, BIGRAM_RARE = 4, 10
+FIRST_WINDOWS = 4  # windows of a quotation, for each place asked for, that are aligned before the others are held against their scores
+STRETCH = 64  # neighbouring windows that are read together
 
 
 def exact_places(claims_w: DataFrame, tokens: DataFrame, small: bool) -> DataFrame:
@@ -61,57 +61,79 @@ def other_places(places: DataFrame, tokens: DataFrame, limit: int = 8) -> DataFr
     )
 
 
-def seed_buckets(claims_w: DataFrame, tokens: DataFrame, positions: DataFrame | None, idf: DataFrame | None, small: bool) -> DataFrame:
-    """(claim_id, n, bucket, votes): the forty best-voted windows of each quotation.
+def seed_windows(claims_w: DataFrame, tokens: DataFrame, positions: DataFrame, small: bool) -> DataFrame:
+    """(claim_id, bucket, votes, seed_rank): every window of the canon with something of the quotation, best-voted first.
 
-    Shared word pairs vote for the place the quotation would begin (frequent pairs are skipped, rare ones count
-    twice); the twelve units with the largest summed idf of shared words get one vote each.
+    Shared word pairs vote for the place the quotation would begin, pairs of few places twice; a unit that shares a word
+    votes for its own beginning. All places count: the order decides what is read first, never what is found.
     """
     stream2 = G.hashed(G.stream_grams(tokens, 2)).select(F.col("pos").alias("p"), "h", "h2")
-    counted = G.capped(stream2, ["h", "h2"], BIGRAM_CAP)
+    counted = stream2.join(stream2.groupBy("h", "h2").agg(F.count("*").alias("cnt")), ["h", "h2"])
     grams = G.explode_grams(claims_w.select("claim_id", F.col("q").alias("words")), 2, "claim_id")
-    hits = grams.join(maybe_broadcast(counted, small), ["h", "h2"]).select(
+    pairs = grams.join(maybe_broadcast(counted, small), ["h", "h2"]).select(
         "claim_id", F.floor((F.col("p") - F.col("i")) / SEED_BUCKET).alias("bucket"), F.when(F.col("cnt") < BIGRAM_RARE, 2).otherwise(1).alias("vote")
     )
-    if positions is not None and idf is not None:
-        where = positions.select(F.col("pos0").alias("key"), F.explode(F.array_distinct("words")).alias("term"))
-        asked = claims_w.select("claim_id", F.explode(F.array_distinct("q")).alias("term")).join(idf.withColumnRenamed("word", "term"), "term")
-        best = R.top_k(R.idf_scores(asked, where, IDF_UNITS), IDF_UNITS)
-        hits = hits.unionByName(best.select("claim_id", F.floor(F.col("key") / SEED_BUCKET).alias("bucket"), F.lit(1).alias("vote")))
-    votes = hits.groupBy("claim_id", "bucket").agg(F.sum("vote").alias("votes"))
-    w = W.partitionBy("claim_id").orderBy(F.desc("votes"), "bucket")
-    return votes.withColumn("seed_rank", F.row_number().over(w)).filter(F.col("seed_rank") <= SEED_LIMIT)
+    where = positions.select("pos0", F.explode(F.array_distinct("words")).alias("term"))
+    asked = claims_w.select("claim_id", F.explode(F.array_distinct("q")).alias("term"))
+    units = asked.join(maybe_broadcast(where, small), "term").select("claim_id", "pos0").distinct()
+    votes = pairs.unionByName(units.select("claim_id", F.floor(F.col("pos0") / SEED_BUCKET).alias("bucket"), F.lit(1).alias("vote"))).groupBy("claim_id", "bucket").agg(F.sum("vote").alias("votes"))
+    return votes.withColumn("seed_rank", F.row_number().over(W.partitionBy("claim_id").orderBy(F.desc("votes"), "bucket")))
 
 
-def fuzzy_spans(claims_w: DataFrame, tokens: DataFrame, positions: DataFrame | None, idf: DataFrame | None, small: bool) -> DataFrame:
-    """(claim_id, p, n_words, score, seed_rank): the best-aligned span of every seeded window.
+def _aligned(windows: DataFrame, claims_w: DataFrame, tokens: DataFrame, small: bool) -> DataFrame:
+    """(claim_id, seed_rank, p, n_words, score) of windows (claim_id, bucket, seed_rank, floor): their best-aligned spans.
 
-    Window texts are gathered block by block from the token stream: a window reads the one or two blocks it lies in.
+    The windows of a stretch of the canon are read together, so a stretch is sent once for a quotation however many of
+    its windows are asked for. Windows that cannot reach the floor are left out.
     """
-    seeds = seed_buckets(claims_w, tokens, positions, idf, small).join(claims_w, "claim_id")
     n = F.size("q")
     slack = F.greatest(F.lit(4), F.floor(n / 3))
-    anchor = F.col("bucket") * SEED_BUCKET
-    windows = seeds.select("claim_id", "q", "seed_rank", "votes", F.greatest(F.lit(0), anchor - slack).alias("lo"), (anchor + n + slack + 4).alias("hi"))
-    blocks = tokens.groupBy(F.floor(F.col("pos") / G.BLOCK).alias("blk")).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("tw"))
-    pieces = windows.withColumn("blk", F.explode(F.sequence(F.floor(F.col("lo") / G.BLOCK), F.floor((F.greatest(F.col("hi"), F.col("lo") + 1) - 1) / G.BLOCK))))
-    lo = F.greatest(F.col("lo") - F.col("blk") * G.BLOCK, F.lit(0))
-    hi = F.least(F.col("hi") - F.col("blk") * G.BLOCK, F.lit(G.BLOCK))
-    part = F.slice("tw", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
-    cut = pieces.join(maybe_broadcast(blocks, small), "blk").select("claim_id", "q", "seed_rank", "votes", "lo", "blk", F.transform(part, lambda x: x["word"]).alias("w"))
-    texts = cut.groupBy("claim_id", "seed_rank", "votes", "lo").agg(F.any_value("q").alias("q"), F.array_sort(F.collect_list(F.struct("blk", "w"))).alias("parts"))
-    texts = texts.withColumn("s", F.flatten(F.transform("parts", lambda x: x["w"])))
-    found = A.with_best_span(texts, "q", "s")
-    return found.select(
-        "claim_id", (F.col("lo") + F.col("span.start")).alias("p"), (F.col("span.end") - F.col("span.start")).alias("n_words"), F.col("span.score").alias("score"), "seed_rank"
+    asked = windows.groupBy("claim_id", "floor", F.floor(F.col("bucket") / STRETCH).alias("stretch")).agg(F.collect_list(F.struct("bucket", "seed_rank")).alias("windows")).join(claims_w, "claim_id")
+    at = asked.withColumn("slack", slack.cast("long")).withColumns(
+        {"lo": F.greatest(F.lit(0), F.col("stretch") * STRETCH * SEED_BUCKET - F.col("slack")), "hi": (F.col("stretch") + 1) * STRETCH * SEED_BUCKET + n + F.col("slack")}
     )
+    size = STRETCH * SEED_BUCKET
+    blocks = tokens.groupBy(F.floor(F.col("pos") / size).alias("blk")).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("tw")).select("blk", F.transform("tw", lambda x: x["word"]).alias("w"))
+    pieces = at.filter("hi > lo").withColumn("blk", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
+    texts = pieces.join(maybe_broadcast(blocks, small), "blk").groupBy("claim_id", "stretch").agg(
+        F.any_value("q").alias("q"), F.any_value("floor").alias("floor"), F.any_value("slack").alias("slack"), F.any_value("windows").alias("windows"), F.array_sort(F.collect_list(F.struct("blk", "w"))).alias("parts")
+    )
+    rows = texts.select("claim_id", "q", "floor", "slack", "windows", (F.col("parts")[0]["blk"] * size).alias("base"), F.flatten(F.transform("parts", lambda x: x["w"])).alias("s"))
+    found = A.evenly(rows).select("claim_id", F.explode(A.spans_of_windows("q", "s", "base", "slack", "windows", "floor")).alias("x"))
+    return found.select("claim_id", "x.seed_rank", "x.p", "x.n_words", "x.score")
+
 
+def fuzzy_spans(claims_w: DataFrame, tokens: DataFrame, positions: DataFrame, small: bool, places: int = 1) -> DataFrame:
+    """(claim_id, p, n_words, score, seed_rank): spans at least as good as the ``places``-th best place (unit) of their quotation.
 
-def match_canon(claims_w: DataFrame, tokens: DataFrame, positions: DataFrame, idf: DataFrame, small: bool) -> DataFrame:
+    Two rounds. The best-voted windows are aligned first; the score of their ``places``-th best unit is the floor of the rest. A pass
+    over the letters bounds what a window can reach, and only windows that may come up to the floor are aligned. So
+    the result is that of aligning every window.
+    """
+    seeds = cut_lineage(seed_windows(claims_w, tokens, positions, small))
+    none = F.lit(None).cast("double").alias("floor")
+    n_first = FIRST_WINDOWS * places
+    first = cut_lineage(_aligned(seeds.filter(F.col("seed_rank") <= n_first).select("claim_id", "bucket", "seed_rank", none), claims_w, tokens, small))
+    kth = _kth_place(first, tokens, places)
+    rest = seeds.filter(F.col("seed_rank") > n_first).join(kth, "claim_id", "left").select("claim_id", "bucket", "seed_rank", F.col("kth").alias("floor"))
+    spans = cut_lineage(first.unionByName(_aligned(rest, claims_w, tokens, small)))
+    good = spans.join(_kth_place(spans, tokens, places), "claim_id", "left").filter(F.col("kth").isNull() | (F.round("score", 9) >= F.col("kth")))
+    return good.select("claim_id", "p", "n_words", "score", "seed_rank")
+
+
+def _kth_place(spans: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
+    """(claim_id, kth): the score of the k-th best unit in which a span begins; no row where there are fewer."""
+    at = spans.join(tokens.select(F.col("pos").alias("p"), "group_no", "unit_no"), "p")
+    best = at.groupBy("claim_id", "group_no", "unit_no").agg(F.max(F.round("score", 9)).alias("kth"))
+    w = W.partitionBy("claim_id").orderBy(F.desc("kth"), "group_no", "unit_no")
+    return best.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == k).select("claim_id", "kth")
+
+
+def match_canon(claims_w: DataFrame, tokens: DataFrame, positions: DataFrame, small: bool) -> DataFrame:
     """Best place of each quotation: (claim_id, kind, similarity, p, n_words). Exact first; the rest goes to the windows."""
-    exact = first_exact(exact_places(claims_w, tokens, small)).unionByName(exact_units(claims_w, positions).select("claim_id", "n_words", "p"))
-    open_claims = claims_w.filter(F.size("q") >= MIN_EXACT).join(exact, "claim_id", "left_anti")
-    spans = fuzzy_spans(open_claims, tokens, positions, idf, small)
+    exact = cut_lineage(first_exact(exact_places(claims_w, tokens, small)).unionByName(exact_units(claims_w, positions).select("claim_id", "n_words", "p")))
+    open_claims = cut_lineage(claims_w.filter(F.size("q") >= MIN_EXACT).join(exact, "claim_id", "left_anti"))
+    spans = fuzzy_spans(open_claims, tokens, positions, small)
     w = W.partitionBy("claim_id").orderBy(F.desc(F.round("score", 9)), "seed_rank")
     best = spans.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
     fuzzy = best.select(

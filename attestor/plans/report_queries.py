@@ -323,14 +323,14 @@ def _(spark, sf):
 
 @R(
     "gen_9_chance_level",
-    f"""WITH {CANON}, {IDF}, {_MIX.replace('uw AS', 'ux AS').replace('FROM uw', 'FROM ux')}, mx AS (SELECT keys, list(t ORDER BY r) AS w FROM gr JOIN g2 USING (rng, grp) WHERE c = 4 AND r <= 18 GROUP BY keys), qc AS (SELECT keys || '#' || n AS claim_id, w[1:n] AS q FROM mx, (SELECT unnest([6, 10, 18]) AS n)), {SEEDS}, {_FUZZY}, {span_sql('wp', 'claim_id,seed_rank')},
+    f"""WITH {CANON}, {_MIX.replace('uw AS', 'ux AS').replace('FROM uw', 'FROM ux')}, mx AS (SELECT keys, list(t ORDER BY r) AS w FROM gr JOIN g2 USING (rng, grp) WHERE c = 4 AND r <= 18 GROUP BY keys), qc AS (SELECT keys || '#' || n AS claim_id, w[1:n] AS q FROM mx, (SELECT unnest([6, 10, 18]) AS n)), {SEEDS}, {_FUZZY}, {span_sql('wp', 'claim_id,seed_rank')},
     b AS (SELECT claim_id, max(score) AS s FROM sp GROUP BY claim_id) SELECT CAST(len(q) AS INT) AS words, count(*) AS n, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.99), 6) AS p99, round(max(s), 6) AS max FROM b JOIN qc USING (claim_id) GROUP BY len(q)""",
 )
 def _(spark, sf):
     c = canon(spark, sf)
     m = GN.mix_four(unit_words(spark, sf), 18).withColumn("n", F.explode(F.array(F.lit(6), F.lit(10), F.lit(18))))
     q = m.select(F.concat_ws("#", F.array_join("keys", ","), "n").alias("claim_id"), F.slice("words", F.lit(1), F.col("n")).alias("q"))
-    f = M.fuzzy_spans(q, c.tokens, c.positions, c.idf, c.small).groupBy("claim_id").agg(F.max("score").alias("similarity"))
+    f = M.fuzzy_spans(q, c.tokens, c.positions, c.small).groupBy("claim_id").agg(F.max("score").alias("similarity"))
     r = GN.chance_level(f.select(F.split_part("claim_id", F.lit("#"), F.lit(2)).cast("int").alias("words"), "similarity"))
     return r.select("words", "n", *[F.round(x, 6).alias(x) for x in ("median", "p99", "max")])
 

@@ -257,20 +257,19 @@ def altered_claims(spark, sf):
 ALTERED = f"qc AS (SELECT CAST(item_id AS VARCHAR) AS claim_id, list_filter({words_sql('text')}, lambda x, i: i % 7 <> 0) AS q FROM benchmark)"
 SEEDS = (
     "qb AS (SELECT claim_id, unnest(q) AS word, generate_subscripts(q, 1) - 1 AS i FROM qc), q2 AS (SELECT claim_id, i, word || ' ' || lead(word) OVER (PARTITION BY claim_id ORDER BY i) AS g FROM qb), "
-    "c2 AS (SELECT pos, word || ' ' || lead(word) OVER (ORDER BY pos) AS g FROM ct), n2 AS (SELECT g, count(*) AS cnt FROM c2 WHERE g IS NOT NULL GROUP BY g HAVING count(*) <= 60), "
+    "c2 AS (SELECT pos, word || ' ' || lead(word) OVER (ORDER BY pos) AS g FROM ct), n2 AS (SELECT g, count(*) AS cnt FROM c2 WHERE g IS NOT NULL GROUP BY g), "
     "h2 AS (SELECT claim_id, CAST(floor((pos - i) / 4) AS BIGINT) AS bucket, CASE WHEN cnt < 10 THEN 2 ELSE 1 END AS vote FROM q2 JOIN c2 USING (g) JOIN n2 USING (g)), "
     "up AS (SELECT group_no, unit_no, min(pos) AS pos0 FROM ct GROUP BY ALL), uw AS (SELECT DISTINCT pos0, word FROM ct JOIN up USING (group_no, unit_no)), "
-    "us AS (SELECT claim_id, pos0, sum(idf) AS score FROM (SELECT DISTINCT claim_id, word FROM qb) JOIN uw USING (word) JOIN idf USING (word) GROUP BY ALL), "
-    "u12 AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 9) DESC, pos0) AS rn FROM us), "
-    "vt AS (SELECT claim_id, bucket, sum(vote) AS votes FROM (SELECT * FROM h2 UNION ALL SELECT claim_id, CAST(floor(pos0 / 4) AS BIGINT), 1 FROM u12 WHERE rn <= 12) GROUP BY ALL), "
-    "sb AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY votes DESC, bucket) AS seed_rank FROM vt QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY votes DESC, bucket) <= 40)"
+    "us AS (SELECT DISTINCT claim_id, pos0 FROM (SELECT DISTINCT claim_id, word FROM qb) JOIN uw USING (word)), "
+    "vt AS (SELECT claim_id, bucket, sum(vote) AS votes FROM (SELECT * FROM h2 UNION ALL SELECT claim_id, CAST(floor(pos0 / 4) AS BIGINT), 1 FROM us) GROUP BY ALL), "
+    "sb AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY votes DESC, bucket) AS seed_rank FROM vt)"
 )
 
 
-@R("joi_5_seed_windows", f"WITH {CANON}, {IDF}, {ALTERED}, {SEEDS} SELECT claim_id, bucket, CAST(votes AS BIGINT) AS votes, CAST(seed_rank AS INT) AS seed_rank FROM sb")
+@R("joi_5_seed_windows", f"WITH {CANON}, {ALTERED}, {SEEDS} SELECT claim_id, bucket, CAST(votes AS BIGINT) AS votes, CAST(seed_rank AS INT) AS seed_rank FROM sb")
 def _(spark, sf):
     c = canon(spark, sf)
-    return M.seed_buckets(altered_claims(spark, sf), c.tokens, c.positions, c.idf, c.small)
+    return M.seed_windows(altered_claims(spark, sf), c.tokens, c.positions, c.small)
 
 
 def span_sql(pairs: str, keys: str) -> str:
@@ -298,33 +297,35 @@ _FUZZY = (
 
 @R(
     "joi_5_fuzzy_windows",
-    f"""WITH {CANON}, {IDF}, {ALTERED}, {SEEDS}, {_FUZZY}, {span_sql('wp', 'claim_id,seed_rank')} SELECT claim_id, CAST(seed_rank AS INT) AS seed_rank, lo + a AS p, CAST(b - a AS INT) AS n_words, round(score, 6) AS score FROM sp JOIN wn USING (claim_id, seed_rank)""",
+    f"""WITH {CANON}, {ALTERED}, {SEEDS}, {_FUZZY}, {span_sql('wp', 'claim_id,seed_rank')}, r AS (SELECT claim_id, seed_rank, lo + a AS p, b - a AS n_words, score FROM sp JOIN wn USING (claim_id, seed_rank)),
+    un AS (SELECT claim_id, max(round(score, 9)) AS s FROM r JOIN ct ON ct.pos = r.p GROUP BY claim_id, group_no, unit_no), kt AS (SELECT claim_id, s FROM un QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY s DESC) = 5)
+    SELECT claim_id, CAST(seed_rank AS INT) AS seed_rank, p, CAST(n_words AS INT) AS n_words, round(score, 6) AS score FROM r LEFT JOIN kt USING (claim_id) WHERE s IS NULL OR round(score, 9) >= s""",
 )
 def _(spark, sf):
     c = canon(spark, sf)
-    f = M.fuzzy_spans(altered_claims(spark, sf), c.tokens, c.positions, c.idf, c.small)
+    f = M.fuzzy_spans(altered_claims(spark, sf), c.tokens, c.positions, c.small, 5)
     return f.select("claim_id", "seed_rank", "p", "n_words", F.round("score", 6).alias("score"))
 
 
 @R(
     "rul_16_canon_match",
-    f"""WITH {CANON}, {IDF}, {ALTERED}, {SEEDS}, {_FUZZY}, {span_sql('wp', 'claim_id,seed_rank')}, r AS (SELECT claim_id, seed_rank, lo + a AS p, b - a AS n_words, score FROM sp JOIN wn USING (claim_id, seed_rank) QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 9) DESC, seed_rank) = 1)
+    f"""WITH {CANON}, {ALTERED}, {SEEDS}, {_FUZZY}, {span_sql('wp', 'claim_id,seed_rank')}, r AS (SELECT claim_id, seed_rank, lo + a AS p, b - a AS n_words, score FROM sp JOIN wn USING (claim_id, seed_rank) QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 9) DESC, seed_rank) = 1)
     SELECT claim_id, CASE WHEN score >= 0.999 THEN 'exact' ELSE 'fuzzy' END AS kind, round(score, 4) AS similarity, p, CAST(n_words AS INT) AS n_words FROM r""",
 )
 def _(spark, sf):
     c = canon(spark, sf)
-    return M.match_canon(altered_claims(spark, sf), c.tokens, c.positions, c.idf, c.small)
+    return M.match_canon(altered_claims(spark, sf), c.tokens, c.positions, c.small)
 
 
 @R(
     "win_5_best_per_place",
-    f"""WITH {CANON}, {IDF}, {ALTERED}, {SEEDS}, {_FUZZY}, {span_sql('wp', 'claim_id,seed_rank')}, r AS (SELECT claim_id, lo + a AS p, round(score, 4) AS similarity FROM sp JOIN wn USING (claim_id, seed_rank)),
+    f"""WITH {CANON}, {ALTERED}, {SEEDS}, {_FUZZY}, {span_sql('wp', 'claim_id,seed_rank')}, r AS (SELECT claim_id, lo + a AS p, round(score, 4) AS similarity FROM sp JOIN wn USING (claim_id, seed_rank)),
     u AS (SELECT claim_id, p, similarity, group_no, unit_no AS unit_start FROM r JOIN ct ON ct.pos = r.p), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY claim_id, group_no, unit_start ORDER BY similarity DESC, p) = 1)
     SELECT claim_id, group_no, unit_start, similarity, CAST(row_number() OVER z AS INT) AS rank FROM b WINDOW z AS (PARTITION BY claim_id ORDER BY similarity DESC, group_no, unit_start) QUALIFY row_number() OVER z <= 5""",
 )
 def _(spark, sf):
     c = canon(spark, sf)
-    f = M.fuzzy_spans(altered_claims(spark, sf), c.tokens, c.positions, c.idf, c.small)
+    f = M.fuzzy_spans(altered_claims(spark, sf), c.tokens, c.positions, c.small, 5)
     at = f.join(c.tokens.select(F.col("pos").alias("p"), "group_no", F.col("unit_no").alias("unit_start")), "p").withColumn("similarity", F.round("score", 4))
     return RT.best_per_place(at).select("claim_id", "group_no", "unit_start", "similarity", "rank")
 

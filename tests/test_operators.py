@@ -108,7 +108,7 @@ def test_exact_fuzzy_and_missing_quotes(spark):
         [("exact", "eta theta iota kappa"), ("over", "epsilon zeta eta theta"), ("one_changed", "xi omicron pi changed sigma tau upsilon phi chi"), ("two_words", "alpha beta"), ("none", "quick brown foxes jump")],
         "claim_id string, quote string",
     )
-    got = {r.claim_id: r for r in M.match_canon(R.claim_words(q, "latin").select("claim_id", "q"), c.tokens, c.positions, c.idf, c.small).collect()}
+    got = {r.claim_id: r for r in M.match_canon(R.claim_words(q, "latin").select("claim_id", "q"), c.tokens, c.positions, c.small).collect()}
     assert got["exact"].kind == "exact" and got["over"].kind == "exact" and got["one_changed"].kind == "fuzzy"
     assert got["one_changed"].similarity >= 0.8 and "two_words" not in got and "none" not in got
     over = S.covered_units(q.filter("claim_id = 'over'").select("claim_id", F.lit(got["over"].p).alias("p"), F.lit(4).alias("n_words")), c.units, c.positions).first()
