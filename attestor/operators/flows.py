@@ -194,7 +194,7 @@ def verify_statement(statements: DataFrame, graded: DataFrame, script: str, reci
 
     ``statements``: (claim_id, doc_id, quote, level, type, explicit_text); ``recited``: (doc_id, source_id, text).
     """
-    hits = R.bm25(R.query_claims(statements, script), R.record_words(graded, script), 5).join(graded.filter(F.col("grade").isNotNull()).select("key"), "key")
+    hits = R.bm25(R.query_claims(statements, script), R.record_words(graded, script), 5, only=graded.filter(F.col("grade").isNotNull()))
     listed = hits.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("lexical_rank", "key"))).alias("c")).select("claim_id", F.transform("c", lambda x: x["key"]).alias("candidates"))
     j = G.once(statements, "by_meaning", T.attributes_to_canon(F.col("quote")) & (F.col("level") != "D")).join(listed, "claim_id", "left")
     if recited is not None:

@@ -20,8 +20,10 @@ COMMON_TERM = 100_000  # records per term above which a term is scored on candid
 # --------------------------------------------------------------------------- BM25
 
 
-def bm25(queries: DataFrame, records: DataFrame, k: int = 40, common: int = COMMON_TERM) -> DataFrame:
-    """(claim_id, key, score, lexical_rank): the ``k`` best records of each query.
+def bm25(queries: DataFrame, records: DataFrame, k: int | None = 40, common: int = COMMON_TERM, only: DataFrame | None = None) -> DataFrame:
+    """(claim_id, key, score, lexical_rank): the ``k`` best records of each query, or with ``k`` None all that share a term.
+
+    ``only`` (key) holds the records that may be found: they alone are scored and ranked, with the statistics of all.
 
     ``queries``: (claim_id, terms); ``records``: (key, words). Only postings of asked terms are shuffled. A term
     found in very many records adds little to a score, so such terms are scored on the records that the rarer
@@ -37,6 +39,10 @@ def bm25(queries: DataFrame, records: DataFrame, k: int = 40, common: int = COMM
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     weighed = asked.join(idf, "term")
     impact = post.select("term", "key", saturated.alias("tfn"))
+    if only is not None:
+        impact = impact.join(only.select("key"), "key", "left_semi")
+    if k is None:
+        return top_k(_score(weighed, impact), None)
     if df.filter(F.col("df") > common).isEmpty():
         scores = _score(weighed, impact)
     else:
@@ -73,9 +79,10 @@ def idf_scores(weighed: DataFrame, where: DataFrame, k: int, common: int = COMMO
     return _score_with_common(weighed, where.select("term", "key", F.lit(1.0).alias("tfn")), k, common)
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
+def top_k(scores: DataFrame, k: int | None) -> DataFrame:
     w = W.partitionBy("claim_id").orderBy(F.desc(F.round("score", 9)), "key")
-    return scores.withColumn("lexical_rank", F.row_number().over(w) - 1).filter(F.col("lexical_rank") < k)
+    ranked = scores.withColumn("lexical_rank", F.row_number().over(w) - 1)
+    return ranked if k is None else ranked.filter(F.col("lexical_rank") < k)
 
 
 def query_claims(claims: DataFrame, script: str, limit: int | None = None) -> DataFrame:
@@ -102,10 +109,15 @@ def claim_words(claims: DataFrame, script: str) -> DataFrame:
 # --------------------------------------------------------------------------- candidates
 
 
-def align(cands: DataFrame, claims_w: DataFrame, records_w: DataFrame, with_diff: bool = False) -> DataFrame:
-    """Adds similarity, span, matched words and coverage to (claim_id, key, ...) candidates."""
+def align(cands: DataFrame, claims_w: DataFrame, records_w: DataFrame, with_diff: bool = False, least: str | None = None) -> DataFrame:
+    """Adds similarity, span, matched words and coverage to (claim_id, key, ...) candidates.
+
+    ``least``: column with the similarity below which a candidate may be left out before it is aligned.
+    """
     joined = cands.join(records_w, "key").join(claims_w, "claim_id")
-    spanned = A.with_best_span(joined, "q", "words")
+    if least is not None:
+        joined = joined.withColumn("floor", F.col(least) - 1e-4)  # similarities are rounded to four places
+    spanned = A.with_best_span(joined, "q", "words", floor=None if least is None else "floor").drop("floor")
     a, n = F.col("span.start"), F.col("span.end") - F.col("span.start")
     out = spanned.withColumns(
         {
@@ -226,20 +238,28 @@ def with_shared_vocabulary(pairs: DataFrame, script: str, claim_col: str = "quot
     return v.withColumn("shared", F.col("v.shared")).withColumn("ratio", F.col("v.ratio")).drop("cs", "ss", "v")
 
 
-def topical_alternatives(claims: DataFrame, graded: DataFrame, script: str, pool: int = 14, keep: int = 6) -> DataFrame:
-    """Accepted records on the same subject for claims without support.
+def topical_alternatives(claims: DataFrame, graded: DataFrame, script: str, keep: int = 6) -> DataFrame:
+    """Accepted records on the same subject for claims without support: the ``keep`` best-ranked that share enough stems.
+
+    What may be listed is decided before the ranking: grade and address by the record, stems by an equi-join, so the
+    texts are not compared and no pool stands between a claim and an admissible record.
 
     ``claims``: (claim_id, quote, state, rule_id, level, source_url); ``graded``: (key, text, grade_class, url).
     """
     open_claims = claims.filter(
         F.col("level").isin("A", "B") & (F.col("state").isin("contradicted", "not_found") | (F.col("rule_id") == "hadith.weak"))
     )
-    hits = bm25(query_claims(open_claims, script), record_words(graded, script), pool)
-    pairs = hits.join(graded, "key").join(open_claims.select("claim_id", "quote", "source_url"), "claim_id")
-    pairs = pairs.filter((F.col("grade_class") == "accepted") & F.col("url").isNotNull() & ~F.col("url").eqNullSafe(F.col("source_url")))
-    ok = with_shared_vocabulary(pairs, script).filter((F.col("shared") >= 2) & ((F.col("shared") >= 3) | (F.col("ratio") >= 0.3)))
+    admissible = graded.filter((F.col("grade_class") == "accepted") & F.col("url").isNotNull()).select("key", "text", "url")
+    asked = open_claims.select("claim_id", "source_url", X.stems(F.col("quote"), script).alias("stems"))
+    stems = asked.select("claim_id", F.size("stems").alias("n"), F.explode("stems").alias("stem"))
+    where = admissible.select("key", F.explode(X.stems(F.col("text"), script)).alias("stem"))
+    shared = stems.join(where, "stem").groupBy("claim_id", "key", "n").agg(F.count("*").cast("int").alias("shared")).withColumn("ratio", F.col("shared") / F.col("n"))
+    near = shared.filter((F.col("shared") >= 2) & ((F.col("shared") >= 3) | (F.col("ratio") >= 0.3))).select("claim_id", "key", "shared", "ratio")
+    hits = bm25(query_claims(open_claims, script), record_words(graded, script), None, only=admissible)
+    ok = hits.join(near, ["claim_id", "key"]).join(admissible.select("key", "url"), "key").join(asked.select("claim_id", "source_url"), "claim_id")
     w = W.partitionBy("claim_id").orderBy("lexical_rank")
-    return ok.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select("claim_id", "key", "url", "shared", "ratio", "place")
+    other = ok.filter(~F.col("url").eqNullSafe(F.col("source_url"))).withColumn("place", F.row_number().over(w))
+    return other.filter(F.col("place") <= keep).select("claim_id", "key", "url", "shared", "ratio", "place")
 
 
 # --------------------------------------------------------------------------- grades and library
@@ -248,15 +268,19 @@ def topical_alternatives(claims: DataFrame, graded: DataFrame, script: str, pool
 def grades_for(claims: DataFrame, grade_rows: DataFrame, script: str, source_heads: DataFrame | None = None, keep: int = 6, t: Thresholds = DEFAULT) -> DataFrame:
     """Grade rows aligned with each claim: same narrator as the source's head where any is, deduplicated, first six.
 
+    Every graded row that shares a term is a candidate; a pass over its letters spares the alignment of those too far away.
+
     ``claims``: (claim_id, quote); ``grade_rows``: (key, text, narrator, scholar, book, grade, url);
     ``source_heads``: (claim_id, head) with the beginning of the chosen source in normal spelling.
     """
     cw = claim_words(claims, script)
     n = F.size("q")
     quoted = cw.select("claim_id", F.least(n, X.content_words(F.col("q")) + 1).alias("quoted_words"))
-    hits = bm25(query_claims(claims, script), record_words(grade_rows, script), 40)
-    near = align(hits, cw, record_words(grade_rows, script)).join(quoted, "claim_id").filter(F.col("similarity") >= t.required(F.col("quoted_words")))
-    rows = near.join(grade_rows.drop("text"), "key").filter(F.col("grade").isNotNull())
+    gw = record_words(grade_rows, script)
+    hits = bm25(query_claims(claims, script), gw, None, only=grade_rows.filter(F.col("grade").isNotNull()))
+    hits = hits.join(quoted.select("claim_id", t.required(F.col("quoted_words")).alias("required")), "claim_id")
+    near = align(hits, cw, gw, least="required").filter(F.col("similarity") >= F.col("required"))
+    rows = near.join(grade_rows.drop("text"), "key")
     if source_heads is not None:
         named = F.coalesce(F.col("head").contains(X.normalize(F.col("narrator"), script)) & (X.normalize(F.col("narrator"), script) != ""), F.lit(False))
         rows = rows.join(source_heads, "claim_id", "left").withColumn("same_chain", named)
@@ -272,15 +296,15 @@ def grades_for(claims: DataFrame, grade_rows: DataFrame, script: str, source_hea
     )
 
 
-def library_match(sayings: DataFrame, pages: DataFrame, script: str, pool: int = 40, t: Thresholds = DEFAULT) -> DataFrame:
+def library_match(sayings: DataFrame, pages: DataFrame, script: str, t: Thresholds = DEFAULT) -> DataFrame:
     """Page that holds a saying verbatim and what it says of its author: (claim_id, key, similarity, attribution).
 
     ``sayings``: (claim_id, quote, attributed_to); ``pages``: (key, author, text). Pages come from retrieval, so
     the comparison of pages with each other stays among one saying's candidates.
     """
     cw, pw = claim_words(sayings, script), record_words(pages, script)
-    hits = bm25(query_claims(sayings, script), pw, pool)
-    found = align(hits, cw, pw).filter(F.col("similarity") >= t.saying_verbatim)
+    hits = bm25(query_claims(sayings, script), pw, None).withColumn("required", F.lit(t.saying_verbatim))
+    found = align(hits, cw, pw, least="required").filter(F.col("similarity") >= F.col("required"))
     rows = found.join(pw, "key").join(pages.select("key", "author"), "key").join(sayings.select("claim_id", "attributed_to"), "claim_id")
     before = lambda k: F.array_join(F.slice("orig", F.greatest(F.lit(1), F.col("span_start") + 1 - k), F.least(F.lit(k), F.col("span_start"))), " ")
     named = F.coalesce(F.col("attributed_to"), F.lit(""))

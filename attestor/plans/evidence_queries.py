@@ -18,7 +18,7 @@ from ..operators import scan as S
 from .claim_queries import MARKERS, marked, MARKED
 from .common import *  # noqa: F403
 from .common import Registry
-from .scan_queries import ALTERED, CANON_SCAN, SEEDS, TITLES, _ALIGNED, _FUZZY, aligned, altered_claims, canon, span_sql, title_pages
+from .scan_queries import RETRIEVAL, ALTERED, CANON_SCAN, SEEDS, TITLES, _ALIGNED, _FUZZY, aligned, altered_claims, canon, span_sql, title_pages
 
 R = Registry()
 
@@ -246,11 +246,12 @@ NEAR = (
 
 @R(
     "joi_9_nearest_title",
-    f"WITH {TITLES}, tq AS (SELECT page_id AS q_id, stems[1:4] AS stems FROM (SELECT page_id, list_sort(stems) AS stems FROM tf)), {NEAR} SELECT q_id, page_id, round(coverage, 6) AS coverage, shared, round(rank, 6) AS rank FROM nb",
+    f"WITH {TITLES}, tq AS (SELECT page_id AS q_id, list_filter(stems, lambda x, i: i <> 1) AS stems FROM (SELECT page_id, list_sort(stems) AS stems FROM tf) WHERE len(stems) > 1), {NEAR} SELECT q_id, page_id, round(coverage, 6) AS coverage, shared, round(rank, 6) AS rank FROM nb",
 )
 def _(spark, sf):
     p = title_pages(spark, sf)
-    q = p.select(F.col("page_id").alias("q_id"), F.slice(F.array_sort("stems"), 1, 4).alias("stems"))
+    # every title asks with all its stems but the first in alphabetical order
+    q = p.filter(F.size("stems") > 1).select(F.col("page_id").alias("q_id"), F.slice(F.array_sort("stems"), F.lit(2), F.size("stems")).alias("stems"))
     return RT.nearest_title(q, p).select("q_id", "page_id", F.round("coverage", 6).alias("coverage"), F.col("shared").cast("bigint").alias("shared"), F.round("rank", 6).alias("rank"))
 
 
@@ -298,7 +299,12 @@ def _(spark, sf):
     return RT.grades_for(passage_claims(spark, sf), g, SCRIPT).select("claim_id", "key", "grade", "similarity", "place")
 
 
-@R("joi_23_topical_alternatives", None)
+@R(
+    "joi_23_topical_alternatives",
+    f"""WITH {RETRIEVAL}, cs AS (SELECT claim_id, {ST.format(tokens_sql('quote'))} AS s FROM qs), gs AS (SELECT key, {ST.format(tokens_sql('text'))} AS s FROM graded WHERE grade_class = 'accepted'),
+    p AS (SELECT claim_id, key, lexical_rank, len(list_intersect(cs.s, gs.s)) AS shared, len(cs.s) AS n FROM rk JOIN cs USING (claim_id) JOIN gs USING (key))
+    SELECT claim_id, key, CAST(shared AS INT) AS shared, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY lexical_rank) AS INT) AS place FROM p WHERE shared >= 2 AND (shared >= 3 OR shared / n >= 0.3) QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY lexical_rank) <= 6""",
+)
 def _(spark, sf):
     c = passage_claims(spark, sf).withColumns({"state": F.lit("not_found"), "rule_id": F.lit("hadith.none"), "level": F.lit("A"), "source_url": F.lit(None).cast("string")})
     return RT.topical_alternatives(c, graded(spark, sf), SCRIPT).select("claim_id", "key", "shared", "place")
@@ -331,24 +337,41 @@ def _(spark, sf):
 # --------------------------------------------------------------------------- comparison of wordings
 
 
-def diffs(spark, sf):
-    """Passages with each seventh word left out, compared with the passage."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id"), "text")
-    w = G.once(b, "w", X.aligned_words(F.col("text"), SCRIPT))
-    cut = lambda c: F.filter(c, lambda x, i: (i + 1) % 7 != 0)
-    return w.withColumn("diff", A.word_diff(cut(F.col("w.orig")), cut(F.col("w.norm")), "w.orig", "w.norm"))
+# Every fifth word of a passage is replaced, every seventh left out, and a word put in behind every eleventh.
+_CHANGED = "CASE WHEN i % 5 = 0 THEN ['zz' || i] WHEN i % 7 = 0 THEN [] ELSE [x] END || CASE WHEN i % 11 = 0 THEN ['yy' || i] ELSE [] END"
 
 
-@R("aln_3_word_diff", f"WITH w AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark) SELECT item_id, CAST(len(w) // 7 AS INT) AS inserted, array_to_string(list_filter(w, lambda x, i: i % 7 = 0), ' ') AS missing FROM w")
+@R(
+    "aln_3_word_diff",
+    f"""WITH w AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w)
+    SELECT item_id, count(*) FILTER (i % 5 <> 0 AND i % 7 <> 0) AS equal, string_agg(CASE WHEN i % 5 = 0 THEN 'zz' || i || CASE WHEN i % 11 = 0 THEN ' yy' || i ELSE '' END WHEN i % 11 = 0 THEN 'yy' || i END, ' ' ORDER BY i) AS changed,
+           string_agg(CASE WHEN i % 5 = 0 OR i % 7 = 0 THEN x END, ' ' ORDER BY x) AS missing, TRUE AS whole FROM u GROUP BY item_id""",
+)
 def _(spark, sf):
-    d = diffs(spark, sf)
-    ins = F.filter("diff", lambda x: x["op"] == "insert")
-    return d.select("item_id", F.size(ins).alias("inserted"), F.array_join(F.transform(ins, lambda x: X.normalize(x["source"], SCRIPT)), " ").alias("missing"))
+    b = G.once(table(spark, sf, "benchmark"), "w", X.words(F.col("text"), SCRIPT))
+    at = lambda name, i: F.array(F.concat(F.lit(name), (i + 1).cast("string")))
+    none = F.array().cast("array<string>")
+    changed = F.transform("w", lambda x, i: F.concat(F.when((i + 1) % 5 == 0, at("zz", i)).when((i + 1) % 7 == 0, none).otherwise(F.array(x)), F.when((i + 1) % 11 == 0, at("yy", i)).otherwise(none)))
+    d = G.once(b, "q", F.flatten(changed)).select("item_id", "q", "w", A.word_diff("q", "q", "w", "w").alias("diff"))
+    said = lambda side, op: F.array_join(F.filter(F.transform(F.filter("diff", op), lambda x: x[side]), lambda x: x != ""), " ")
+    every, other = (lambda x: F.lit(True)), (lambda x: x["op"] != "equal")
+    return d.select(
+        "item_id", F.size(F.split(said("source", lambda x: x["op"] == "equal"), " ")).cast("bigint").alias("equal"), said("quoted", other).alias("changed"), F.array_join(F.array_sort(F.split(said("source", other), " ")), " ").alias("missing"),
+        ((said("quoted", every) == F.array_join("q", " ")) & (said("source", every) == F.array_join("w", " "))).alias("whole"),
+    )
 
 
-@R("aln_4_same_wording", "SELECT item_id, FALSE AS same FROM benchmark")
+def respelled(spark, sf):
+    """Passages of even number with the last letter of long words changed, the others with each seventh word left out."""
+    b = G.once(table(spark, sf, "benchmark"), "w", X.words(F.col("text"), SCRIPT))
+    near = F.transform("w", lambda x: F.when(F.length(x) >= 5, F.concat(F.substr(x, F.lit(1), F.length(x) - 1), F.lit("q"))).otherwise(x))
+    q = F.when(F.col("item_id") % 2 == 0, near).otherwise(F.filter("w", lambda x, i: (i + 1) % 7 != 0))
+    return G.once(b, "q", q).withColumn("diff", A.word_diff("q", "q", "w", "w"))
+
+
+@R("aln_4_same_wording", "SELECT item_id, item_id % 2 = 0 AS same FROM benchmark")
 def _(spark, sf):
-    return diffs(spark, sf).select("item_id", A.same_wording(F.col("diff"), SCRIPT).alias("same"))
+    return respelled(spark, sf).select("item_id", A.same_wording(F.col("diff"), SCRIPT).alias("same"))
 
 
 PREFIXES = f"w AS (SELECT CAST(item_id AS VARCHAR) AS claim_id, {words_sql('text')} AS w FROM benchmark), p AS (SELECT claim_id, len(w) AS words, unnest([5, 7, 9, 12, 16, 20, 26, 34, 45]) AS n FROM w), t AS (SELECT claim_id, words, n, (n * 7 + words) % 100 / 100.0::DOUBLE AS sim FROM p WHERE n < words)"
@@ -375,12 +398,14 @@ def _(spark, sf):
     return prefix_tries(spark, sf).select("claim_id", A.longest_verbatim_prefix(F.col("n"), F.col("t")).alias("keep"))
 
 
-@R("aln_8_collation", f"WITH w AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark) SELECT CAST(item_id AS VARCHAR) AS claim_id, 4 AS span_start, CAST(len(w) AS INT) AS span_end, '' AS marks FROM w")
+@R(
+    "aln_8_collation",
+    f"""WITH w AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark WHERE item_id % 2 = 0), u AS (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS j FROM w)
+    SELECT CAST(item_id AS VARCHAR) AS claim_id, 0 AS span_start, CAST(count(*) AS INT) AS span_end, coalesce(string_agg(CASE WHEN length(x) >= 5 AND NOT x LIKE '%q' THEN CAST(j AS VARCHAR) END, ',' ORDER BY j), '') AS marks FROM u GROUP BY item_id""",
+)
 def _(spark, sf):
-    # the source is the passage; the quotation leaves out its first four words
-    b = G.once(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("claim_id"), "text"), "w", X.words(F.col("text"), SCRIPT))
-    none = F.lit(None).cast("array<struct<op:string,quoted:string,source:string>>")
-    v = b.select("claim_id", F.array_join(F.slice("w", F.lit(5), F.size("w")), " ").alias("quote"), none.alias("diff"), F.col("text").alias("source_text"))
+    r = respelled(spark, sf).filter(F.col("item_id") % 2 == 0)
+    v = r.select(F.col("item_id").cast("string").alias("claim_id"), F.array_join("q", " ").alias("quote"), "diff", F.col("text").alias("source_text"))
     return A.collate_verdicts(v, SCRIPT).select("claim_id", "collation.span_start", "collation.span_end", F.array_join("collation.marks", ",").alias("marks"))
 
 
