@@ -34,6 +34,7 @@ from ..session import BROADCAST_CHARS, BROADCAST_ROWS, cut_lineage, maybe_broadc
 
 BLOCK_DOCS = 16
 BUCKET_ROWS = 20_000
+PARTS, STEPS = 64, 100_000_000
 STRETCH = 64  # blocks of a source that look for their phase under one key
 
 
@@ -89,10 +90,16 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[in
         slot += length
 
 
-def root_weights(counts: dict[str, int], total: int = 1_000) -> dict[str, int]:
-    """Target weights in proportion to the square root of the sources' sizes."""
+def root_weights(counts: dict[str, int]) -> dict[str, int]:
+    """Target weights in proportion to the square root of the sources' sizes, in whole parts.
+
+    There are ``PARTS`` parts for a source on average, so a weight is off by at most half of one; a source whose root is
+    under a ``PARTS``-th of the mean gets one part, more than its share. Beyond a thousand sources or so the parts are fewer,
+    as the driver steps through a period for each source that ends (``STEPS`` in all).
+    """
     roots = {s: Fraction(n**0.5) for s, n in counts.items() if n}
-    whole = sum(roots.values())
+    whole, n = sum(roots.values()), max(1, len(roots))
+    total = max(1_000, min(PARTS * n, STEPS // n))
     return {s: max(1, round(total * r / whole)) for s, r in roots.items()}
 
 

@@ -7,6 +7,12 @@ number passes the Luhn check, a date is a date, an address is an address. The pe
 ``ROUNDS`` rounds under ``key``, so equal values have equal pseudonyms in all documents, different ones have
 different pseudonyms, and whoever has the key can undo it. Only an address may change its length, by its octets.
 
+Of card and phone numbers the digits alone are permuted and then laid into the spelling they had, so every
+spelling of a number leads to the same digits. A phone number keeps its country code, whether a space follows it or not,
+and its national digits are the same with and without the code. Social security numbers become such numbers (area 001 to 899
+but 666, group and serial not zero), taxpayer numbers (area from 900) taxpayer numbers; other digits of that form
+stay. The case of a mail address is part of its value. IBANs, IPv6 addresses and names are not looked for.
+
 Everything happens inside the row: no shuffle. Texts without a digit or an at sign are not looked at further.
 
 Card numbers are sought last, in the text that no other value has taken: of each run of digit groups with one space
@@ -36,6 +42,8 @@ DIGITS = r"(?<![A-Za-z0-9.\-])(?=\d(?:[ \-]?\d){12})\d++(?![A-Za-z0-9])(?:[ \-]\
 SSN = r"(?<![A-Za-z0-9.\-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9\-])"
 IPV4 = r"(?<![A-Za-z0-9.\-])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9])(?!\.\d)"
 DATE = r"(?<![A-Za-z0-9.\-/])(?:\d{4}-\d{2}-\d{2}(?=[Tt]\d{2})|\d{4}-\d{2}-\d{2}(?![A-Za-z0-9/])|(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![A-Za-z0-9/]))"
+# country codes of E.164: 1 and 7, these of two digits, else three
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 PATTERNS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "date": DATE, "ip": IPV4}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1900-01-01", 17, 4297  # 17 * 4297 days: to 2099-12-31
@@ -101,10 +109,35 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(digits)), one), F.lit(0), lambda a, x: a + x)
 
 
+def _laid(m: Column, digits: Column) -> Column:
+    """``m`` with its digits replaced one by one."""
+    return F.array_join(F.zip_with(F.split(m, "[0-9]", -1), F.regexp_extract_all(digits, F.lit("[0-9]"), F.lit(0)), lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), "")
+
+
 def _card(m: Column, key: str) -> Column:
     """All digits but the last permuted, the last one made right."""
-    body = permuted_text(F.substr(m, F.lit(1), F.length(m) - 1), key, "card")
-    return let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(F.regexp_replace(b, r"\D", ""), F.lit("0"))) % 10) % 10).cast("string")))
+    digits = F.regexp_replace(m, r"\D", "")
+    body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    return let(body, lambda b: _laid(m, F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))))
+
+
+def _phone(m: Column, key: str) -> Column:
+    digits = F.regexp_replace(m, r"\D", "")
+    code = F.when(m.startswith("+"), F.length(F.regexp_extract(F.concat(F.lit("+"), digits), COUNTRY, 0)) - 1).otherwise(0)
+    return let(F.struct(digits.alias("d"), code.alias("n")), lambda x: _laid(m, F.concat(F.substr(x["d"], F.lit(1), x["n"]), permuted_text(F.substr(x["d"], x["n"] + 1, F.length(x["d"])), key, "phone"))))
+
+
+def _social(m: Column, key: str) -> Column:
+    """The replacement of a social security or taxpayer number; null for other digits of that form."""
+    area, group, serial = (F.substr(m, F.lit(k), F.lit(n)).cast("long") for k, n in ((1, 3), (5, 2), (8, 4)))
+    # areas 1 to 899 without 666 are 0 to 897; 900 to 999 are a permutation of their own
+    place = area - F.when(area > 666, 2).otherwise(1)
+    written = lambda a, g, n: F.format_string("%03d-%02d-%04d", a.cast("long"), g.cast("long"), n.cast("long"))
+    usual = let(permuted_number((place * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn"), lambda x: let(
+        F.floor(x / (99 * 9999)), lambda a: written(a + F.when(a >= 665, 2).otherwise(1), F.floor(x / 9999) % 99 + 1, x % 9999 + 1)))
+    tax = let(permuted_number(((area - 900) * 99 + group - 1) * 9999 + serial - 1, 100 * 99, 9999, key, "itin"), lambda x: written(F.floor(x / (99 * 9999)) + 900, F.floor(x / 9999) % 99 + 1, x % 9999 + 1))
+    real = (area > 0) & (area != 666) & (group > 0) & (serial > 0)
+    return F.when(real, F.when(area < 900, usual).otherwise(tax))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -180,14 +213,12 @@ def pseudonym(m: Column, key: str) -> Column:
     whole = lambda p: m.rlike("^(?:" + p + ")$")
     top = F.length(m) - F.locate(".", F.reverse(m)) + 1  # place of the last dot
     email = F.concat(permuted_text(F.substr(m, F.lit(1), top - 1), key, "email"), F.substr(m, top, F.length(m)))
-    country = F.regexp_extract(m, r"^\+\d{1,3}[ .\-]", 0)
-    phone = F.concat(country, permuted_text(F.substr(m, F.length(country) + 1, F.length(m)), key, "phone"))
     octets = F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255)
     in_range = _day(m).between(F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit("2099-12-31")))
     return (
         F.when(m.contains("@"), email)
-        .when(whole(PHONE), F.when(F.length(digits).between(10, 15), phone))
-        .when(whole(SSN), permuted_text(m, key, "ssn"))
+        .when(whole(PHONE), F.when(F.length(digits).between(10, 15), _phone(m, key)))
+        .when(whole(SSN), _social(m, key))
         .when(whole(DATE), F.when(in_range, _date(m, key)).otherwise(_month_first(m, key)))
         .when(whole(IPV4), F.when(octets, _ip(m, key)))
     )

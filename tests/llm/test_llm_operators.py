@@ -469,3 +469,38 @@ def test_quality(spark):
 
 def test_entities_are_decoded_once():
     assert page_text.main_text("<article><p>&amp;lt; x</p></article>", page_text.START) == html.unescape("&amp;lt; x")
+
+
+def test_spellings_of_a_number_share_its_pseudonym(spark):
+    digits = lambda t: re.sub(r"\D", "", t)
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "41111111 1111-1111"]
+    phones = ["(319) 555-5132", "319-555-5132", "319.555.5132", "(319)555-5132"]
+    abroad = ["+1 319 555 5132", "+13195555132", "+1 (319) 555-5132", "+1-319-555-5132"]
+    other = ["+49 30 1234567", "+49301234567", "+353 1 234 5678", "+353 1234 5678"]
+    social = ["123-45-6789", "899-99-9999", "665-01-0001", "667-01-0001", "001-01-0001", "900-70-1234", "000-12-3456", "666-12-3456", "123-00-4567", "123-45-0000"]
+    texts = cards + phones + abroad + other + social
+    got = [r["text"] for r in pseudonyms.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "n long, text string").coalesce(1), "k").orderBy("n").collect()]
+    out = dict(zip(texts, got))
+    assert all(re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in out.items())
+    assert len({digits(out[c]) for c in cards}) == 1 and digits(out[cards[0]]) != digits(cards[0])
+    assert len({digits(out[p]) for p in phones}) == 1 and {digits(out[p]) for p in abroad} == {"1" + digits(out[phones[0]])}
+    assert digits(out[other[0]]) == digits(out[other[1]]) and out[other[0]].startswith("+49 ") and digits(out[other[2]]) == digits(out[other[3]]) and digits(out[other[2]]).startswith("353")
+    real = lambda t: "001" <= t[:3] <= "899" and t[:3] != "666" and t[4:6] != "00" and t[7:] != "0000"
+    assert all(real(out[t]) and out[t] != t for t in social[:5]) and "900" <= out[social[5]][:3] <= "999" and out[social[5]] != social[5]
+    assert [out[t] for t in social[6:]] == social[6:]
+    some = [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 665, 667, 899, 950) for g in (1, 50, 99) for s in (1, 77, 9999)]
+    new = [r[0] for r in pseudonyms.pseudonymised(spark.createDataFrame([(t,) for t in some], "text string"), "k").collect()]
+    assert len(set(new)) == len(some) and all(real(t) or "900" <= t[:3] <= "999" for t in new)
+
+
+def test_weights_follow_the_roots_for_any_number_of_sources():
+    for n in (2, 20, 200, 1_000):
+        counts = {f"s{k}": 60 * (k + 1) ** 2 for k in range(n)}  # roots 1 : 2 : 3 ...
+        w = mixing.root_weights(counts)
+        whole = sum(w.values())
+        roots = sum(range(1, n + 1))
+        assert all(abs(w[f"s{k}"] - max(1, (k + 1) * whole / roots)) <= 1 + (k + 1) * 0.02 for k in range(n))
+    some = mixing.root_weights({f"s{k}": n for k, n in enumerate([100] * 100 + [6_000] * 100)})
+    assert some["s199"] / some["s0"] == pytest.approx(60**0.5, rel=0.1)
+    many = mixing.root_weights({f"s{k}": 2 + (k * 5_000) for k in range(5_000)})
+    assert many["s0"] == 1 and many["s4999"] >= 5 and sum(many.values()) <= 30_000
