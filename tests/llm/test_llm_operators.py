@@ -411,6 +411,37 @@ def test_license_places_are_those_of_brute_force(spark):
                 assert len(licenses.aligned(w[m["start_word"] : m["end_word"]], n)) <= round(m["coverage"] * len(n))
 
 
+def test_license_matches_are_those_of_all_patience_alignments(spark):
+    rng = random.Random(11)
+    notice = "k1 k2 k3 k2 k4 k5 k6 k7 k8 k9".split()
+    rows = []
+    for k in range(60):
+        w = [x for x in notice * rng.randrange(1, 3) if rng.random() > 0.1]
+        for _ in range(rng.randrange(5)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["y", "k2", "k5", "k9"]))
+        if rng.random() < 0.3 and len(w) > 4:
+            i = rng.randrange(len(w) - 3)
+            w[i : i + 3] = w[i : i + 3][::-1]
+        rows.append((k, " ".join(w)))
+    got = {r["doc_id"]: r["matches"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), {"n": " ".join(notice)}).collect()}
+    for k, t in rows:
+        w = t.split()
+        best = max((len(licenses.aligned([x for x in w[a:b] if x in notice], notice)) for a in range(len(w)) for b in range(a + 1, min(len(w), a + 40) + 1)), default=0)
+        assert bool(got[k]) == (best >= 8), (k, t)
+        for m in got[k]:
+            assert len(licenses.aligned([x for x in w[m["start_word"] : m["end_word"]] if x in notice], notice)) == round(m["coverage"] * 10) >= 8
+
+
+def test_short_notices_do_not_take_another_name(spark):
+    lines = {
+        "Released under the ISC License.": "isc", "Released under the terms of the License.": "unnamed", "Released under the Foo License.": "unnamed", "Licensed under the LGPL License, Version 2.0.": "unnamed-2.0",
+        "Released under the MIT License.": "mit", "Released under the BSD License.": "bsd-line", "Licensed under the Apache License, Version 2.0.": "apache-2.0", licenses.TEMPLATES["mit-full"]: "mit-full",
+    }
+    rows = [(k, f"some words before it {t} and after it") for k, t in enumerate(lines)]
+    got = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == [[x] for x in lines.values()]
+
+
 def test_patience_alignment_is_increasing_and_equal():
     rng = random.Random(5)
     for _ in range(50):
