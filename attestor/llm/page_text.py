@@ -12,12 +12,14 @@ name). Those marks are also features, half of them hidden at random in training,
 punctuation decide where no mark is given. With no such page, fixed starting weights are used.
 
 Defined cases: a null or empty page has the empty text; unclosed elements end with the page, comments and scripts
-too; a page without any content block is empty; repeated rows are each extracted; further columns are ignored.
+too; a ``<`` that begins no whole tag is text; a page without any content block is empty; repeated rows are each extracted; further columns are ignored.
 """
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +47,8 @@ OTHER_NAMES = {
     "subscribe", "toolbar", "widget",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+OPEN = re.compile(rf"(?P<hidden>{HIDDEN})\b|(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)", re.I)
+STOP = re.compile(r"[>\"']")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 ENDS = re.compile(r"[.!?;:][\"')]*(?:\s|$)")
@@ -71,6 +74,62 @@ def telling(tag: str, attributes: str) -> int:
     return int(tag in CONTENT_TAGS or bool(names & CONTENT_NAMES))
 
 
+def tag_end(page: str, at: int, failed: set[int]) -> int:
+    """The place of the ``>`` that ends a tag whose name ends at ``at``; those in quoted values do not. -1 without one.
+
+    ``failed`` keeps the places outside quotes that earlier calls came by in vain, so that a page is gone through once.
+    """
+    seen = []
+    m = STOP.search(page, at)
+    while m and m.start() not in failed:
+        if m[0] == ">":
+            return m.start()
+        seen.append(m.start())
+        after = page.find(m[0], m.end())
+        m = STOP.search(page, after + 1) if after >= 0 else None
+    failed.update(seen)
+    return -1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, tag, attributes) of a page in order: a text has no tag, a closing tag's name begins with ``/``.
+
+    Comments, declarations and hidden elements are left out; those that are not closed end with the page (hidden
+    ones also where the body begins). A ``<`` that begins no tag is text. Linear in the length of the page.
+    """
+    at, last, failed, closers = 0, page.rfind(">"), set(), {}
+    while at < len(page):
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            yield page[at:end], "", ""
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        m = OPEN.match(page, at + 1) if at < last else None
+        if m and m["hidden"]:
+            name, end = m["hidden"].lower(), page.find(">", m.end()) + 1
+            if name not in closers:
+                closers[name] = re.compile(rf"</{name}\s*>|(?=<body\b)", re.I)
+            close = closers[name].search(page, end)
+            at = close.end() if close else len(page)
+            continue
+        if m:
+            end = tag_end(page, m.end(), failed)
+            if end >= 0:
+                yield "", m["close"] + m["name"].lower(), page[m.end() : end]
+                at = end + 1
+                continue
+        if at < last and page[at + 1] in "!?/":
+            at = page.find(">", at) + 1
+            continue
+        yield "<", "", ""
+        at += 1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in order."""
     out: list[Block] = []
@@ -86,37 +145,39 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, min(linked, len(text)), tag, near, other, stack[-2][3] if inner and len(stack) > 1 else own))
         linked, parts = 0, []
 
-    for m in TOKEN.finditer(page):
-        name = m[3]
-        if name is None:
-            if m[0][0] != "<" or m[0] == "<":
-                parts.append(m[0])
-                if links:
-                    linked += len(m[0])
+    held: Counter[str] = Counter()  # open elements by tag
+    for piece, name, attributes in tokens(page):
+        if not name:
+            parts.append(piece)
+            if links:
+                linked += len(piece)
             continue
-        name = name.lower()
+        closing = name[0] == "/"
+        name = name.lstrip("/")
         if name == "a":
-            links = max(0, links + (-1 if m[2] else 1))
+            links = max(0, links + (-1 if closing else 1))
         elif name == "br":
             parts.append("\n")
         if name not in BLOCK:
             continue
         close()
         links = 0
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+        if closing:
+            while held[name]:
+                top = stack.pop()[0]
+                held[top] -= 1
+                if top == name:
                     break
             continue
         if stack[-1][0] == "p" or (stack[-1][0] == name and name in ("li", "td", "th", "tr", "dd", "dt", "option")):
-            stack.pop()
-        if name in VOID or m[4].endswith("/"):
+            held[stack.pop()[0]] -= 1
+        if name in VOID or attributes.endswith("/"):
             continue
         number += 1
-        mark = telling(name, m[4])
+        mark = telling(name, attributes)
         _, near, other, _ = stack[-1]
         stack.append((name, mark or near, other or mark < 0, number))
+        held[name] += 1
     close()
     return out
 

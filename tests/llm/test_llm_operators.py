@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -342,6 +343,33 @@ def test_page_text(spark):
     assert got[7] == (want, len(want)) and [got[k] for k in (50, 51, 52, 53)] == [("", 0)] * 4
 
 
+def plain_tokens(page):
+    """One regular expression over the page, which takes the square of the length on unclosed quotes."""
+    token = re.compile(rf"<!--.*?(?:-->|\Z)|<({page_text.HIDDEN})\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+    for m in token.finditer(page):
+        if m[3]:
+            yield "", m[2] + m[3].lower(), m[4]
+        elif m[0][0] != "<" or m[0] == "<":
+            yield m[0], "", ""
+
+
+def test_page_tokens_are_those_of_a_plain_expression():
+    rng = random.Random(3)
+    bits = ["<p>", "</p>", "<a href='x>y'>", '<div class="a b">', "<", ">", "'", '"', "text ", "<!-- c -->", "<!--", "-->", "<script>", "</script >", "<body>", "<!doctype html>", "</", "<br/>", "<1", "<A ", "<style x", "<head>", "<header>", "\n"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        assert list(page_text.tokens(page)) == list(plain_tokens(page)), page
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<a \"x' ", "<script ", "<!", "<div>", "</p>", "<div></p>", "<p class='x", "<!--", "&amp", "<a href=\"'\" "])
+def test_long_broken_pages_take_linear_time(piece):
+    page, weights = piece * (400_000 // len(piece)), page_text.START
+    for end in ("", "'\">", ">"):
+        t = time.perf_counter()
+        page_text.blocks(page + end)
+        assert time.perf_counter() - t < 20
+
+
 def test_min_cut_is_a_minimum():
     rng = random.Random(1)
     for _ in range(60):
