@@ -2,7 +2,8 @@
 
 Each shard, a block of training texts, sorts the suffixes of its word stream. Every suffix of every test item is
 looked up in it by binary search; the stretch of array entries that begin with the suffix's window gives all its
-places, and each place is prolonged word by word to the longest verbatim match. Suffixes whose first words begin
+places, and each place is prolonged word by word to the longest verbatim match. Places of a text that repeats a
+passage are met a bounded number at a time, and only those where a longest match begins are kept. Suffixes whose first words begin
 no test window cannot hold a match and are left out of the array. Texts never leave their row, so there is no
 shuffle. The test side is a stated query set: it is read in pieces of at most ``PIECE_WORDS`` words, one narrow
 pass per piece, so what is broadcast is bounded however large the benchmark is.
@@ -26,6 +27,7 @@ from . import blocks as B
 
 WINDOW = 10
 PIECE_WORDS = 500_000
+PAIRS_AT_ONCE = 1_000_000
 MATCH = "array<struct<item_id:string,doc_start:int,item_start:int,length:int>>"
 MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
 
@@ -156,15 +158,21 @@ def longest_matches(w: B.Words, test: TestSuffixes) -> tuple[np.ndarray, ...]:
         return none
     places, keys = suffix_array(h, end, starts, test.window)
     lo, hi = search(keys, test.keys, test.length)
-    count = hi - lo
-    q = np.repeat(np.arange(len(lo)), count)
-    p = places[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[q]]
-    t = test.pos[q]
-    # longest: left words differ, or one of the two begins there
-    at_left = (t > test.first[q]) & (p > w.first[w.row[p]])
-    left = ~at_left
-    left[at_left] = h[p[at_left] - 1] != test.words[t[at_left] - 1]
-    q, p, t = q[left], p[left], t[left]
+    # pairs of a window and a place, a bounded number at a time; of those that agree to the left too a longer match tells
+    ends = np.cumsum(hi - lo)
+    longest: list[tuple[np.ndarray, ...]] = []
+    for s in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
+        n = np.arange(s, min(s + PAIRS_AT_ONCE, int(ends[-1])))
+        q = np.searchsorted(ends, n, "right")
+        p = places[hi[q] - (ends[q] - n)]
+        t = test.pos[q]
+        at_left = (t > test.first[q]) & (p > w.first[w.row[p]])
+        left = ~at_left
+        left[at_left] = h[p[at_left] - 1] != test.words[t[at_left] - 1]
+        longest.append((q[left], p[left], t[left]))
+    if not longest:
+        return none
+    q, p, t = (np.concatenate(x) for x in zip(*longest))
     length = test.length[q].copy()
     open_ = np.arange(len(q))
     while len(open_):

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -154,6 +155,23 @@ def test_contamination(corpus, spark, monkeypatch, piece):
     assert left.columns == docs.columns and left.count() == sum(not n for _, _, n, _ in want)
 
 
+def test_a_text_that_repeats_a_passage_is_met_in_bounded_memory(monkeypatch):
+    data = " ".join(["a b c"] * 14_000).encode()
+    w = decontaminate.B.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), decontaminate.B.IS_ALNUM)
+    item = w.hash[1:1000]
+    test = decontaminate.TestSuffixes((["i"], np.array([0]), np.array([999]), np.array([0, 999]), item), 10)
+    tracemalloc.start()
+    row, doc, _, start, length = decontaminate.longest_matches(w, test)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6  # 14 million pairs of places would take four times that
+    assert len(doc) == len(range(1, 41_991, 3)) + len(range(2, 990, 3))  # places of the item's first word, and the text's first word in the item
+    assert all(s == 0 or d == 0 for d, s in zip(doc, start)) and length.max() == 999
+    few = decontaminate.longest_matches(w, test)
+    monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", 777)
+    assert all((a == b).all() for a, b in zip(few, decontaminate.longest_matches(w, test)))
+
+
 def test_longest_matches_are_prolonged(spark):
     item = " ".join(f"w{k}" for k in range(25))
     docs = spark.createDataFrame([(1, "a b " + item + " c"), (2, " ".join(f"w{k}" for k in range(4, 17)))], "doc_id long, text string")
