@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import tags as T
 from ..functions import text as X
+from ..session import cut_lineage
 from . import grams as G
 from .intervals import length, near_pairs, shared
+from .similar import near_texts
 
 COLUMNS = ["claim_id", "doc_id", "type", "quote", "start", "end", "attributed_to", "explicit_attribution", "level", "certainty", "origin", "closed", "is_question"]
 QUOTED = ("ayah", "hadith")
+SENTENCE = "[^.؟!\\n؛]+"
 
 
 @dataclass(frozen=True)
@@ -214,7 +217,7 @@ def long_enough(claims: DataFrame, script: str, min_words: int = 6, min_content:
 
 def sentences(docs: DataFrame, limit: int | None = None, script: str = "arabic", min_words: int = 6, min_content: int = 4) -> DataFrame:
     """Candidate sentences with offsets: (doc_id, n, quote, start, end), of the first ``limit`` pieces of a text if one is given."""
-    found = docs.select("doc_id", F.posexplode(X.matches_with_offsets(F.col("text"), "[^.؟!\\n؛]+")).alias("n", "m"))
+    found = docs.select("doc_id", F.posexplode(X.matches_with_offsets(F.col("text"), SENTENCE)).alias("n", "m"))
     found = found if limit is None else found.filter(F.col("n") < limit)
     lead = F.length(F.regexp_extract("m.hit", r"^[\s\p{Z}]*", 0))
     s = found.select("doc_id", "n", F.regexp_replace("m.hit", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("quote"), (F.col("m.start") + lead).alias("start"))
@@ -231,6 +234,32 @@ def outside(rows: DataFrame, taken: DataFrame) -> DataFrame:
     return rows.join(hit, ["doc_id", "n"], "left_anti")
 
 
+def near_verbatim(rows: DataFrame, texts: DataFrame, script: str = "arabic", own: bool = False) -> DataFrame:
+    """``rows`` of sentences (doc_id, n, quote) that stand nearly word for word in a text: with ``key`` and ``similarity``.
+
+    ``texts``: (key, text), met sentence by sentence. Similarity is that of letters in normal form, 0.88 or more; the most
+    similar text counts, then the smallest key. With ``own`` the keys are document ids, and no document is
+    its own source. Equal sentences are one row until the end, with the two best sources of each, one for the other's documents.
+    Sentences without words, and null or empty texts, match nothing.
+    """
+    norm = lambda c: F.array_join(X.words(c, script), " ")
+    q = G.once(rows, "t", norm(F.col("quote"))).withColumn("sid", F.sha2("t", 256))
+    split = texts.select("key", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SENTENCE), F.lit(0))).alias("s"))
+    r = cut_lineage(G.once(split, "t", norm(F.col("s"))).filter("t <> ''").withColumn("sid", F.sha2("t", 256)).select("sid", "t", "key").distinct())
+    wanted = cut_lineage(q.select("sid", "t").distinct())
+    pairs = cut_lineage(near_texts(wanted, r.select("sid", "t").distinct()).withColumn("similarity", F.round("similarity", 9)))
+    first = r.groupBy(F.col("sid").alias("other")).agg(F.min("key").alias("key"))
+    second = r.withColumnRenamed("sid", "other").join(first.withColumnRenamed("key", "k"), "other").filter("key > k").groupBy("other").agg(F.min("key").alias("key"))
+    sources = pairs.join(first.unionByName(second), "other")
+    order = lambda: F.min(F.struct((-F.col("similarity")).alias("s"), "key"))
+    best = sources.groupBy("sid").agg(order().alias("b"))
+    found = q.join(best, "sid")
+    if own:
+        rest = sources.join(best.select("sid", F.col("b.key").alias("k")), "sid").filter("key <> k").groupBy("sid").agg(order().alias("b2"))
+        found = found.join(rest, "sid", "left").withColumn("b", F.when(F.col("b.key") == F.col("doc_id"), F.col("b2")).otherwise(F.col("b"))).filter("b IS NOT NULL")
+    return found.select(*rows.columns, F.col("b.key").alias("key"), (-F.col("b.s")).alias("similarity"))
+
+
 # --------------------------------------------------------------------------- merging claim sets
 
 

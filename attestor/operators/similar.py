@@ -1,7 +1,7 @@
-"""Set-similarity join of texts: size bounds and positional prefixes in a frequency order, then exact verification."""
+"""Similarity joins of texts: by shared words (prefix filter) and by edits (unchanged pieces), then exact verification."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,53 @@ def similar_sets(sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     return shared.filter(F.col("shared") * (num + den) >= (F.col("n") + F.col("m")) * num).select(
         "sid", "other", F.col("shared"), (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity")
     )
+
+
+# --------------------------------------------------------------------------- edit similarity
+
+BUCKET_LETTERS, BUCKETS_A_FOLD = 32, 4  # places are bucketed by the logarithm of their distance from the start
+
+
+def allowed(length: Column, num: int, den: int) -> Column:
+    """The most edits between a text of this length and one no less similar than ``num / den``; the other may be longer."""
+    return F.floor(F.floor(length * den / F.lit(num)) * (den - num) / F.lit(den)).cast("int")
+
+
+def piece_widths(num: int, den: int, least: int) -> list[int]:
+    """The widths that pieces of texts of ``least`` letters or more can have: those of long texts tend to num / (den - num)."""
+    top = 4 * den * den  # beyond it the width is that of the limit
+    return sorted({n // ((n * den // num) * (den - num) // den + 1) for n in range(max(least, 1), max(least, 1) + top)})
+
+
+def _bucket(place: Column) -> Column:
+    return F.floor(F.log(1 + place / F.lit(BUCKET_LETTERS)) * BUCKETS_A_FOLD).cast("int")
+
+
+def near_texts(wanted: DataFrame, texts: DataFrame, num: int = 22, den: int = 25, least: int = 11) -> DataFrame:
+    """(sid, other, edits, similarity) of wanted texts and texts with 1 - edits / longer length >= ``num / den``.
+
+    Both: (sid, t), one row per text; wanted texts have ``least`` letters or more. A wanted text that allows k edits
+    is cut into k + 1 pieces of one width. Of two similar texts some piece stands unchanged in the other, moved by no
+    more letters than there are pieces before it (each of those holds an edit, or an earlier piece would do) and no
+    more than edits are left for the pieces behind it. Pieces meet the other side's substrings by an equi-join on
+    letters and place; a place's bucket is as wide as the distance from the start, so each substring is sent
+    to a few buckets only. Lengths and places are compared before pairs are shuffled, the rest gets its edit distance.
+    """
+    n, m = F.length("t"), F.length("t")
+    q = wanted.filter(n >= least).select("sid", n.alias("n"), allowed(n, num, den).alias("k"), "t")
+    q = q.withColumn("w", F.floor(F.col("n") / (F.col("k") + 1)).cast("int"))
+    cut = q.select("sid", "n", "k", "w", "t", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    pieces = cut.select("sid", "n", "k", "w", "i", F.substr("t", F.col("i") * F.col("w") + 1, "w").alias("piece"), _bucket(F.col("i") * F.col("w")).alias("b"))
+    widths = F.explode(F.array(*[F.lit(w) for w in piece_widths(num, den, least)]))
+    at = texts.select(F.col("sid").alias("other"), "t", m.alias("m"), widths.alias("w")).filter(F.col("m") >= F.col("w"))
+    at = at.select("other", "t", "m", "w", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("w"))).alias("p"))
+    low, high = F.ceil(F.col("p") * F.col("w") / (F.col("w") + 1)), F.floor(F.col("p") * F.col("w") / F.greatest(F.col("w") - 1, F.lit(1)))
+    places = at.select("other", "m", "w", "p", F.substr("t", F.col("p") + 1, "w").alias("piece"), F.explode(F.sequence(_bucket(low), F.when(F.col("w") > 1, _bucket(high)).otherwise(_bucket(F.ceil(F.col("m") * den / F.lit(num)))))).alias("b"))
+    moved = F.col("p") - F.col("i") * F.col("w")
+    lengths = (F.col("n") * num <= F.col("m") * den) & (F.col("m") * num <= F.col("n") * den)
+    near = lengths & (F.abs(moved) <= F.col("i")) & (F.abs(moved - (F.col("m") - F.col("n"))) <= F.col("k") - F.col("i"))
+    met = pieces.join(places, ["w", "piece", "b"]).filter(near).select("sid", "other").distinct()
+    both = met.join(wanted.select("sid", F.col("t").alias("q")), "sid").join(texts.select(F.col("sid").alias("other"), F.col("t").alias("r")), "other")
+    longer = F.greatest(F.length("q"), F.length("r"))
+    both = both.withColumn("most", F.floor(longer * (den - num) / F.lit(den)).cast("int")).withColumn("edits", F.expr("levenshtein(q, r, most)"))
+    return both.filter("edits >= 0").select("sid", "other", "edits", (1.0 - F.col("edits") / longer).alias("similarity"))

@@ -138,6 +138,19 @@ def _(spark, sf):
     return C.outside(s, marked(spark, sf)).select("doc_id", "n", "quote", F.col("start").cast("bigint").alias("start"))
 
 
+@R(
+    "flt_9_near_verbatim",
+    rf"""WITH {MARKED}, {SENT}, fr AS (SELECT doc_id, n, quote, start, {word_norm_sql('quote')} AS t FROM se WHERE NOT EXISTS (SELECT 1 FROM mk WHERE mk.doc_id = se.doc_id AND mk.start < se.e AND se.start < mk.e)),
+    rs0 AS (SELECT doc_id AS key, unnest(regexp_extract_all(text, '[^.؟!\n؛]+')) AS s FROM documents JOIN labels USING (doc_id)), rs AS (SELECT DISTINCT key, {word_norm_sql('s')} AS t FROM rs0),
+    a AS MATERIALIZED (SELECT DISTINCT t, length(t) AS m FROM fr), b AS MATERIALIZED (SELECT DISTINCT t, length(t) AS m FROM rs WHERE t <> ''),
+    p AS MATERIALIZED (SELECT a.t AS qt, b.t AS rt, round(1.0 - levenshtein(a.t, b.t) / greatest(a.m, b.m), 9) AS similarity FROM a JOIN b ON 22 * a.m <= 25 * b.m AND 22 * b.m <= 25 * a.m WHERE 25 * levenshtein(a.t, b.t) <= 3 * greatest(a.m, b.m))
+    SELECT doc_id, CAST(n AS INT) AS n, quote, CAST(start AS BIGINT) AS start, key, similarity FROM fr JOIN p ON fr.t = qt JOIN rs ON rs.t = rt AND key <> doc_id QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY similarity DESC, key) = 1""",
+)
+def _(spark, sf):
+    free = C.outside(C.sentences(documents(spark, sf), script=SCRIPT), marked(spark, sf)).select("doc_id", "n", "quote", F.col("start").cast("bigint").alias("start"))
+    return C.near_verbatim(free, graded(spark, sf).select("key", "text"), SCRIPT, own=True)
+
+
 @R(
     "flt_10_own_statements",
     rf"WITH {VERDICTS}, v AS (SELECT claim_id, state, is_question, v.lang, regexp_matches(text, '(?i)\b(?:in|according to) (?:the|a) (?:hadith|sunnah|qur''?an)\b') AS attr FROM verdicts v JOIN documents d ON d.doc_id = v.claim_id) SELECT claim_id FROM v WHERE NOT (lang IN ('en', 'de') AND NOT is_question AND NOT attr) OR state = 'supported'",
