@@ -21,6 +21,9 @@ from . import grams as G
 GRAM = 4
 HOT = 256  # corpus places per gram above which pairs are not formed directly
 KEYS = ["h", "h2"]
+FILTER_WORDS = 1 << 20  # rows of the gram filter at most, so at most 16 MB of it are broadcast
+FILTER_BITS = 12  # bits for every different corpus gram while the filter is not full
+FILTER_SETS = 4  # bits that a gram sets in its word
 
 
 # --------------------------------------------------------------------------- seeds and runs
@@ -178,6 +181,51 @@ def _words_ahead(stream: DataFrame, span: int) -> DataFrame:
     return cut.select("pos", "blk", F.collect_list("word").over(w).alias("ahead")).filter(F.floor(F.col("pos") / size) == F.col("blk")).select("pos", "ahead")
 
 
+# --------------------------------------------------------------------------- filter before the exchange
+
+
+def _mask(h2: Column) -> Column:
+    """The bits a gram sets in its 64-bit word: ``FILTER_SETS`` fields of six bits of the second hash."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h2, 6 * k).bitwiseAND(F.lit(63))) for k in range(FILTER_SETS)]
+    mask = bits[0]
+    for bit in bits[1:]:
+        mask = mask.bitwiseOR(bit)
+    return mask
+
+
+def filter_words(n_grams: int) -> int:
+    """64-bit words of a filter for ``n_grams`` different grams; 0 where the largest one would be nearly full."""
+    wanted = math.ceil(n_grams * FILTER_BITS / 64)
+    return 0 if wanted > 4 * FILTER_WORDS else max(1, min(wanted, FILTER_WORDS))
+
+
+def gram_filter(src_grams: DataFrame, words: int) -> DataFrame:
+    """(word, bits): blocked Bloom filter of the grams, a row per 64-bit word that has a bit.
+
+    Its rows are bit-wise sums, so they are formed map-side before the exchange, and filters of parts of a corpus
+    with the same number of words are merged by ``merge_filters``.
+    """
+    return src_grams.groupBy(F.pmod("h", F.lit(words)).alias("word")).agg(F.bit_or(_mask(F.col("h2"))).alias("bits"))
+
+
+def merge_filters(*parts: DataFrame) -> DataFrame:
+    """The filter of all grams of its parts."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def admitted(doc_grams: DataFrame, filt: DataFrame, words: int) -> DataFrame:
+    """Document grams that may stand in the corpus: every gram that does, and few others.
+
+    ``filt`` has at most ``FILTER_WORDS`` rows, so it is broadcast and the grams are dropped where they were made.
+    """
+    mask = _mask(F.col("h2"))
+    has_all = F.col("bits").bitwiseAND(mask) == mask
+    return doc_grams.join(F.broadcast(filt), (F.pmod("h", F.lit(words)) == F.col("word")) & has_all, "left_semi")
+
+
 # --------------------------------------------------------------------------- left-to-right choice
 
 
@@ -220,22 +268,26 @@ def longest_runs(words: DataFrame, src: DataFrame, stream: DataFrame, small: boo
     ``src``: (src, p, h, h2), the grams of ``stream`` that count; a run goes on while the next place has one.
     """
 
-    def has_frequent(grams: DataFrame) -> bool:
-        return not grams.groupBy(*KEYS).agg(F.count("*").alias("cnt")).filter(F.col("cnt") > cap).isEmpty()
+    def gram_counts(grams: DataFrame) -> tuple[int, bool]:
+        most = grams.groupBy(*KEYS).agg(F.count("*").alias("cnt")).agg(F.count("*"), F.coalesce(F.max("cnt"), F.lit(0))).first()
+        return most[0], most[1] > cap
 
     def paired(grams: DataFrame, frequent: bool) -> DataFrame:
         pairs = gram_pairs(doc_grams, grams, cap, small, frequent)
         return equal_runs(pairs).select("doc_id", "i", (F.col("run_end") - F.col("i")).alias("len"), "p")
 
     src = cut_lineage(src)
-    frequent = has_frequent(src)
+    n_grams, frequent = gram_counts(src)
     if frequent:  # both sides are read several times below
         words, stream = cut_lineage(words), cut_lineage(stream)
     doc_grams = G.explode_grams(words, GRAM)
+    n_words = 0 if small else filter_words(n_grams)
+    if n_words:  # the corpus grams are not broadcast: the document grams would all be shuffled
+        doc_grams = admitted(doc_grams, gram_filter(src, n_words), n_words)
     runs = paired(src, frequent)
     if frequent:
         once = cut_lineage(first_stretches(src, cap))
-        still = has_frequent(once)
+        still = gram_counts(once)[1]
         runs = runs.unionByName(paired(once, still))
         if still:
             runs = runs.unionByName(frequent_runs(words, stream, once, cap))

@@ -122,6 +122,12 @@ def _(spark, sf):
     return S.distinctive(best, c.tokens, c.idf, c.small)
 
 
+@R("joi_1_filtered_scan", f"WITH {CANON_SCAN[: CANON_SCAN.index('wt AS')].rstrip(', ')} SELECT doc_id, CAST(i AS INT) AS i, CAST(len AS INT) AS len, p FROM ca")
+def _(spark, sf):
+    """The scan as it runs on a corpus too large to be broadcast: document grams pass the filter, the rest are shuffled."""
+    return S.longest_at(G.doc_words(documents(spark, sf), SCRIPT), canon(spark, sf).tokens, False)
+
+
 @R(
     "prj_14_unit_ranges",
     f"""WITH RECURSIVE {CANON_SCAN}, cl AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS n, doc_id || '-' || i AS claim_id, p, len FROM gr),
