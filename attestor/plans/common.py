@@ -76,7 +76,10 @@ def verdict_rows(spark, sf) -> DataFrame:
 
 def calls(spark, sf) -> DataFrame:
     """Events as a call log."""
-    e = table(spark, sf, "events")
+    return call_rows(table(spark, sf, "events"))
+
+
+def call_rows(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("call_id"), F.col("ts"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.when(F.col("user_id") % 2 == 0, "extract").otherwise("judge").alias("task"),

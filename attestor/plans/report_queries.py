@@ -14,6 +14,7 @@ from ..operators import lookup as L
 from ..operators import match as M
 from ..operators import report as RP
 from ..operators import retrieve as RT
+from ..session import new_folder
 from ..streaming import streams as ST
 from .common import *  # noqa: F403
 from .common import Registry
@@ -356,6 +357,23 @@ def _(spark, sf):
     return RP.spend_guard(calls(spark, sf), 500.0).select("call_id", F.round("spent_before", 4).alias("spent_before"), "guard_active")
 
 
+@R(
+    "str_3_spend_guard_stream",
+    f"""WITH {CALLS}, r AS (SELECT call_id, ts, round(coalesce(sum(cost_usd) OVER (PARTITION BY day ORDER BY ts, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS spent_before FROM calls)
+    SELECT call_id, round(spent_before, 4) AS spent_before, spent_before >= 500 AS guard_active FROM r WHERE ts < (SELECT date_trunc('minute', max(ts) - INTERVAL 1 HOUR) FROM events)""",
+)
+def _(spark, sf):
+    """The guard on the stream of calls: what the watermark has passed when the stream has been read."""
+    schema = table(spark, sf, "events").schema
+    arriving = call_rows(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = new_folder(spark, "guard")
+    guarded = ST.spend_guard_stream(arriving, 500.0)
+    sink = guarded.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+    ST.run_available(sink)
+    rows = spark.read.schema(guarded.schema).parquet(f"{out}/rows")
+    return rows.select("call_id", F.round("spent_before", 4).alias("spent_before"), "guard_active")
+
+
 @R("str_4_reused_answers", """WITH RECURSIVE e AS (SELECT event_type || '-' || user_id AS k, epoch_us(ts) / 1e6 AS s, event_id, row_number() OVER (PARTITION BY event_type || '-' || user_id ORDER BY ts, event_id) AS n FROM events),
     f AS (SELECT k, n, s AS last, event_id, TRUE AS counts FROM e WHERE n = 1
       UNION ALL SELECT e.k, e.n, CASE WHEN e.s - f.last > 432000 THEN e.s ELSE f.last END, e.event_id, e.s - f.last > 432000 FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1)

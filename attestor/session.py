@@ -43,9 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, for a stored table."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back. Unlike ``checkpoint()`` the plan runs once."""
-    path = f"{shared_folder(df.sparkSession)}/attestor-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "attestor")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

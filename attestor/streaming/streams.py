@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 LATE = "1 hour"  # later rows are dropped and show in the query's progress
@@ -29,6 +30,22 @@ def verify_stream(docs: DataFrame, verify: Callable[[DataFrame], DataFrame], out
     return docs.writeStream.queryName(query_name).foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(sink) -> None:
+    """Runs a stream over all that is there, on the RocksDB state store; the session's own setting is put back."""
+    spark = sink._spark
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        query = sink.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before)
+    query.awaitTermination()
+
+
 # --------------------------------------------------------------------------- request limit
 
 
@@ -108,6 +125,82 @@ def limit_requests_stream(events: DataFrame, limit: int = 30, window: float = 60
     )
 
 
+# --------------------------------------------------------------------------- spend guard
+
+MINUTE = 60_000
+GUARDED = "call_id bigint, spent_before double, guard_active boolean"
+
+
+class SpendGuard(StatefulProcessor):
+    """State of a day: what its finished minutes cost, and the calls of minutes that the watermark has not passed.
+
+    Calls arrive in any order inside the watermark. A timer at the end of the oldest open minute lets the finished
+    minutes out in order of time; the one at the end of the day removes the state.
+    """
+
+    def __init__(self, limit: float):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spent = handle.getValueState("spent", "total double")
+        self.open = handle.getMapState("open", "ts_us bigint, call_id bigint", "cost double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        oldest = None
+        for pdf in rows:
+            for at, call_id, cost in zip(pdf["ts_us"].tolist(), pdf["call_id"].tolist(), pdf["cost_usd"].fillna(0.0).tolist()):
+                self.open.updateValue((at, call_id), (cost,))
+                oldest = at if oldest is None else min(oldest, at)
+        if oldest is not None:
+            self._wake(oldest, key[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        day_end = key[0]
+        passed = timerValues.getCurrentWatermarkInMs() // MINUTE * MINUTE
+        waiting = sorted((k[0], k[1], v[0]) for k, v in self.open.iterator())
+        done = [w for w in waiting if w[0] < passed * 1000]
+        total = self.spent.get()[0] if self.spent.exists() else 0.0
+        out = []
+        for at, call_id, cost in done:
+            before = round(total, 6)
+            out.append((call_id, before, self.limit > 0 and before >= self.limit))
+            total += cost
+            self.open.removeKey((at, call_id))
+        if len(done) < len(waiting):
+            self._wake(waiting[len(done)][0], day_end)
+        if passed >= day_end:
+            self.spent.clear()
+        else:
+            self.spent.update((total,))
+            if len(done) == len(waiting):
+                self.handle.registerTimer(day_end)
+        if out:
+            yield pd.DataFrame(out, columns=["call_id", "spent_before", "guard_active"])
+
+    def _wake(self, at_us: int, day_end: int) -> None:
+        self.handle.registerTimer(min((at_us // 1000 // MINUTE + 1) * MINUTE, day_end))
+
+    def close(self) -> None:
+        pass
+
+
+def spend_guard_stream(calls: DataFrame, limit: float) -> DataFrame:
+    """``report.spend_guard`` on a stream (call_id, ts, cost_usd): (call_id, spent_before, guard_active).
+
+    A call comes out once the watermark has passed its minute, so calls that arrive out of order inside ``LATE`` get
+    the values of the batch form; later ones are dropped. A null cost counts as 0, a call without a time is dropped, a
+    call that comes twice with one time counts once while its minute is open. A day's calls are in one task, as
+    each depends on all before it; only minutes still open are held. Needs the RocksDB state store.
+    """
+    day = F.date_trunc("day", "ts")
+    rows = calls.withWatermark("ts", LATE).filter(F.col("ts").isNotNull()).select(
+        "ts", "call_id", "cost_usd", F.unix_micros("ts").alias("ts_us"), F.unix_millis(day + F.expr("INTERVAL 1 DAY")).alias("day_end")
+    )
+    return rows.groupBy("day_end").transformWithStateInPandas(SpendGuard(limit), GUARDED, "Append", "EventTime")
+
+
 # --------------------------------------------------------------------------- answers, activity, progress, sessions
 
 
