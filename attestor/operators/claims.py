@@ -21,7 +21,7 @@ from .similar import near_texts
 
 COLUMNS = ["claim_id", "doc_id", "type", "quote", "start", "end", "attributed_to", "explicit_attribution", "level", "certainty", "origin", "closed", "is_question"]
 QUOTED = ("ayah", "hadith")
-SENTENCE = "[^.؟!\\n؛]+"
+SENTENCE_BREAK = "[.؟!\\n؛]"
 
 
 @dataclass(frozen=True)
@@ -62,83 +62,114 @@ class Limits:
 NO_LIMITS = Limits()
 
 
-def quote_after(plain: Column, pos: Column, limits: Limits = NO_LIMITS) -> Column:
-    """struct(start, end, closed): the quotation that begins at ``pos``, delimited or up to the sentence end."""
-    within = lambda at, less: F.substr(plain, at) if limits.quote_chars is None else F.substr(plain, at, F.lit(limits.quote_chars - less))
-    one = lambda value, body: F.transform(F.array(value), body)[0]
+def quote_after(plain: Column, pos: Column, limits: Limits = NO_LIMITS, chunks: Column | None = None) -> Column:
+    """struct(start, end, closed): the quotation that begins at ``pos``, delimited or up to the sentence end.
+
+    ``chunks``: the text in blocks (``X.chunked``), where the caller has them once per text. What follows ``pos`` is read
+    from the blocks there, and from the whole rest only where it goes on beyond them.
+    """
+    chunks = X.chunked(plain) if chunks is None else chunks
+    limit = limits.quote_chars
+
+    def closing(at: Column, closer: Column) -> Column:
+        """Place of the closing mark after ``at``, 0 if there is none."""
+        if limit is not None:
+            return F.instr(X.chars(chunks, at + 1, F.lit(limit - 1)), closer)
+        return X.let(F.instr(X.rest_from(chunks, at + 1, 8), closer), lambda k: F.when(k > 0, k).otherwise(F.instr(X.rest_from(chunks, at + 1), closer)))
+
+    def open_ended(p: Column) -> Column:
+        if limit is None:
+            n = X.leading(chunks, p, r"^[^.؟!\n…]*")
+        else:
+            n = F.length(F.regexp_extract(X.chars(chunks, p, F.lit(limit)), r"^[^.؟!\n…]*", 0))
+        if limits.quote_words is not None:
+            ws = lambda k: F.filter(F.split(X.chars(chunks, p, k), r"\s+"), lambda w: w != "")
+            n = X.let(n, lambda k: F.when(F.size(ws(k)) > limits.quote_words, F.length(F.array_join(F.slice(ws(k), 1, limits.quote_words), " "))).otherwise(k))
+        return F.struct(p.cast("int").alias("start"), (p + n).cast("int").alias("end"), F.lit(False).alias("closed"))
 
     def located(at: Column) -> Column:
-        opener = F.substr(plain, at + 1, F.lit(1))
-        closer = F.create_map(*[x for kv in V.OPENERS.items() for x in map(F.lit, kv)])[opener]
-        # the closing mark must stand within the character limit, if any, after at least one character
-        close_at = F.instr(within(at + 2, 1), closer) + at
-        is_closed = F.coalesce(close_at > at + 1, F.lit(False))
+        closers = F.create_map(*[x for kv in V.OPENERS.items() for x in map(F.lit, kv)])
 
-        def open_ended(p: Column) -> Column:
-            sentence = F.regexp_extract(within(p + 1, 0), r"^[^.؟!\n…]*", 0)
-            n = F.length(sentence)
-            if limits.quote_words is not None:
-                ws = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
-                n = F.when(F.size(ws) > limits.quote_words, F.length(F.array_join(F.slice(ws, 1, limits.quote_words), " "))).otherwise(n)
-            return F.struct(p.cast("int").alias("start"), (p + n).cast("int").alias("end"), F.lit(False).alias("closed"))
+        def delimited(x: Column) -> Column:
+            # the closing mark must stand within the character limit, if any, after at least one character
+            is_closed = F.coalesce(x["k"] > 1, F.lit(False))
+            inner = F.struct((at + 1).cast("int").alias("start"), (at + x["k"]).cast("int").alias("end"), F.lit(True).alias("closed"))
+            return F.when(is_closed, inner).otherwise(X.let(F.when(x["opened"], at + 1).otherwise(at), open_ended))
 
-        delimited = F.struct((at + 1).cast("int").alias("start"), close_at.cast("int").alias("end"), F.lit(True).alias("closed"))
-        return F.when(is_closed, delimited).otherwise(one(F.when(closer.isNotNull(), at + 1).otherwise(at), open_ended))
+        shut = lambda c: F.struct(c.isNotNull().alias("opened"), F.when(c.isNotNull(), closing(at, c)).alias("k"))
+        return X.let(closers[X.chars(chunks, at, F.lit(1))], lambda c: X.let(shut(c), delimited))
 
-    skipped = F.length(F.regexp_extract(F.substr(plain, pos + 1), r"^[ \t:،,]*", 0))
-    return one(pos + skipped, located)
+    return X.let(pos + X.leading(chunks, pos, r"^[ \t:،,]*"), located)
 
 
 def extract_by_markers(docs: DataFrame, markers: list[Marker] = MARKERS, limits: Limits = NO_LIMITS) -> DataFrame:
-    """Claims introduced by a marker: one narrow pass over the documents, one output row per hit."""
+    """Claims introduced by a marker: one narrow pass over the documents, one output row per hit.
+
+    All of a text's hits are read off its blocks inside the row, so that no hit carries or passes over the whole text.
+    """
     base = G.once(docs.select("doc_id", "text"), "plain", X.fold_for_markers(F.col("text")))
     base = G.once(base, "has_marks", F.col("text").rlike(V.FOLD_DIACRITICS))
-    out = None
-    for m in markers:
-        rows = _marker_claims(base, m, limits)
-        out = rows if out is None else out.unionByName(rows)
-    out = out.filter(F.size(F.filter(F.split(F.col("quote"), r"\s+"), lambda w: w != "")) >= 2)
+    base = G.once(base, "b", F.struct(X.chunked(F.col("plain")).alias("plain"), X.chunked(F.col("text")).alias("text"), F.when(F.col("has_marks"), X.unmarked_places(F.col("text"))).alias("places")))
+    hits = F.flatten(F.array_compact(F.array(*[_marker_hits(m, limits) for m in markers])))
+    out = base.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
+    lead = F.length(F.regexp_extract("raw", r"^[\s\p{Z}]*", 0))
+    out = out.withColumn("quote", F.regexp_replace("raw", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).withColumn("start", F.col("a") + lead)
+    out = out.withColumn("end", F.col("start") + F.length("quote")).filter(F.size(F.filter(F.split(F.col("quote"), r"\s+"), lambda w: w != "")) >= 2)
     if any(m.question for m in markers):
         out = _without_taken_questions(out)
-    return out.withColumn("claim_id", F.concat_ws("-", "doc_id", "origin", "rule", "start")).select(*COLUMNS, "rule")
-
-
-def _marker_claims(base: DataFrame, m: Marker, limits: Limits) -> DataFrame:
-    rows = base.filter(F.length("text") <= limits.question_chars) if m.question and limits.question_chars is not None else base
-    rows = rows.filter(F.col("plain").rlike(m.pattern))
-    hit = rows.select("doc_id", "text", "plain", "has_marks", F.explode(X.matches_with_offsets(F.col("plain"), m.pattern)).alias("m"))
-    if m.take == "after":
-        span = quote_after(F.col("plain"), F.col("m.end"), limits)
-    elif m.take == "group":
-        span = F.struct((F.col("m.start") + 1).alias("start"), (F.col("m.end") - 1).alias("end"), F.lit(True).alias("closed"))
-    else:
-        span = F.struct(F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.lit(False).alias("closed"))
-    hit = G.once(hit, "s", span).filter("s.end > s.start")
-    body = F.substr("plain", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    named = F.lit(None).cast("string")
-    if m.min_words > 2:
-        hit = hit.filter(F.size(F.filter(F.split(body, r"\s+"), lambda w: w != "")) >= m.min_words)
-    if m.name == "scholar":
-        whole = F.substr("plain", F.col("m.start") + 1, F.length("m.hit") + 1)
-        group = F.regexp_extract(whole, m.pattern, 1)
-        head = F.substr("plain", F.col("s.start") + 1, F.lit(60))
-        reports_view = group.rlike(V.SCHOLAR_GROUP) & F.rtrim(F.col("m.hit")).endswith("ان")
-        other = head.rlike("^" + V.NARRATION_MARKER.replace("(?i)", "(?i:", 1) + ")") | head.rlike("^" + V.CANON_MARKER.replace("(?i)", "(?i:", 1) + ")")
-        at = F.col("m.start") + F.instr(F.col("m.hit"), group) - 1
-        a, b = X.original_offset(F.col("text"), at, F.col("has_marks")), X.original_offset(F.col("text"), at + F.length(group), F.col("has_marks"))
-        hit = hit.filter(~reports_view & ~other)
-        named = F.trim(F.substr("text", a + 1, b - a))
-    if m.question:
-        hit = hit.filter(T.asked_of_the_tool(F.col("m.hit")))
-    a, b = X.original_offset(F.col("text"), F.col("s.start"), F.col("has_marks")), X.original_offset(F.col("text"), F.col("s.end"), F.col("has_marks"))
-    hit = hit.select("doc_id", "text", "s.closed", a.cast("int").alias("a"), b.cast("int").alias("b"), named.alias("attributed_to"))
-    raw = F.substr("text", F.col("a") + 1, F.col("b") - F.col("a"))
-    hit = hit.withColumn("lead", F.length(F.regexp_extract(raw, r"^[\s\p{Z}]*", 0))).withColumn("quote", F.regexp_replace(raw, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    return hit.select(
-        "doc_id", F.lit(m.type).alias("type"), "quote", (F.col("a") + F.col("lead")).alias("start"), (F.col("a") + F.col("lead") + F.length("quote")).alias("end"),
-        "attributed_to", F.lit(m.attributed).alias("explicit_attribution"), F.lit(m.level).alias("level"), F.lit(m.certainty).alias("certainty"),
-        F.lit("marker").alias("origin"), "closed", F.lit(m.question).alias("is_question"), F.lit(m.name).alias("rule"),
-    )
+    return out.withColumn("origin", F.lit("marker")).withColumn("claim_id", F.concat_ws("-", "doc_id", "origin", "rule", "start")).select(*COLUMNS, "rule")
+
+
+def _marker_hits(m: Marker, limits: Limits) -> Column:
+    """array<struct> of a text's claims by one marker, from the columns of ``extract_by_markers``; null beyond the limit of a question."""
+    plain, text, blocks, places = F.col("plain"), F.col("text"), F.col("b.plain"), F.col("b.places")
+
+    def span(hit: Column) -> Column:
+        if m.take == "after":
+            return quote_after(plain, hit["end"], limits, blocks)
+        cut = 1 if m.take == "group" else 0
+        return F.struct((hit["start"] + cut).alias("start"), (hit["end"] - cut).alias("end"), F.lit(m.take == "group").alias("closed"))
+
+    original = lambda at: X.original_offset(text, at, F.col("has_marks"), places).cast("int")
+
+    def name(hit: Column) -> Column:
+        """Who is named: (group, its place)."""
+        whole = X.chars(blocks, hit["start"], F.length(hit["hit"]) + 1)
+        return X.let(F.regexp_extract(whole, m.pattern, 1), lambda g: F.struct(g.alias("group"), (hit["start"] + F.instr(hit["hit"], g) - 1).alias("at")))
+
+    def found(hit: Column) -> Column:
+        named = name(hit) if m.name == "scholar" else F.lit(None).cast("struct<group:string,at:int>")
+        return F.struct(hit.alias("m"), span(hit).alias("s"), named.alias("who"))
+
+    def kept(x: Column) -> Column:
+        ok, s = x["s"]["end"] > x["s"]["start"], x["s"]
+        if m.min_words > 2:
+            ok = ok & (F.size(F.filter(F.split(X.chars(blocks, s["start"], s["end"] - s["start"]), r"\s+"), lambda w: w != "")) >= m.min_words)
+        if m.name == "scholar":
+            head = X.chars(blocks, s["start"], F.lit(60))
+            reports_view = x["who"]["group"].rlike(V.SCHOLAR_GROUP) & F.rtrim(x["m"]["hit"]).endswith("ان")
+            other = head.rlike("^" + V.NARRATION_MARKER.replace("(?i)", "(?i:", 1) + ")") | head.rlike("^" + V.CANON_MARKER.replace("(?i)", "(?i:", 1) + ")")
+            ok = ok & ~reports_view & ~other
+        if m.question:
+            ok = ok & T.asked_of_the_tool(x["m"]["hit"])
+        return ok
+
+    def claim(x: Column) -> Column:
+        at = F.struct(original(x["s"]["start"]).alias("a"), original(x["s"]["end"]).alias("b"))
+        named = F.lit(None).cast("string")
+        if m.name == "scholar":
+            a, b = original(x["who"]["at"]), original(x["who"]["at"] + F.length(x["who"]["group"]))
+            named = F.trim(X.chars(F.col("b.text"), a, b - a))
+        return X.let(
+            at,
+            lambda y: F.struct(
+                F.lit(m.type).alias("type"), X.chars(F.col("b.text"), y["a"], y["b"] - y["a"]).alias("raw"), y["a"].alias("a"), named.alias("attributed_to"), F.lit(m.attributed).alias("explicit_attribution"),
+                F.lit(m.level).alias("level"), F.lit(m.certainty).alias("certainty"), x["s"]["closed"].alias("closed"), F.lit(m.question).alias("is_question"), F.lit(m.name).alias("rule"),
+            ),
+        )
+
+    claims = F.transform(F.filter(F.transform(X.matches_with_offsets(plain, m.pattern), found), kept), claim)
+    return F.when(F.length("text") <= limits.question_chars, claims) if m.question and limits.question_chars is not None else claims
 
 
 def _without_taken_questions(claims: DataFrame) -> DataFrame:
@@ -157,6 +188,19 @@ def marker_before(text: Column, start: Column, pattern: str, within: int, reach:
     return F.coalesce(F.length(lead) - F.try_element_at(ends, F.lit(-1)) <= within, F.lit(False))
 
 
+def markers_before(claims: DataFrame, docs: DataFrame, pattern: str, within: int, reach: int = 90) -> DataFrame:
+    """``claims`` (claim_id, doc_id, start) with ``before``, as ``marker_before`` tells it.
+
+    The places travel to the text, not the text to each place: a document's claims are one row, and what stands
+    before each is read off the text's blocks.
+    """
+    of_doc = claims.groupBy("doc_id").agg(F.collect_list(F.struct("claim_id", "start")).alias("at"))
+    rows = G.once(of_doc.join(docs.select("doc_id", "text"), "doc_id"), "b", F.coalesce(X.chunked(F.col("text")), F.array().cast("array<string>"))).drop("text")
+    lead = lambda x: X.chars(F.col("b"), F.greatest(F.lit(0), x["start"] - reach), F.least(x["start"], F.lit(reach)))
+    leads = rows.select("doc_id", F.explode(F.transform("at", lambda x: F.struct(x["claim_id"].alias("claim_id"), x["start"].alias("start"), lead(x).alias("lead")))).alias("x")).select("doc_id", "x.*")
+    return leads.select("claim_id", "doc_id", "start", marker_before(F.col("lead"), F.length("lead"), pattern, within, reach).alias("before"))
+
+
 def canon_marker_before(text: Column, start: Column) -> Column:
     bracket = F.rtrim(F.substr(text, F.greatest(F.lit(1), start - 2), F.least(F.lit(3), start))).endswith("﴿")
     return marker_before(text, start, V.CANON_MARKER, 6) | bracket
@@ -217,7 +261,7 @@ def long_enough(claims: DataFrame, script: str, min_words: int = 6, min_content:
 
 def sentences(docs: DataFrame, limit: int | None = None, script: str = "arabic", min_words: int = 6, min_content: int = 4) -> DataFrame:
     """Candidate sentences with offsets: (doc_id, n, quote, start, end), of the first ``limit`` pieces of a text if one is given."""
-    found = docs.select("doc_id", F.posexplode(X.matches_with_offsets(F.col("text"), SENTENCE)).alias("n", "m"))
+    found = docs.select("doc_id", F.posexplode(X.stretches(F.col("text"), SENTENCE_BREAK)).alias("n", "m"))
     found = found if limit is None else found.filter(F.col("n") < limit)
     lead = F.length(F.regexp_extract("m.hit", r"^[\s\p{Z}]*", 0))
     s = found.select("doc_id", "n", F.regexp_replace("m.hit", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("quote"), (F.col("m.start") + lead).alias("start"))
@@ -244,7 +288,7 @@ def near_verbatim(rows: DataFrame, texts: DataFrame, script: str = "arabic", own
     """
     norm = lambda c: F.array_join(X.words(c, script), " ")
     q = G.once(rows, "t", norm(F.col("quote"))).withColumn("sid", F.sha2("t", 256))
-    split = texts.select("key", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SENTENCE), F.lit(0))).alias("s"))
+    split = texts.select("key", F.explode(F.array_remove(F.split(F.coalesce("text", F.lit("")), f"{SENTENCE_BREAK}+", -1), "")).alias("s"))
     r = cut_lineage(G.once(split, "t", norm(F.col("s"))).filter("t <> ''").withColumn("sid", F.sha2("t", 256)).select("sid", "t", "key").distinct())
     wanted = cut_lineage(q.select("sid", "t").distinct())
     pairs = cut_lineage(near_texts(wanted, r.select("sid", "t").distinct()).withColumn("similarity", F.round("similarity", 9)))
