@@ -9,11 +9,21 @@ from . import text as X
 
 
 def looks_like_question(text: Column) -> Column:
-    return X.fold_for_markers(text).rlike(V.QUESTION)
+    return X.let(X.fold_for_markers(text), _asks)
+
+
+def _asks(folded: Column) -> Column:
+    """The form that ends as a question is tried from every letter, so only where its ending stands at all."""
+    return _either(folded, V.QUESTION_WITHOUT_ENDING, V.QUESTION_LATIN) | (folded.rlike(V.QUESTION_END) & folded.rlike(V.QUESTION))
+
+
+def _either(folded: Column, pattern: str, latin: str) -> Column:
+    """``pattern``, of which a text without Arabic letters can match ``latin`` only."""
+    return F.when(folded.rlike(V.ARABIC_LETTER), folded.rlike(pattern)).otherwise(folded.rlike(latin))
 
 
 def is_personal_case(text: Column) -> Column:
-    return X.fold_for_markers(text).rlike(V.PERSONAL)
+    return X.let(X.fold_for_markers(text), lambda f: _either(f, V.PERSONAL, V.PERSONAL_LATIN))
 
 
 def is_fabrication_request(text: Column) -> Column:
@@ -22,7 +32,7 @@ def is_fabrication_request(text: Column) -> Column:
 
 def asked_of_the_tool(question: Column) -> Column:
     """``question`` in the folded spelling: asks for a ruling, or is about the subject at all."""
-    return F.trim(question).rlike("^" + V.RULING_QUESTION) | question.contains("حكم") | question.rlike(V.RULING_WORD) | question.rlike(V.TOPIC)
+    return F.trim(question).rlike("^" + V.RULING_QUESTION) | question.contains("حكم") | question.rlike(V.RULING_WORD) | _either(question, V.TOPIC, V.TOPIC_LATIN)
 
 
 def attributes_to_canon(text: Column) -> Column:
@@ -37,21 +47,26 @@ def presents_a_quotation(text: Column) -> Column:
     return X.normalize_arabic(text).rlike(V.PRESENTS)
 
 
-def plain_words(text: Column) -> Column:
-    """Space-separated normal words; Latin text falls back to lower case without punctuation."""
-    arabic = X.squeeze(F.regexp_replace(X.normalize_arabic(text), r"[^\p{L}\p{N}\s]", " "))
+def plain_words(text: Column, norm: Column | None = None) -> Column:
+    """Space-separated normal words; Latin text falls back to lower case without punctuation. ``norm``: the normal form, if at hand."""
+    arabic = X.normalize_arabic(text) if norm is None else norm
     latin = X.squeeze(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " "))
-    return F.when(arabic != "", arabic).otherwise(latin)
+    return X.let(arabic, lambda a: F.when(a != "", a).otherwise(latin))
 
 
-def asks_authenticity(text: Column) -> Column:
-    w = plain_words(text)
-    short = (w != "") & (F.size(F.split(w, " ")) <= 9) & ~w.rlike(V.RULING_MENTION)
-    return short & w.rlike(V.POINTS_AT_TEXT) & (w.rlike(V.AUTHENTICITY) | w.rlike(V.IS_THIS_TEXT))
+def asks_authenticity(text: Column, norm: Column | None = None) -> Column:
+    def asks(w: Column) -> Column:
+        short = (w != "") & (F.size(F.split(w, " ")) <= 9) & ~w.rlike(V.RULING_MENTION)
+        return short & w.rlike(V.POINTS_AT_TEXT) & (w.rlike(V.AUTHENTICITY) | w.rlike(V.IS_THIS_TEXT))
+
+    return X.let(plain_words(text, norm), asks)
 
 
 def names_someone(name: Column) -> Column:
-    norm = X.normalize_arabic(name)
+    return X.let(X.normalize_arabic(name), _names)
+
+
+def _names(norm: Column) -> Column:
     return (norm != "") & ~norm.rlike(V.VAGUE_NAME)
 
 
@@ -64,21 +79,26 @@ def named_in(name: Column, text: Column) -> Column:
 
 
 def tag_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """All single-text tags in one narrow pass."""
+    """All single-text tags in one narrow pass; the folded and the normal form are made once per text."""
     t = F.col(text_col)
-    return df.withColumns(
-        {
-            "is_question": looks_like_question(t),
-            "is_personal_case": is_personal_case(t),
-            "is_fabrication_request": is_fabrication_request(t),
-            "asked_of_the_tool": asked_of_the_tool(X.fold_for_markers(t)),
-            "attributes_to_canon": attributes_to_canon(t),
-            "mentions_person": mentions_person(t),
-            "presents_a_quotation": presents_a_quotation(t),
-            "asks_authenticity": asks_authenticity(t),
-            "names_someone": names_someone(t),
-        }
-    )
+
+    def tags(x: Column) -> Column:
+        folded, norm = x["folded"], x["norm"]
+        return F.struct(
+            _asks(folded).alias("is_question"),
+            _either(folded, V.PERSONAL, V.PERSONAL_LATIN).alias("is_personal_case"),
+            folded.rlike(V.REQUEST).alias("is_fabrication_request"),
+            asked_of_the_tool(folded).alias("asked_of_the_tool"),
+            (norm.rlike(V.ATTRIBUTION) | t.rlike(V.ATTRIBUTION_EN)).alias("attributes_to_canon"),
+            (t.contains("ﷺ") | norm.rlike(V.MENTIONS_PERSON) | t.rlike(V.MENTIONS_PERSON_EN)).alias("mentions_person"),
+            norm.rlike(V.PRESENTS).alias("presents_a_quotation"),
+            asks_authenticity(t, norm).alias("asks_authenticity"),
+            _names(norm).alias("names_someone"),
+        )
+
+    forms = F.struct(X.fold_for_markers(t).alias("folded"), X.normalize_arabic(t).alias("norm"))
+    tagged = df.select("*", F.explode(F.array(X.let(forms, tags))).alias("tags"))
+    return tagged.select(*df.columns, "tags.*")
 
 
 # A catalogue of Latin-script tags for the driver's tables, same mechanism.
