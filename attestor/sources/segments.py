@@ -90,13 +90,18 @@ def strip_noise(docs: DataFrame) -> DataFrame:
 
     def judged(x: Column) -> Column:
         plain = X.squeeze(F.regexp_replace(F.lower(X.normalize_arabic(x["line"])), r"[^\p{L}\p{N}\s]", " "))
-        footer = (plain != "") & (F.size(F.split(plain, " ")) <= 10) & plain.rlike("|".join(f"(?:{p})" for p in V.FOOTERS))
+        ends = lambda p: (p != "") & (F.size(F.split(p, " ")) <= 10) & p.rlike("|".join(f"(?:{f})" for f in V.FOOTERS))
+        footer = X.let(plain, ends)
         decoration = x["line"].rlike(V.DECORATION_LINE) & ~x["line"].contains("[?]")
         drop = (x["line"] != "") & (footer | x["line"].rlike(V.CLOCK_LINE) | decoration)
-        gone = F.when(drop, strip(x["raw"])).when(x["emoji"] != "", x["emoji"])
-        # an empty line is kept once between paragraphs, not where only symbols stood
-        keep = F.when(drop, F.lit(None)).when((x["line"] == "") & (x["emoji"] != ""), F.lit(None)).otherwise(x["line"])
-        return F.struct(keep.alias("keep"), gone.alias("gone"))
+
+        def parts(drop: Column) -> Column:
+            gone = F.when(drop, strip(x["raw"])).when(x["emoji"] != "", x["emoji"])
+            # an empty line is kept once between paragraphs, not where only symbols stood
+            keep = F.when(drop, F.lit(None)).when((x["line"] == "") & (x["emoji"] != ""), F.lit(None)).otherwise(x["line"])
+            return F.struct(keep.alias("keep"), gone.alias("gone"))
+
+        return X.let(drop, parts)
 
     rows = G.once(rows, "j", F.transform("l", judged))
     kept = F.array_join(F.filter(F.transform("j", lambda x: x["keep"]), lambda x: x.isNotNull()), "\n")
