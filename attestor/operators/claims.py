@@ -580,11 +580,20 @@ def count_outside(runs: DataFrame, words: DataFrame, spans: DataFrame, min_words
     """Runs that keep enough words once the words inside other matches are left out.
 
     ``runs``: (doc_id, run_id, start_w, end_w); ``words``: (doc_id, words); ``spans``: taken word ranges (doc_id, start, end).
+    Runs meet the taken ranges as ranges; a document's words are joined once, not once for each of its runs.
     """
-    tokens = runs.join(words, "doc_id").select("doc_id", "run_id", F.explode(F.sequence("start_w", F.col("end_w") - 1)).alias("i"), "words")
-    tokens = tokens.select("doc_id", "run_id", F.col("i").alias("start"), (F.col("i") + 1).alias("end"), F.element_at("words", F.col("i") + 1).alias("word"))
-    covered = near_pairs(tokens.select("doc_id", "start", "end", "run_id"), spans.select("doc_id", "start", "end")).select("doc_id", F.col("a_run_id").alias("run_id"), F.col("a_start").alias("start")).distinct()
-    left = tokens.join(covered, ["doc_id", "run_id", "start"], "left_anti")
-    return left.groupBy("doc_id", "run_id").agg(F.count("*").alias("n_outside"), X.content_words(F.collect_list("word")).alias("n_content")).filter(
+    of_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("run_id", "start_w", "end_w")).alias("runs")).join(words.select("doc_id", "words"), "doc_id")
+    cut = F.transform("runs", lambda r: F.struct(r["run_id"].alias("run_id"), r["start_w"].alias("start_w"), F.slice("words", r["start_w"].cast("int") + 1, (r["end_w"] - r["start_w"]).cast("int")).alias("ws")))
+    rows = of_doc.select("doc_id", F.explode(cut).alias("r")).select("doc_id", "r.*")
+    at = runs.select("doc_id", F.col("start_w").alias("start"), F.col("end_w").alias("end"), "run_id")
+    met = near_pairs(at, spans.select("doc_id", "start", "end")).groupBy("doc_id", F.col("a_run_id").alias("run_id")).agg(F.collect_set(F.struct(F.col("b_start").alias("s"), F.col("b_end").alias("e"))).alias("taken"))
+    joined = rows.join(met, ["doc_id", "run_id"], "left")
+
+    def free(w: Column, i: Column) -> Column:
+        place = F.col("start_w") + i
+        return ~F.exists(F.coalesce("taken", F.array().cast(met.schema["taken"].dataType)), lambda t: (t["s"] <= place) & (place < t["e"]))
+
+    left = joined.select("doc_id", "run_id", F.filter("ws", free).alias("left")).groupBy("doc_id", "run_id").agg(F.flatten(F.collect_list("left")).alias("left"))
+    return left.filter(F.size("left") > 0).select("doc_id", "run_id", F.size("left").cast("long").alias("n_outside"), X.content_words(F.col("left")).alias("n_content")).filter(
         (F.col("n_outside") >= min_words) & (F.col("n_content") >= min_content)
     )

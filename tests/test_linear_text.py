@@ -56,3 +56,15 @@ def test_position_grams_and_equal_titles(spark):
     q = spark.createDataFrame([(f"q{i}", ["beta", "alpha"]) for i in range(50)], "q_id string, stems array<string>")
     got = RT.nearest_title(q, pages).collect()
     assert len(got) == 50 and {(r.page_id, r.title, r.shared) for r in got} == {(1, "t1", 2)}
+
+
+def test_words_outside_taken_ranges(spark):
+    ws = [f"word{i % 9}{i}" for i in range(60)]
+    words = spark.createDataFrame([(1, ws), (2, ws)], "doc_id long, words array<string>")
+    runs = spark.createDataFrame([(1, "a", 0, 30), (1, "b", 30, 60), (2, "c", 5, 12)], "doc_id long, run_id string, start_w int, end_w int")
+    spans = spark.createDataFrame([(1, 10, 26), (1, 20, 33), (2, 0, 6), (2, 40, 50)], "doc_id long, start int, end int")
+    counted = C.count_outside(runs, words, spans)
+    assert {r.run_id: r.n_outside for r in counted.collect()} == {"a": 10, "b": 27, "c": 6}
+    # the words are joined a document at a time, so no row of a run carries them
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(start_w" not in plan
