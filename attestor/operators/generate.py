@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
-from ..session import cut_lineage
+from ..functions import text as X
+from ..session import cut_lineage, fits_broadcast, maybe_broadcast
 from . import grams as G
 from . import retrieve as R
 from . import similar as SI
@@ -103,25 +104,30 @@ def rejected_everywhere(grade_rows: DataFrame, corpus: DataFrame, script: str, s
 
     ``grade_rows``: (key, text, grade_class); ``corpus``: (key, text). Near copies share four fifths of the distinct
     words of both (a join of all grade texts with themselves, each group of equal texts one row); ``copies`` is the number of
-    rows they are, the row itself included. ``best`` is the best aligned candidate of the corpus, 0 where there is none.
+    rows they are, the row itself included. A text's words are taken once. ``best`` is the best aligned candidate of the corpus, 0 where there is none.
     """
-    words = R.record_words(grade_rows, script)
-    rows = cut_lineage(SI.word_sets(words).join(grade_rows.select("key", "grade_class"), "key"))
-    fit = words.filter(F.size("words").between(shortest, longest)).select("key")
+    texts = G.once(grade_rows.filter("key IS NOT NULL").select("key", "grade_class", "text"), "words", R.normal_words(F.col("text"), script))
+    texts = cut_lineage(texts.select("key", "grade_class", "words", F.size("words").alias("n_words"), SI.set_id(F.col("words")).alias("sid")))
+    rows = texts.filter("sid IS NOT NULL").select("key", "sid").join(texts.select("key", "grade_class"), "key")
     rejects = F.col("grade_class").isin("weak", "fabricated")
-    own = rows.filter(rejects).join(fit, "key", "left_semi").select("key", "grade_class", "sid")
-    sets = rows.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("ws").alias("ws"), F.collect_set("grade_class").alias("classes"), F.count("*").alias("members"))
-    sets = cut_lineage(sets.join(own.select("sid").distinct().withColumn("wanted", F.lit(True)), "sid", "left").fillna(False, ["wanted"]))
-    near = SI.similar_sets(sets, *similar).select("sid", "other").unionByName(sets.filter("wanted").select("sid", F.col("sid").alias("other")))
-    around = near.join(sets.select(F.col("sid").alias("other"), "classes", "members"), "other").groupBy("sid").agg(
+    own = rows.filter(rejects).join(texts.filter(F.col("n_words").between(shortest, longest)).select("key"), "key", "left_semi").select("key", "grade_class", "sid")
+    classes = rows.groupBy("sid").agg(F.collect_set("grade_class").alias("classes"), F.count("*").alias("members"))
+    sets = texts.filter("sid IS NOT NULL").groupBy("sid").agg(F.any_value("words").alias("words")).select("sid", F.array_distinct("words").alias("ws")).join(classes, "sid")
+    sets = sets.join(own.select("sid").distinct().withColumn("wanted", F.lit(True)), "sid", "left").fillna(False, ["wanted"])
+    sets = cut_lineage(sets.select("sid", F.monotonically_increasing_id().alias("no"), F.size("ws").alias("n"), "ws", "wanted", "classes", "members"))
+    asked = sets.filter("wanted").select("sid", "no")
+    near = SI.similar_sets(sets.select(F.col("no").alias("sid"), "n", "ws", "wanted"), *similar).select(F.col("sid").alias("no"), "other").unionByName(asked.select("no", F.col("no").alias("other")))
+    around = near.join(sets.select(F.col("no").alias("other"), "classes", "members"), "other").groupBy("no").agg(
         F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes"), F.sum("members").alias("copies")
     )
     rejecting = F.forall("classes", lambda x: x.isin("weak", "fabricated", "unknown"))
     consistent = ~((F.col("grade_class") == "weak") & F.array_contains("classes", "fabricated"))
-    left = cut_lineage(own.join(around, "sid").filter(rejecting & consistent).select("key", "grade_class", "copies"))
-    asked = grade_rows.join(left.select("key"), "key", "left_semi").select(F.col("key").alias("claim_id"), F.col("text").alias("quote"))
-    cw, held = R.claim_words(asked, script), R.record_words(corpus, script)
-    best = R.align(R.bm25(R.query_claims(asked, script), held), cw, held).groupBy("claim_id").agg(F.max("similarity").alias("best"))
+    left = cut_lineage(own.join(around.join(asked, "no"), "sid").filter(rejecting & consistent).select("key", "grade_class", "copies"))
+    keys = left.select("key").distinct()
+    claims = cut_lineage(texts.join(maybe_broadcast(keys, fits_broadcast(keys)), "key", "left_semi").select(F.col("key").alias("claim_id"), "words"))
+    held = G.once(corpus.select("key", "text"), "words", R.normal_words(F.col("text"), script)).drop("text")
+    found = R.bm25(claims.select("claim_id", X.query_terms(F.col("words")).alias("terms")), held)
+    best = R.best_similarity(found, claims.withColumnRenamed("words", "q"), held).select("claim_id", F.col("similarity").alias("best"))
     scored = left.join(best.withColumnRenamed("claim_id", "key"), "key", "left").fillna(0.0, ["best"])
     return scored.filter(F.col("best") < known)
 

@@ -2,40 +2,64 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.alignment import evenly
 
 
+def set_id(words: Column) -> Column:
+    """The name of the distinct words of a record, equal for equal sets; null without words."""
+    return F.when(F.size(words) > 0, F.sha2(F.array_join(F.sort_array(F.array_distinct(words)), "\x1f"), 256))
+
+
 def word_sets(records: DataFrame) -> DataFrame:
     """(key, sid, n, ws): the distinct words of each record; ``sid`` names the set, equal sets share it.
 
     ``records``: (key, words). Records without words have no set.
     """
-    sets = records.select("key", F.array_sort(F.array_distinct("words")).alias("ws")).filter(F.size("ws") > 0)
-    return sets.select("key", F.sha2(F.array_join("ws", "\x1f"), 256).alias("sid"), F.size("ws").alias("n"), "ws")
+    sets = records.select("key", set_id(F.col("words")).alias("sid"), F.array_sort(F.array_distinct("words")).alias("ws"))
+    return sets.filter("sid IS NOT NULL").select("key", "sid", F.size("ws").alias("n"), "ws")
 
 
-def similar_sets(sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """(sid, other, shared, similarity) of distinct sets whose Jaccard similarity is ``num / den`` or more, itself left out.
+WORDS_A_MEETING = 60  # words of two sets together for each further word that they must share at the front
+
+
+def met_sets(sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """(sid, other): wanted sets and the sets that may be similar to them; no similar pair is missing.
 
-    ``sets``: (sid, n, ws, wanted), one row per set; pairs are made for wanted sets only, with every set. Of two similar
-    sets of n and m words one of the first ``n - ceil(t n) + 1`` words in any common order is shared; with rare
-    words first few sets meet there. A meeting counts when the sizes fit and enough words are left behind the
-    shared one on both sides, which holds at the first shared word of every similar pair. Groups of equal texts are one row here.
+    ``sets``: (sid, n, ws, wanted). Two similar sets of n and m words share ``least = ceil((n + m) t / (1 + t))`` words
+    or more. Behind the first k of them, in any common order, ``least - k`` are left on both sides, so these k stand
+    near the front of both sets; k grows with the sizes, and a pair counts when it meets in k such words.
+    With words first that are rare among the wanted sets few sets meet by chance, and a set with many words
+    that no wanted set has meets none: places are counted from behind, where such words need not stand. Words meet as
+    numbers; two words of one number only add meetings.
     """
-    words = sets.select("sid", "n", "wanted", F.explode("ws").alias("word"))
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(df, "word").groupBy("sid", "n", "wanted").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    front = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
-    prefix = ranked.select("sid", "n", "wanted", F.posexplode(F.slice("o", F.lit(1), front.cast("int"))).alias("i", "t")).select("sid", "n", "wanted", "i", F.col("t.word").alias("word"))
-    a = prefix.filter("wanted").select("sid", "n", "i", "word")
-    b = prefix.select(F.col("sid").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), "word")
+    words = sets.select("sid", "n", "wanted", F.explode("ws").alias("word")).select("sid", "n", "wanted", F.xxhash64("word").alias("word"))
+    asked = words.filter("wanted")
+    df = asked.groupBy("word").agg(F.count("*").alias("df"))
+    behind = F.row_number().over(W.partitionBy("sid").orderBy(F.desc("df"), F.desc("word")))
+    # no set of a fitting size asks for a word further behind
+    last = F.ceil(F.col("n") * (WORDS_A_MEETING * num - num - den) / F.lit(WORDS_A_MEETING * den))
+    front = lambda some: some.join(df.hint("shuffle_hash"), "word").withColumn("behind", behind).filter(F.col("behind") >= last)
+    a = front(asked).select("sid", "n", "behind", "word")
+    b = front(words).select(F.col("sid").alias("other"), F.col("n").alias("m"), F.col("behind").alias("left"), "word")
     least = F.ceil((F.col("n") + F.col("m")) * num / F.lit(num + den))
+    shared = F.least(least, F.floor((F.col("n") + F.col("m")) / F.lit(WORDS_A_MEETING)) + 1)
     fits = (F.col("n") * num <= F.col("m") * den) & (F.col("m") * num <= F.col("n") * den)
-    enough = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= least
-    met = a.join(b, "word").filter((F.col("sid") != F.col("other")) & fits & enough).select("sid", "other").distinct()
-    both = met.join(sets.select("sid", "n", "ws"), "sid").join(sets.select(F.col("sid").alias("other"), F.col("n").alias("m"), F.col("ws").alias("vs")), "other")
+    at_front = F.least("behind", "left") >= least - shared + 1
+    met = a.join(b, "word").filter((F.col("sid") != F.col("other")) & fits & at_front)
+    return met.groupBy("sid", "other", "n", "m").agg(F.count("*").alias("meetings")).filter(F.col("meetings") >= shared).select("sid", "other")
+
+
+def similar_sets(sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """(sid, other, shared, similarity) of distinct sets whose Jaccard similarity is ``num / den`` or more, itself left out.
+
+    ``sets``: (sid, n, ws, wanted), one row per set; pairs are made for wanted sets only, with every set. Words are
+    carried only into the pairs that ``met_sets`` leaves. Groups of equal texts are one row here.
+    """
+    met = met_sets(sets, num, den)
+    both = met.join(sets.filter("wanted").select("sid", "n", "ws"), "sid").join(sets.select(F.col("sid").alias("other"), F.col("n").alias("m"), F.col("ws").alias("vs")), "other")
     shared = both.select("sid", "other", "n", "m", F.size(F.array_intersect("ws", "vs")).alias("shared"))
     return shared.filter(F.col("shared") * (num + den) >= (F.col("n") + F.col("m")) * num).select(
         "sid", "other", F.col("shared"), (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity")

@@ -8,6 +8,7 @@ from attestor.functions import alignment as A
 from attestor.operators import flows as FL
 from attestor.operators import generate as GN
 from attestor.operators import match as M
+from attestor.operators import retrieve as RT
 from attestor.operators import similar as SI
 
 
@@ -114,6 +115,41 @@ def test_similar_sets_equal_brute_force(spark):
     assert all(abs(r.similarity - len(sets[r.sid] & sets[r.other]) / len(sets[r.sid] | sets[r.other])) < 1e-12 for r in got)
 
 
+def test_similar_sets_of_many_words_meet_in_several(spark):
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    base = [frozenset([*common, *(f"w{rng.randrange(4000)}" for _ in range(rng.randrange(20, 240)))]) for _ in range(60)]
+    sets = {}
+    for x in base:
+        own = sorted(x)
+        for some in [x, *(frozenset([*rng.sample(own, len(own) - cut), *(f"y{rng.randrange(900)}" for _ in range(more))]) for cut, more in ((3, 4), (len(own) // 10, len(own) // 12), (0, len(own) // 4), (len(own) // 5, 0), (len(own) // 4, 9)))]:
+            sets[len(sets)] = some
+    # every other set has the one rare word of a group of them at its front
+    for k in range(120):
+        sets[len(sets)] = frozenset([f"rare{k % 6}", *common, *(f"z{k}_{j}" for j in range(60))])
+    frame = spark.createDataFrame([(k, len(w), sorted(w), k % 3 == 0) for k, w in sets.items()], "sid long, n int, ws array<string>, wanted boolean")
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a % 3 == 0 and a != b and 5 * len(x & y) >= 4 * len(x | y)}
+    assert {(r.sid, r.other) for r in SI.similar_sets(frame).collect()} == want and len(want) > 100
+    met = [(r.sid, r.other) for r in SI.met_sets(frame).collect()]
+    assert len(met) == len(set(met)) and want <= set(met) and len(met) < 2 * len(want)
+
+
+def test_best_similarity_is_the_best_of_all_alignments(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdé𝒳") for _ in range(rng.randrange(1, 6)))
+    stock = [word() for _ in range(40)]
+    text = lambda n: [rng.choice(stock) for _ in range(n)]
+    claims = [(k, text(rng.choice([1, 3, 8, 20, 70]))) for k in range(40)] + [(40, []), (7, text(5)), (None, text(4))]
+    records = [(k, text(rng.choice([1, 4, 12, 40]))) for k in range(25)] + [(25, []), (3, text(9))]
+    records += [(100 + k, [*text(rng.randrange(6)), *q[: rng.randrange(1, 12)], *text(rng.randrange(6))]) for k, q in claims[:20]]
+    cands = [(c, r) for c, _ in claims for r, _ in records if rng.random() < 0.4]
+    frames = [spark.createDataFrame(*x) for x in ((cands, "claim_id long, key long"), (claims, "claim_id long, q array<string>"), (records, "key long, words array<string>"))]
+    one_by_one = RT.align(frames[0], frames[1].withColumn("q_orig", F.col("q")), frames[2].withColumn("orig", F.col("words")))
+    want = {r.claim_id: r.s for r in one_by_one.groupBy("claim_id").agg(F.max("similarity").alias("s")).collect()}
+    got = RT.best_similarity(*frames).collect()
+    assert {r.claim_id: r.similarity for r in got} == want and len(got) == len(want) > 35
+
+
 def test_rejected_everywhere_reads_texts(spark):
     t = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     text = lambda *swap: " ".join(dict(swap).get(k, w) for k, w in enumerate(t))
