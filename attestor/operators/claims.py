@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -506,26 +507,44 @@ def keep_questions(proposed: DataFrame, markers: DataFrame) -> DataFrame:
 def repeated_quotations(claims: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     """(doc_id, claim_id) of quotations said more fully elsewhere in the document, or said before.
 
-    Containment is looked up by the first three words, never by pairing all quotations of a document.
+    Containment is looked up by the first three words, never by pairing all quotations of a document; a document's
+    quotations of a type meet in one row, so that no text is sent with each of its words.
     """
     quoted = claims.withColumn("is_shown", F.lit(False))
     if shown is not None:
         quoted = shown.withColumn("is_shown", F.lit(True)).unionByName(quoted, allowMissingColumns=True)
     rows = G.once(quoted.filter(F.col("type").isin(*QUOTED)), "plain", T.plain_words(F.col("quote"))).select("doc_id", "claim_id", "type", "start", "plain", "is_shown")
-    rows = rows.withColumn("w", F.split("plain", " ")).filter(F.size("w") >= 3)
-    keys = ["doc_id", "type", "head"]
-    mine = rows.filter("not is_shown").withColumn("head", F.array_join(F.slice("w", 1, 3), " ")).drop("w", "is_shown")
+    rows = rows.filter(F.size(F.split("plain", " ")) >= 3)
+    per = rows.groupBy("doc_id", "type").agg(F.collect_list(F.struct("claim_id", "start", "plain", "is_shown")).alias("c"))
+
+    def said_elsewhere(batches):
+        for batch in batches:
+            found = [(k, x) for k, (doc_id, c) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("c").to_pylist(), strict=True)) for x in _repeated(c, doc_id is not None)]
+            docs, ids = pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], batch.column("c").type.value_type.field("claim_id").type)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(docs), ids], ["doc_id", "claim_id"])
+
+    kinds = dict(rows.dtypes)
+    return per.select("doc_id", "c").mapInArrow(said_elsewhere, f"doc_id {kinds['doc_id']}, claim_id {kinds['claim_id']}").distinct()
+
+
+def _repeated(claims: list[dict], in_document: bool) -> list:
+    """The claim_ids among a document's quotations of one type that ``repeated_quotations`` names; without a document, equal texts only."""
+    by_text: dict[str, list[dict]] = {}
+    for c in claims:
+        by_text.setdefault(c["plain"], []).append(c)
+    order = lambda c: (not c["is_shown"], c["start"] is not None, c["start"] or 0, c["claim_id"] is not None, c["claim_id"] or type(c["claim_id"])())
     # equal texts: the earliest (or an announced one) stays
-    firsts = W.partitionBy("doc_id", "type", "plain").orderBy(F.desc("is_shown"), "start", "claim_id")
-    again = rows.withColumn("rn", F.row_number().over(firsts)).filter("rn > 1 and not is_shown").select("doc_id", "claim_id")
-    texts = rows.select("doc_id", "type", "plain", "w").dropDuplicates(["doc_id", "type", "plain"])
-    grams = texts.select(
-        "doc_id", "type", F.col("plain").alias("longer"),
-        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("head"),
-    )
-    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    fuller = mine.join(grams, keys).filter((F.length("longer") > F.length("plain")) & pad("longer").contains(pad("plain"))).select("doc_id", "claim_id")
-    return fuller.unionByName(again).distinct()
+    out = [c["claim_id"] for same in by_text.values() for c in sorted(same, key=order)[1:] if not c["is_shown"]]
+    head = {t: tuple(t.split(" ")[:3]) for t, same in by_text.items() if in_document and not all(c["is_shown"] for c in same)}
+    heads, holding = set(head.values()), {}
+    for t in by_text if head else ():
+        w = t.split(" ")
+        for h in heads.intersection(zip(w, w[1:], w[2:])):  # noqa: B905
+            holding.setdefault(h, []).append(t)
+    for t, h in head.items():
+        if any(len(longer) > len(t) and f" {t} " in f" {longer} " for longer in holding[h]):
+            out += [c["claim_id"] for c in by_text[t] if not c["is_shown"]]
+    return out
 
 
 def drop_noise(claims: DataFrame, shown: DataFrame | None = None, quotations: DataFrame | None = None) -> DataFrame:
