@@ -39,3 +39,11 @@ def test_equal_words_have_equal_hashes_at_every_length(spark):
     assert all(not any(texts[r.k][j : j + r.len] == texts[r.k][r.i : r.i + r.len] for j in range(r.i)) for r in first)
     stepped = S._lengths(rows, "k", 5).collect()
     assert {(r.i, r.len) for r in stepped if r.k == 0} == {(i, n) for i in range(27) for n in range(4, 31 - i, 5)}
+
+
+def test_a_document_that_comes_twice_has_no_run_over_a_gap(spark):
+    pairs = [(1, i, i + 100) for i in (0, 1, 2, 3, 9, 10, 11)]
+    for copies in (1, 2):
+        runs = S.diagonal_runs(spark.createDataFrame(pairs * copies, "doc_id long, i int, p long")).collect()
+        held = {i for r in runs for i in range(r.start_w, r.end_w - S.GRAM + 1)}
+        assert held == {0, 1, 2, 3, 9, 10, 11} and all(r.diag == 100 for r in runs) and (copies > 1 or len(runs) == 2)
